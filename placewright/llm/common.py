@@ -1,17 +1,16 @@
-"""Helpers shared by the text operators: written intermediate tables, byte-level word hashing, packed arrays."""
+"""Helpers shared by the text operators: byte-level word hashing, Arrow steps, packed arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from placewright.plans.tables import shared_dir, written  # noqa: F401
+
 #: Text bytes that one step of a numpy operator looks at; a longer single text is one step of its own.
 STEP_BYTES = 2_000_000
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
@@ -19,32 +18,6 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that setting is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    made = tempfile.mkdtemp(prefix="placewright-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: lineage ends there and survives lost executors.
-
-    The shuffle files of the writing job are released when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; null where doc_id is null."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, quality, token_counts
+from . import langid, ngram_join, quality, token_counts
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 ORACLE_SQL = {"op6_quality_rules": quality.ORACLE}
