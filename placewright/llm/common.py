@@ -125,3 +125,26 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
 
 def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+def by_group(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches, one table at a time; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            now = tuple(c[s] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from placewright.plans.graph import components
 
-from .common import mix, pack, row_key, steps, string_bytes, word_hashes, written
+from .common import by_group, mix, pack, row_key, steps, string_bytes, word_hashes, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -136,29 +136,6 @@ def bucket_entries(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     return sets.select("set_id", "signature").mapInArrow(run, "path long, set_id long, sketch long")
 
 
-def by_group(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in sorted batches, one table at a time; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:]):
-            now = tuple(c[s] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def least_labels(near: np.ndarray) -> np.ndarray:
     """Component labels of a small dense adjacency matrix: for each node the least index it reaches."""
     n = len(near)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join, quality, token_counts
+from . import katz, langid, ngram_join, quality, token_counts
 
 QUERIES = {
+    "op1_katz": katz.op1_katz,
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
