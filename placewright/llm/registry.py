@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, langid, ngram_join, quality, token_counts
+from . import decontaminate, katz, langid, ngram_join, quality, token_counts
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLE_SQL = {"op6_quality_rules": quality.ORACLE}
