@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, langid, ngram_join, quality, token_counts
+from . import decontaminate, katz, langid, line_dedup, ngram_join, quality, token_counts
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLE_SQL = {"op6_quality_rules": quality.ORACLE}
+ORACLE_SQL = {"op6_quality_rules": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
