@@ -148,3 +148,37 @@ def by_group(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
             held.append(batch.slice(s, e - s))
     if held:
         yield pa.Table.from_batches(held)
+
+
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lookup:
+    """Index of uint64 keys in a fixed set by open addressing; -1 where absent."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(len(keys), 1) * 4)))))
+        size = 1 << int(64 - int(self.shift))
+        self.keys, self.at = np.full(size + 64, 2**64 - 1, np.uint64), np.full(size + 64, -1, np.int32)
+        slot = ((keys * _MULT) >> self.shift).astype(np.int64)
+        todo, self.probes = np.arange(len(keys)), 0
+        while len(todo):
+            s = slot[todo] + self.probes
+            free = self.at[s] < 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(np.where(free, s, -1), return_index=True)[1]] = True
+            put = first & free
+            self.keys[s[put]], self.at[s[put]] = keys[todo[put]], todo[put]
+            todo = todo[~put]
+            self.probes += 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = ((keys * _MULT) >> self.shift).astype(np.int64)
+        out = np.where(self.keys[slot] == keys, self.at[slot], -1)
+        for p in range(1, self.probes):
+            miss = np.flatnonzero((out < 0) & (self.at[slot + p - 1] >= 0)) if p == 1 else miss[out[miss] < 0]
+            if not len(miss):
+                break
+            s = slot[miss] + p
+            out[miss] = np.where(self.keys[s] == keys[miss], self.at[s], -1)
+        return out

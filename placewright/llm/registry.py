@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, langid, line_dedup, ngram_join, quality, token_counts
+from . import decontaminate, katz, langid, line_dedup, ngram_join, pieces, quality, token_counts
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
