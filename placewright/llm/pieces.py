@@ -8,7 +8,7 @@ Forward: Viterbi gives each node the score of the best way to it, and of the sec
 a step at once, by length. Backward: A-star goes from the end of a segment to its start; the forward scores are exact
 heuristics, so paths leave the agenda in order of their total scores and no path is opened in vain. The N best of a text
 are the N best sums over its segments; only the N - 1 segments with the least loss for their second path can differ.
-A character without a piece becomes its UTF-8 bytes' pieces, at a score below any piece.
+A character without a piece becomes its UTF-8 bytes' pieces, at a score below any other piece.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ class Vocabulary:
         self.ids = {self.names[i]: i for i in plain}
         self.score = np.array([sp.get_score(i) for i in range(n)])
         self.longest = max(len(p) for p in self.ids)
-        self.unknown = float(self.score[plain].min()) - 10.0
+        usual = self.score[plain]  # runs of marks have a score far below all others, for which nothing else is left
+        self.unknown = float(usual[usual > -1e8].min()) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: texts don't fall into segments at marks")
         self.plain = np.array(plain)

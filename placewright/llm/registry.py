@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, langid, line_dedup, ngram_join, pieces, quality, token_counts
+from . import decontaminate, katz, langid, line_dedup, ngram_join, pieces, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_language_id": langid.op3_language_id,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
