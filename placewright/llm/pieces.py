@@ -324,11 +324,12 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", keep: list[str] | None
     return some.mapInArrow(run, f"{kinds}, text string")
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id and what the encoding comes to: n_pieces, score, second_score, n_ways, ids_sum, round_trip."""
+def digest(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns `more`, and what the encoding comes to: n_pieces, score, second_score, n_ways, ids_sum,
+    round_trip."""
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(2_147_483_647)))
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", F.get("n_best", F.lit(1))["score"].alias("second_score"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_pieces"), "score", F.get("n_best", F.lit(1))["score"].alias("second_score"),
         F.size("n_best").alias("n_ways"), total.alias("ids_sum"), "round_trip",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, langid, line_dedup, ngram_join, pieces, quality, token_counts, toxicity
+from . import decontaminate, katz, langid, line_dedup, ngram_join, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_secrets": secrets.op8_secrets,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
