@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, row_key, written
+from .common import SPACE_CLASS, SPACES, row_key, written
 
 #: Leading tokens that lead down the tree.
 LEADING = 3
@@ -23,45 +23,43 @@ MIN_TOKENS = 5
 FIXED = 0.6
 #: Share of a document's words in recurring lines from which it counts as a copy and is left alone.
 COPY_SHARE = 0.8
-_FIELD = 0  # the token number of a field
-
-
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, f"{SPACE_CLASS}+"), lambda w: w != "")
-
-
-def _number(token: Column) -> Column:
-    """A token as a number: 0 for a field, else a 32-bit hash that is not 0."""
-    h = F.hash(token)
-    return F.when(token.rlike("[0-9]"), F.lit(_FIELD)).when(h == _FIELD, F.lit(1)).otherwise(h)
+#: What stands for a field.
+_FIELD = "\x01"
 
 
 def lines_of(docs: DataFrame, text: Column, key: Column, order: Column) -> DataFrame:
-    """row, ord, no, n, toks, leaf, line for each line with enough tokens; row: the document's row key."""
+    """row, ord, no, n, toks, leaf, line for each line with enough tokens; row: the document's row key.
+
+    A line is masked as a whole, then split once; there is no step for each token.
+    """
     lines = docs.select(key.alias("row"), order.alias("ord"), F.posexplode(F.split(text, "\n")).alias("no", "s"))
-    lines = lines.select("row", "ord", "no", F.transform(_tokens(F.col("s")), _number).alias("toks")).withColumn("n", F.size("toks"))
-    lines = lines.where(F.col("n") >= MIN_TOKENS)
+    field = F.regexp_replace("s", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", _FIELD)
+    masked = F.when(F.col("s").rlike("[0-9]"), field).otherwise(F.col("s"))
+    lines = lines.select("row", "ord", "no", F.split(F.trim(masked, F.lit(SPACES.decode())), f"{SPACE_CLASS}+").alias("toks"))
+    lines = lines.withColumn("n", F.size("toks")).where(F.col("n") >= MIN_TOKENS)
     return lines.withColumns({"leaf": F.xxhash64("n", F.slice("toks", 1, LEADING)), "line": F.xxhash64("toks")})
 
 
-def recurring(lines: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     """leaf, line -> first_row: for every distinct line whose template occurs in two documents or more.
 
-    Which documents have a template is kept as the least and the greatest of them: two differ exactly if there are two.
+    lines: row, ord, leaf, line of all lines; tokens: leaf, line, toks of the same lines, of which only those are used
+    that lie in a leaf with several distinct lines and documents. Which documents have a template is kept as the least and the greatest of them: two differ exactly if there are two.
     Places are compared as (place, token) rows, so no leaf, however full, is gathered in one row or task.
     """
     d = F.struct("ord", "row")
-    distinct = written(lines.groupBy("leaf", "line").agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.first("toks").alias("toks")), "lines")
+    distinct = written(lines.groupBy("leaf", "line").agg(F.min(d).alias("lo"), F.max(d).alias("hi")), "lines")
     span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), *span)
     several = leaves.where("lines > 1 and lo.row <> hi.row").select("leaf")
-    shared = distinct.join(several, "leaf")
+    shared = written(tokens.join(several, "leaf", "left_semi").dropDuplicates(["leaf", "line"]), "tokens")
     places = shared.select("leaf", "line", F.posexplode("toks").alias("at", "tok")).where(F.col("tok") != _FIELD)
-    places = written(places.select("leaf", "line", F.xxhash64("at", "tok").alias("place")), "places")
+    places = places.select("leaf", "line", F.xxhash64("at", "tok").alias("place"))
     often = places.groupBy("leaf", "place").agg(F.count("*").alias("n")).where("n > 1").select("leaf", "place")
     fixed = places.join(often, ["leaf", "place"]).groupBy("leaf", "line").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place")).alias("template"))
-    masked = shared.join(fixed, ["leaf", "line"], "left").select(
-        "leaf", "line", "lo", "hi", F.when(F.col("fixed") >= FIXED * F.size("toks"), F.col("template")).otherwise(F.col("line")).alias("template")
+    sized = distinct.join(shared.select("leaf", "line", F.size("toks").alias("n")), ["leaf", "line"])
+    masked = sized.join(fixed, ["leaf", "line"], "left").select(
+        "leaf", "line", "lo", "hi", F.when(F.col("fixed") >= FIXED * F.col("n"), F.col("template")).otherwise(F.col("line")).alias("template")
     )
     alone = distinct.join(several, "leaf", "left_anti").select("leaf", "line", "lo", "hi", F.col("line").alias("template"))
     every = written(masked.unionByName(alone), "templates")
@@ -78,8 +76,9 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", copy_sh
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = row_key(F.col(key), body)
-    lines = written(lines_of(docs, body, row, F.col(key)), "all-lines")
-    found = lines.select("row", "no", "n", "leaf", "line").join(recurring(lines), ["leaf", "line"], "left")
+    every = lines_of(docs, body, row, F.col(key))
+    lines = written(every.drop("toks"), "all-lines")
+    found = lines.drop("ord").join(recurring(lines, every.select("leaf", "line", "toks")), ["leaf", "line"], "left")
     gone = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
     cut = (
         found.groupBy("row")
