@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, remainder, row_key, steps, string_bytes
+from .common import pack, remainder, row_key, steps, string_bytes, written
 from .decontaminate import plain
 
 STEMS = (4, 5, 6, 7)
@@ -186,12 +186,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: text, shout, toxic. Voters from all rows; label model and classifier from a bounded sample by hash."""
+def fit(labelled: DataFrame) -> Model:
+    """labelled: text, shout, toxic: the bounded sample of training_rows, from which all that is learned comes."""
     keys = choose_voters(labelled)
-    n = labelled.count()
-    share = min(1.0, sample / max(n, 1))
-    some = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -200,7 +197,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             votes = [pack(voter[s:e].astype(np.uint16)) for s, e in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array([pack(d) for d in dense]), part.column("toxic")], names=["votes", "dense", "toxic"])
 
-    got = some.mapInArrow(run, "votes binary, dense binary, toxic int").limit(2 * sample).toPandas()
+    got = labelled.mapInArrow(run, "votes binary, dense binary, toxic int").toPandas()
     if not len(got):
         return Model(keys, np.append(np.full(len(keys), 4.0), [0.0, 0.0, 0.0]), float(np.log(_PRIOR / (1 - _PRIOR))))
     votes = np.zeros((len(got), len(keys)), np.float32)
@@ -232,20 +229,24 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """text, shout, toxic of the documents that may be learned from. Several labels of one id: its greatest counts.
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
+    """text, shout, toxic of about `sample` documents at most that may be learned from, by a hash of their ids; written.
 
-    Of texts with the same least hash of three-word shingles, exact and most near copies, one is taken: the words of a
-    text that was copied a thousand times are no evidence a thousand times over.
+    Several labels of one id: its greatest counts. The sample of ids is bounded, so it goes to the documents, and no text
+    is shuffled to find it. Of texts with the same least hash of three-word shingles, exact and most near copies, one is
+    taken: the words of a text that was copied a thousand times are no evidence a thousand times over.
     """
-    given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = prepared(docs.where(learn).select("doc_id", "text").join(given, "doc_id"), "text", [F.col("toxic")])
+    given = labels.where("doc_id is not null and toxic is not null").where(learn)
+    given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = min(1.0, sample / max(given.count(), 1))
+    some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    rows = prepared(docs.where(learn).select("doc_id", "text").join(F.broadcast(some), "doc_id"), "text", [F.col("toxic")])
     w = F.split("text", " ")
     n = F.greatest(F.size(w) - 2, F.lit(0))
     zipped = F.arrays_zip(F.slice(w, 1, n).alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"))
     least = F.coalesce(F.array_min(F.transform(zipped, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))), F.xxhash64("text"))
     one = F.max(F.struct("toxic", "text", "shout")).alias("one")
-    return rows.withColumn("least", least).groupBy("least").agg(one).select("one.text", "one.shout", "one.toxic")
+    return written(rows.withColumn("least", least).groupBy("least").agg(one).select("one.text", "one.shout", "one.toxic"), "labelled")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
