@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import games
+from . import feeds, games, places, shapes
 
-QUERIES = {**games.QUERIES}
-ORACLE_SQL = {**games.ORACLE_SQL}
+_ALL = (games, places, shapes, feeds)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
