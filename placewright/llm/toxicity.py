@@ -109,7 +109,7 @@ def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
     """labelled: text, toxic (0/1). Keys of the lexicon and of the stems that tell toxic texts, counted over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, most=8_000_000):
+        for part in steps(batches, most=1_000_000):
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             key, own, _ = spoken(*string_bytes(part.column("text")))
             order = np.argsort(key)
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     m = len(model.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, most=1_000_000):
             row, voter, dense = _features(part, model.keys)
             logit = model.bias + np.bincount(row, weights=model.weights[voter], minlength=part.num_rows) + dense @ model.weights[m:]
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
