@@ -122,12 +122,13 @@ def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ones)), pa.array(np.concatenate(all_))], names=["stem", "ones", "n"])
 
     counts = labelled.mapInArrow(run, "stem long, ones long, n long").groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
-    # the row of key 0 has the totals
-    total = F.broadcast(counts.where("stem = 0").select(F.col("ones").alias("t1"), F.col("n").alias("t")))  # one row
-    a, n, t1, t = (F.col(c).cast("double") for c in ("ones", "n", "t1", "t"))
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    counts = written(counts, "stems")
+    total = counts.where("stem = 0").first()  # the row of key 0 has the totals
+    t1, t = (float(total["ones"]), float(total["n"])) if total else (0.0, 1.0)
+    a, n = F.col("ones").cast("double"), F.col("n").cast("double")
+    part = lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0)
     g = 2 * (part(a, n * t1 / t) + part(n - a, n * (t - t1) / t))
-    tells = counts.where("stem <> 0 and ones > 2").crossJoin(total).where((a / n > 2 * t1 / t) & (g >= EVIDENCE))
+    tells = counts.where("stem <> 0 and ones > 2").where((a / n > 2 * t1 / t) & (g >= EVIDENCE))
     top = tells.withColumn("g", g).orderBy(F.desc("g"), "stem").limit(most).select("stem").toPandas()
     own = np.array([stem_key(w, 7) for w in LEXICON], np.uint64)
     return np.unique(np.concatenate([own, top["stem"].to_numpy(np.int64).view(np.uint64)]))
