@@ -14,6 +14,8 @@ from placewright.sources import readers as S
 from placewright.sources.fixtures import SQL_POIS, SQL_STATIONS, sql_questions
 from placewright.streaming import logs
 
+from . import shapes
+
 c = F.col
 
 
@@ -162,3 +164,7 @@ ORACLE_SQL = {
  SELECT id, coalesce(system, '-') AS system, coalesce(system, 'X') || ' ' || CASE WHEN ref <> '' THEN ref ELSE nm END AS line, CASE WHEN coalesce(tag, '') = '' THEN '#888888' WHEN tag = '#ff0000' THEN '#d4001a' ELSE tag END AS colour FROM s""",
     "other_names": "SELECT p_partkey AS id, p_name || ' St|' || p_name || ' Ave' AS others, p_name AS city, 'https://maps.example/search?api=1&query=' || (p_partkey::DOUBLE / 4) || '%2C' || (-p_partkey::DOUBLE / 8) || CASE WHEN p_partkey % 3 = 0 THEN '&query_place_id=a+b' || p_partkey ELSE '' END AS link FROM part",
 }
+
+_NAMED = "q AS (SELECT p_partkey AS id, p_name || ' ' || ['Park', '& Co. Entrance', '(Main)', '12 Building B', 'Library: East'][1 + p_partkey % 5] AS name FROM part)"
+ORACLE_SQL["name_rules"] = rf"""WITH {_NAMED} SELECT id, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm,
+ array_to_string({shapes._DIST}, ' ') AS words, {shapes._SUB} AS sub, regexp_matches(name, '[:|]') OR regexp_matches(trim(name), '\([^)]*\)\s*$') AS qualified, length(name) AS len FROM q"""

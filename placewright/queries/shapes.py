@@ -239,3 +239,40 @@ ORACLE_SQL = {
     "county_overlap": f"WITH {SQL_EDGES}, {_COVER}, o AS (SELECT region_id AS place_id, floor(cx / 9)::BIGINT::VARCHAR AS county, count(*) AS n FROM cov GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY place_id) AS total FROM o) SELECT place_id, county, round(n / total, 6) AS share FROM t QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY n DESC, county DESC) = 1",
     "parent_roots": "WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part WHERE p_partkey // 3 > 0), w(id, root) AS (SELECT c, p FROM e UNION ALL SELECT w.id, e.p FROM w JOIN e ON e.c = w.root) SELECT id, min(root) AS root FROM w GROUP BY id",
 }
+
+_LAST, _FIRST = 20, 9  # the finest level (half a diagonal of at most 25 m) and the coarsest (50 km)
+_PINS = f"""n AS (SELECT p_partkey AS pin, p_partkey // 8 AS g, (p_partkey % 8)::INT AS i, p_size, split_part(p_name, ' ', 1) AS w FROM part),
+ pins AS (SELECT pin, ['park', 'hospital', 'museum'][1 + g % 3] AS category, 'Zor' || ((g * 7) % 97) || 'el ' || w || ['', ' Park', ' Parking Garage', ' Dog Park', ' Medical Center', ' Entrance', ' - North', ' Hospital Building B'][1 + i] AS name,
+  {sql_lat('g', 4409)} + [0.0, 40.0, 120.0, 250.0, 330.0, 480.0, 650.0, 800.0][1 + i] / 110540.0e0 AS lat, {sql_lon('g', 6277)} AS lon, p_size * CASE WHEN i = 0 THEN 9 ELSE 1 END AS reviews FROM n)"""
+
+
+def _words(text: str, *without: list[str]) -> str:
+    """The distinct words of an ASCII text in SQL, in order, less numbers and listed words."""
+    out = ", ".join(f"'{w}'" for ws in without for w in ws)
+    return rf"list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\w\s]', ' ', 'g'), '\s+'), lambda x: x <> '' AND x NOT IN ({out}))))"
+
+
+_HEAD = "regexp_split_to_array(name, '[|(:]')[1]"
+_DIST = f"list_filter({_words(_HEAD, N.STOP, N.GENERIC)}, lambda x: NOT regexp_full_match(x, '\\d+'))"
+_FULL = f"list_filter({_words('name', N.STOP, N.GENERIC, N.STRUCTURAL)}, lambda x: NOT regexp_full_match(x, '\\d+'))"
+_SUB = rf"(regexp_matches(lower(name), '^\s*\d{{2,6}}\s+[a-z]') OR regexp_matches(lower(name), '\bbuilding\s+[a-z0-9]\b') OR regexp_matches(lower(name), '{N.SUB_PARTS}'))"
+_SMALL = "(len({a}.toks) > 0 AND len({a}.toks) < len({b}.toks) AND list_has_all({b}.toks, {a}.toks) AND {a}.reviews < 50)"
+
+ORACLE_SQL |= {
+    "boxes_on_region": f"""WITH {SQL_EDGES}, t AS (SELECT i * 10 + j AS tile, -122.6e0 + i * 0.13e0 AS w, -122.6e0 + i * 0.13e0 + 0.05e0 AS e, 37.1e0 + j * 0.12e0 AS s, 37.1e0 + j * 0.12e0 + 0.05e0 AS n FROM range(10) a(i), range(10) b(j)),
+ p AS (SELECT tile, w AS lon, s AS lat FROM t UNION ALL SELECT tile, w, n FROM t UNION ALL SELECT tile, e, s FROM t UNION ALL SELECT tile, e, n FROM t UNION ALL SELECT tile, (w + e) / 2, (s + n) / 2 FROM t)
+ SELECT tile FROM (SELECT p.tile FROM p, edges GROUP BY p.tile, p.lon, p.lat, region_id HAVING {_IN}) UNION SELECT tile FROM t, edges WHERE x1 BETWEEN w AND e AND y1 BETWEEN s AND n""",
+    "adaptive_tiles": f"""WITH {SQL_STATIONS}, f AS (SELECT floor((lon + 180) / 360 * {2**_LAST})::BIGINT AS x, floor((lat + 90) / 180 * {2**_LAST})::BIGINT AS y FROM stations),
+ l AS (SELECT z AS level, x >> ({_LAST} - z)::INT AS tx, y >> ({_LAST} - z)::INT AS ty, count(*) AS n FROM f, range({_FIRST}, {_LAST + 1}) r(z) GROUP BY ALL),
+ u AS (SELECT c.* FROM l c LEFT JOIN l p ON p.level = c.level - 1 AND p.tx = c.tx >> 1 AND p.ty = c.ty >> 1 WHERE c.level = {_FIRST} OR p.n >= 20)
+ SELECT level::INT AS level, count(*) AS tiles, sum(n)::BIGINT AS points, max(n) AS most FROM u WHERE n < 20 OR level = {_LAST} GROUP BY level""",
+    "covered_chains": f"""WITH {SQL_VERTICES}, v AS (SELECT line, line AS grp, seq, lat, lon FROM vertices UNION ALL SELECT line + 100, line, seq, lat + CASE WHEN line % 2 = 0 THEN 0.0005e0 ELSE 0.05e0 END, lon FROM vertices WHERE seq < 60),
+ g AS (SELECT *, count(*) OVER (PARTITION BY line) AS n, row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS i, lead(lat) OVER (PARTITION BY line ORDER BY seq) AS blat, lead(lon) OVER (PARTITION BY line ORDER BY seq) AS blon FROM v),
+ z AS (SELECT line, sum({_planar('lat', 'lon', 'blat', 'blon')}) AS m FROM g GROUP BY line), s AS (SELECT g.*, m FROM g JOIN z USING (line) WHERE n <= 24 OR (i * 24) // n <> CASE WHEN i = 0 THEN -1 ELSE ((i - 1) * 24) // n END),
+ t AS (SELECT v.*, m FROM v JOIN z USING (line)), h AS (SELECT DISTINCT s.line, s.seq FROM s JOIN t ON s.grp = t.grp AND (t.m > s.m OR (t.m = s.m AND t.line < s.line)) AND {_planar('s.lat', 's.lon', 't.lat', 't.lon')} <= 140)
+ SELECT line, hits, samples FROM (SELECT line, count(*) AS samples FROM s GROUP BY line) JOIN (SELECT line, count(*) AS hits FROM h GROUP BY line) USING (line) WHERE hits >= 0.6 * samples""",
+    "merge_rule_pairs": f"""WITH {_PINS}, d AS (SELECT *, {_words(_HEAD, N.STOP)} AS toks, CASE WHEN category = 'hospital' THEN {_FULL} ELSE {_DIST} END AS words FROM pins WHERE NOT {_SUB}),
+ p AS (SELECT a.pin AS l_pin, b.pin AS r_pin, a.category, len(list_intersect(a.words, b.words)) AS k, a.toks = b.toks AS same, {_SMALL.format(a='a', b='b')} OR {_SMALL.format(a='b', b='a')} AS small, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d
+  FROM d a JOIN d b ON a.category = b.category AND a.pin < b.pin AND abs(a.lat - b.lat) < 0.02)
+ SELECT l_pin, r_pin FROM p WHERE k > 0 AND d <= CASE WHEN category = 'hospital' THEN 700 ELSE 300 END AND (d <= 60 OR same OR (category = 'hospital' AND k >= 2) OR (d <= 300 AND small))""",
+}
