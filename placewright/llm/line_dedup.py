@@ -28,22 +28,27 @@ _FIELD = "\x01"
 
 
 def lines_of(docs: DataFrame, text: Column, key: Column, order: Column) -> DataFrame:
-    """row, ord, no, n, toks, leaf, line for each line with enough tokens; row: the document's row key.
+    """row, ord, no, n, masked, leaf, line for each line with enough tokens; row: the document's row key.
 
-    A line is masked as a whole, then split once; there is no step for each token.
+    A line is masked as a whole, then split once; there is no step for each token. What goes on is the masked text, which
+    is a third of its list of tokens.
     """
     lines = docs.select(key.alias("row"), order.alias("ord"), F.posexplode(F.split(text, "\n")).alias("no", "s"))
     field = F.regexp_replace("s", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", _FIELD)
     masked = F.when(F.col("s").rlike("[0-9]"), field).otherwise(F.col("s"))
-    lines = lines.select("row", "ord", "no", F.split(F.trim(masked, F.lit(SPACES.decode())), f"{SPACE_CLASS}+").alias("toks"))
+    lines = lines.select("row", "ord", "no", masked.alias("masked")).withColumn("toks", _tokens("masked"))
     lines = lines.withColumn("n", F.size("toks")).where(F.col("n") >= MIN_TOKENS)
-    return lines.withColumns({"leaf": F.xxhash64("n", F.slice("toks", 1, LEADING)), "line": F.xxhash64("toks")})
+    return lines.withColumns({"leaf": F.xxhash64("n", F.slice("toks", 1, LEADING)), "line": F.xxhash64("toks")}).drop("toks")
+
+
+def _tokens(text: str) -> Column:
+    return F.split(F.trim(F.col(text), F.lit(SPACES.decode())), f"{SPACE_CLASS}+")
 
 
 def recurring(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     """leaf, line -> first_row: for every distinct line whose template occurs in two documents or more.
 
-    lines: row, ord, leaf, line of all lines; tokens: leaf, line, toks of the same lines, of which only those are used
+    lines: row, ord, leaf, line of all lines; tokens: leaf, line, masked of the same lines, of which only those are used
     that lie in a leaf with several distinct lines and documents. Which documents have a template is kept as the least and the greatest of them: two differ exactly if there are two.
     Places are compared as (place, token) rows, so no leaf, however full, is gathered in one row or task.
     """
@@ -53,11 +58,11 @@ def recurring(lines: DataFrame, tokens: DataFrame) -> DataFrame:
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), *span)
     several = leaves.where("lines > 1 and lo.row <> hi.row").select("leaf")
     shared = written(tokens.join(several, "leaf", "left_semi").dropDuplicates(["leaf", "line"]), "tokens")
-    places = shared.select("leaf", "line", F.posexplode("toks").alias("at", "tok")).where(F.col("tok") != _FIELD)
+    places = shared.select("leaf", "line", F.posexplode(_tokens("masked")).alias("at", "tok")).where(F.col("tok") != _FIELD)
     places = places.select("leaf", "line", F.xxhash64("at", "tok").alias("place"))
     often = places.groupBy("leaf", "place").agg(F.count("*").alias("n")).where("n > 1").select("leaf", "place")
     fixed = places.join(often, ["leaf", "place"]).groupBy("leaf", "line").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place")).alias("template"))
-    sized = distinct.join(shared.select("leaf", "line", F.size("toks").alias("n")), ["leaf", "line"])
+    sized = distinct.join(shared.select("leaf", "line", F.size(_tokens("masked")).alias("n")), ["leaf", "line"])
     masked = sized.join(fixed, ["leaf", "line"], "left").select(
         "leaf", "line", "lo", "hi", F.when(F.col("fixed") >= FIXED * F.col("n"), F.col("template")).otherwise(F.col("line")).alias("template")
     )
@@ -77,8 +82,8 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", copy_sh
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = row_key(F.col(key), body)
     every = lines_of(docs, body, row, F.col(key))
-    lines = written(every.drop("toks"), "all-lines")
-    found = lines.drop("ord").join(recurring(lines, every.select("leaf", "line", "toks")), ["leaf", "line"], "left")
+    lines = written(every.drop("masked"), "all-lines")
+    found = lines.drop("ord").join(recurring(lines, every.select("leaf", "line", "masked")), ["leaf", "line"], "left")
     gone = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
     cut = (
         found.groupBy("row")
