@@ -138,8 +138,8 @@ QUERIES = {f.__name__: f for f in (
     html_line_pattern, page_lines, section_fill, name_rules, line_rules, system_labels, other_names, coordinate_texts, peaks, month_labels, log_fold, dataset_checks, county_probes, weekend_lines, deck_cards,
 )}
 
-_LINES = r"""l AS (SELECT page_id, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS line, FROM pages),
- n AS (SELECT page_id, line, row_number() OVER (PARTITION BY page_id) AS no FROM l)"""
+_LINES = r"""l AS (SELECT page_id, unnest(w) AS line, generate_subscripts(w, 1) AS i FROM (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', ' ', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS w FROM pages)),
+ n AS (SELECT page_id, line, i AS no FROM l)"""
 ORACLE_SQL = {
     "html_line_pattern": f"WITH {_LINES}, p AS (SELECT *, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM n WINDOW w AS (PARTITION BY page_id ORDER BY no)) SELECT regexp_replace(line, ',\\s*$', '') AS name, arg_min(b, (page_id, no)) AS city FROM p WHERE line LIKE '%,' AND contains(c, 'e') GROUP BY 1",
     "page_lines": f"WITH {_LINES} SELECT page_id, count(*) AS lines, max(length(line)) AS longest FROM l GROUP BY page_id",

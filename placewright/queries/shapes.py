@@ -37,7 +37,7 @@ def snap_to_line(spark: SparkSession, sf: str) -> DataFrame:
 def offset_lines(spark: SparkSession, sf: str) -> DataFrame:
     """L1, L2: three colours side by side; the middle vertex of each."""
     w = L.coords_of(X.line_vertices(spark, sf)).select(c("line").alias("way_id"), "coords", F.array(F.lit("r"), F.lit("y"), F.lit("g")).alias("colors"))
-    out = L.interline(w)
+    out = L.interline(w.where(F.size("coords") > 2))
     return out.select("way_id", "color", F.size("coords").cast("long").alias("n"), F.round(c("coords")[1]["lat"], 7).alias("lat"), F.round(c("coords")[1]["lon"], 7).alias("lon"))
 
 
@@ -190,7 +190,7 @@ def merge_eval(spark: SparkSession, sf: str) -> DataFrame:
 def override_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth name as a query, and some that match nothing."""
     p = pins(spark, sf)
-    o = p.where("pin % 40 = 0").select(c("pin").alias("ord"), "category", F.when(c("pin") % 80 == 0, F.concat(F.lit("No such "), "name")).otherwise(F.upper("name")).alias("query"), F.when(c("pin") % 120 == 0, c("lat")).alias("lat"), F.when(c("pin") % 120 == 0, c("lon")).alias("lon"))
+    o = p.where("pin % 40 = 0").select(c("pin").alias("ord"), "category", F.when(c("pin") % 80 == 0, F.concat(F.lit("Nowhere "), c("pin").cast("string"))).otherwise(F.upper("name")).alias("query"), F.when(c("pin") % 120 == 0, c("lat")).alias("lat"), F.when(c("pin") % 120 == 0, c("lon")).alias("lon"))
     got, missing = E.resolve_overrides(p, o)
     return got.select("ord", "pin").unionByName(missing.select("ord", F.lit(-1).cast("long").alias("pin")))
 
@@ -225,7 +225,7 @@ ORACLE_SQL = {
     "line_lengths": f"WITH {_SEG} SELECT line, round(sum({_planar('lat', 'lon', 'blat', 'blon')}), 1) AS length_m, count(*) AS vertices FROM seg GROUP BY line HAVING sum({_planar('lat', 'lon', 'blat', 'blon')}) >= 800",
     "snap_to_line": f"WITH {_SNAP}, b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY d) = 1) SELECT station_id, round(CASE WHEN d > 300 THEN lat + y / 110540.0e0 ELSE lat END, 5) AS lat, round(CASE WHEN d > 300 THEN lon + x / kx ELSE lon END, 5) AS lon, round(d, 1) AS d, d > 300 AS moved FROM b WHERE d <= 3000",
     "offset_lines": f"""WITH {SQL_VERTICES}, n AS (SELECT *, row_number() OVER w AS i, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon, count(*) OVER (PARTITION BY line) AS n FROM vertices WINDOW w AS (PARTITION BY line ORDER BY seq)),
- m AS (SELECT *, 111320.0e0 * cos(radians(lat)) AS mx FROM n WHERE i = 2), t AS (SELECT *, (blon - alon) * mx AS tx, (blat - alat) * 110540.0e0 AS ty FROM m), k AS (SELECT *, sqrt(tx * tx + ty * ty) AS h FROM t)
+ m AS (SELECT *, 111320.0e0 * cos(radians(lat)) AS mx FROM n WHERE i = 2 AND n > 2), t AS (SELECT *, (blon - alon) * mx AS tx, (blat - alat) * 110540.0e0 AS ty FROM m), k AS (SELECT *, sqrt(tx * tx + ty * ty) AS h FROM t)
  SELECT line AS way_id, color, n, round(lat + tx / h * o / 110540.0e0, 7) AS lat, round(lon - ty / h * o / mx, 7) AS lon FROM k, (VALUES ('r', -16.0e0), ('y', 0.0e0), ('g', 16.0e0)) AS v(color, o)""",
     "clipped_lines": f"WITH {SQL_VERTICES}, k AS (SELECT line, arg_min(seq, ({_planar('lat', 'lon', '37.7e0', '-122.0e0')}, seq)) AS cut FROM vertices GROUP BY line) SELECT line, count(*) AS n, min(seq) AS first_seq FROM vertices JOIN k USING (line) WHERE seq >= cut GROUP BY line",
     "chain_groups": _REACH,
