@@ -74,6 +74,18 @@ def test_slots_equal_definitions(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_remaining_counts_read_all_questions_of_a_game(spark, monkeypatch):
+    st = X.stations(spark, SF)
+    mild = X.questions(spark, SF, None).where("answer = 'no' and kind in ('radar', 'match-namelength', 'match-line', 'match-city')")
+    assert Q.live(mild).groupBy("game_id").count().where(F.col("count") > 2 * Q.SLOTS).count() > 0
+    want = Q.verdicts(st, mild, X.AIRPORTS).groupBy("game_id", "station_id").agg(F.bool_and("ok").alias("ok")).groupBy("game_id").agg(F.count_if("ok").alias("n"))
+    want = sorted(map(tuple, want.collect()))
+    assert any(n for _, n in want)
+    for most in (Q.ROW_QUESTIONS, 4):
+        monkeypatch.setattr(Q, "ROW_QUESTIONS", most)
+        assert sorted(map(tuple, Q.remaining_counts(st, mild, X.AIRPORTS).collect())) == want
+
+
 def test_rewards_and_groups(spark):
     rows = [question("thermometer", to=(37.782, -122.4194), qid=1), question("thermometer", to=(37.782, -122.4194), qid=2), question("radar", radius=5.0, qid=3)]
     got = {r["question_id"]: (r["group_key"], r["cards"]) for r in Q.ask_history(spark.createDataFrame(rows, QUESTION)).collect()}
