@@ -326,6 +326,16 @@ def test_decontamination_finds_planted_and_spares_clean(spark, docs, duck):
     assert len({(n, n % len(items)) for n in range(20)} & got) >= 18
 
 
+def test_decontamination_finds_items_of_a_large_benchmark(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(r.choices(words, k=40))) for i in range(4000)]
+    docs = [(i, " ".join(r.choices(words, k=300)) + " " + (items[i * 20][1] if i % 2 else "") + " " + " ".join(r.choices(words, k=300))) for i in range(200)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i * 20) for i in range(1, 200, 2)}
+
+
 def test_lcs_equals_the_table():
     r = random.Random(1)
     for _ in range(50):
