@@ -336,6 +336,20 @@ def test_decontamination_finds_items_of_a_large_benchmark(spark):
     assert got == {(i, i * 20) for i in range(1, 200, 2)}
 
 
+def test_decontamination_finds_an_item_that_is_in_a_third_of_the_rows(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    item = " ".join(r.choices(words, k=30))
+    text = lambda k: " ".join(r.choices(words, k=k))
+    spread = [(i, f"{text(40)} {item} {text(40)}") for i in range(50)] + [(i, f"same text {item}") for i in range(50, 100)]
+    docs = spark.createDataFrame(spread + [(i, text(100)) for i in range(100, 300)], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item), (2, text(30))], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(i, 1) for i in range(100)]
+    hashes = np.sort(word_hashes(np.frombuffer(item.encode(), np.uint8), np.array([0, len(item)]))[0])
+    df, n = decontaminate.document_counts(docs, np.unique(hashes))
+    assert n == 251 and df.min() >= 51 and df.max() < 100
+
+
 def test_lcs_equals_the_table():
     r = random.Random(1)
     for _ in range(50):
