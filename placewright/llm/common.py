@@ -18,6 +18,10 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: What the names of an operator's own passing columns begin with: no column of an input clashes with them.
+OWN = "__placewright_"
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; null where doc_id is null."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -70,7 +70,7 @@ def test_defined_results(spark, edge):
     assert j[4]["class_id"] == 3 and j[3]["n_copies"] == 2 and j[1]["class_id"] == 1 and j[2]["n_copies"] == 0
     k = by(katz.katz_scores(edge, F.col("doc_id") % 2 == 1))
     assert k[1]["n_tokens"] == 1 and k[5]["n_tokens"] == 30_001 and not k[None]["held_out"]
-    cut = by(line_dedup.line_dedup(edge, copy_share=2.0))
+    cut = by(line_dedup.line_dedup(edge, copy_percent=200))
     assert cut[4]["text"] == "" and cut[3]["text"].startswith("the cat") and cut[1]["text"] is None
 
 
