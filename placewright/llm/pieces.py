@@ -9,6 +9,10 @@ a step at once, by length. Backward: A-star goes from the end of a segment to it
 heuristics, so paths leave the agenda in order of their total scores and no path is opened in vain. The N best of a text
 are the N best sums over its segments; only the N - 1 segments with the least loss for their second path can differ.
 A character without a piece becomes its UTF-8 bytes' pieces, at a score below any other piece.
+
+The scores in the model file are merge ranks, not log probabilities: their sums favour many early merges. A piece's score
+here is the log probability that Zipf's law gives its rank, log(1 / (rank + ZIPF_SHIFT)) less the log of the sum over all
+pieces. Nothing is trained.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, mix, steps
+from .common import OWN, Lookup, mix, steps
 
 MARK = "▁"
+TEXT, IDS = f"{OWN}text", f"{OWN}ids"
 N_BEST = 3
-#: Segments that a worker remembers; a full memory is emptied.
-CACHE_SEGMENTS = 1_000_000
+#: Segments, and segments with their N best, that a worker remembers, some 64 MB in all; a full memory is emptied, and all
+#: is forgotten at the end of a task.
+CACHE_SEGMENTS, CACHE_WAYS = 300_000, 20_000
+#: Added to the rank of a piece in Zipf's law.
+ZIPF_SHIFT = 50.0
 #: As many segments of one length make a numpy step worthwhile.
-_TOGETHER = 40
+_TOGETHER = 8
 _SEGMENT = re.compile(r" *[^ ]+| +$")
 _PRIME = np.uint64(0x100000001B3)
 
@@ -47,14 +55,22 @@ class Vocabulary:
             self.raw[i] = bytes([b])
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.names[i]: i for i in plain}
-        self.score = np.array([sp.get_score(i) for i in range(n)])
+        self.score = np.full(n, -np.inf)
+        rank = np.argsort([-sp.get_score(i) for i in plain], kind="stable")
+        share = 1 / (np.arange(len(plain)) + ZIPF_SHIFT)
+        self.score[np.array(plain)[rank]] = np.log(share / share.sum())
         self.longest = max(len(p) for p in self.ids)
-        usual = self.score[plain]  # runs of marks have a score far below all others, for which nothing else is left
-        self.unknown = float(usual[usual > -1e8].min()) - 10.0
+        self.unknown = float(self.score[plain].min()) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark inside: texts don't fall into segments at marks")
-        self.plain = np.array(plain)
-        self.find = Lookup(np.array([self._hash(self.names[i]) for i in plain], np.uint64))
+        # The tree of all beginnings of pieces: the piece that each one is (-1: none), and whether one goes on from it.
+        starts = sorted({p[:k] for p in self.ids for k in range(1, len(p) + 1)})
+        goes_on = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self.find = Lookup(np.array([self._hash(p) for p in starts], np.uint64))
+        self.piece_of = np.array([self.ids.get(p, -1) for p in starts], np.int32)
+        self.goes_on = np.array([p in goes_on for p in starts])
+        self.of_char = np.full(0x110000, -1, np.int32)
+        self.of_char[[ord(p) for p in starts if len(p) == 1]] = [i for i, p in enumerate(starts) if len(p) == 1]
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in self.ids if len(p) == 1]] = True
         self.index: dict[str, int] = {}
@@ -162,42 +178,50 @@ class Vocabulary:
 
     def _together(self, texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(texts)
-        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(n, length)
+        code = np.ascontiguousarray(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(n, length).T)
         wide = code.astype(np.uint64) + np.uint64(1)
         best, second = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
         best[0] = 0
         came, piece = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
-        hashes: list[np.ndarray] = []
-        for end in range(1, length + 1):
-            hashes = [h * _PRIME + wide[:, end - 1] for h in hashes[-(self.longest - 1) :]] + [wide[:, end - 1].copy()]
-            a, b = best[end], second[end]
-            start = end - len(hashes)
-            for h in hashes:
-                row = self.find(mix(h))
-                hit = np.flatnonzero(row >= 0)
+        every = np.arange(n)
+        for start in range(length):  # earlier starts have settled best[start]; a start goes down the tree of pieces
+            live, row, h = every, self.of_char[code[start]], wide[start]
+            for end in range(start + 1, length + 1):
+                ids = self.piece_of[row]
+                hit = np.flatnonzero((row >= 0) & (ids >= 0))
                 if len(hit):
-                    ids = self.plain[row[hit]]
-                    self._offer(a, b, came[end], piece[end], best[start], second[start], hit, self.score[ids], start, ids)
-                start += 1
-            hit = np.flatnonzero(~self.single[code[:, end - 1]])
-            if len(hit):
-                self._offer(a, b, came[end], piece[end], best[end - 1], second[end - 1], hit, self.unknown, end - 1, -1)
-        # Walk back from the ends; a piece of -1 is a character's bytes.
-        parts: list[list[int]] = [[] for _ in range(n)]
-        at = np.full(n, length)
-        while True:
-            live = np.flatnonzero(at > 0)
-            if not len(live):
-                break
-            ids, start = piece[at[live], live], came[at[live], live]
-            for i, p, s in zip(live.tolist(), ids.tolist(), start.tolist()):
-                if p >= 0:
-                    parts[i].append(p)
-                else:
-                    parts[i] += [self.byte_ids[x] for x in reversed(texts[i][s].encode())]
-            at[live] = start
-        size = np.fromiter(map(len, parts), np.int64, n)
-        return best[length], second[length], size, np.fromiter((i for x in parts for i in reversed(x)), np.int32, int(size.sum()))
+                    at, ids = live[hit], ids[hit]
+                    self._offer(best[end], second[end], came[end], piece[end], best[start], second[start], at, self.score[ids], start, ids)
+                go = np.flatnonzero((row >= 0) & self.goes_on[row])
+                if not len(go) or end == length:
+                    break
+                live = live[go]
+                h = h[go] * _PRIME + wide[end][live]
+                row = self.find(mix(h))
+            odd = np.flatnonzero(~self.single[code[start]])
+            if len(odd):
+                end = start + 1
+                self._offer(best[end], second[end], came[end], piece[end], best[start], second[start], odd, self.unknown, start, -1)
+        # Walk back from the ends, all segments at once; a piece of -1 is a character's bytes.
+        owners, ids, starts = [], [], []
+        at, live = np.full(n, length), every
+        while len(live):
+            owners.append(live)
+            ids.append(piece[at[live], live])
+            starts.append(came[at[live], live])
+            at[live] = starts[-1]
+            live = live[starts[-1] > 0]
+        owner, flat, start = (np.concatenate(x[::-1]) for x in (owners, ids, starts))
+        order = np.argsort(owner, kind="stable")
+        owner, flat, start = owner[order], flat[order], start[order]
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            own = [[self.byte_ids[x] for x in texts[i][s].encode()] for i, s in zip(owner[odd].tolist(), start[odd].tolist())]
+            width = np.ones(len(flat), np.int64)
+            width[odd] = [len(x) for x in own]
+            owner, flat = np.repeat(owner, width), np.repeat(flat, width)
+            flat[flat < 0] = [i for x in own for i in x]
+        return best[length], second[length], np.bincount(owner, minlength=n), flat.astype(np.int32)
 
     @staticmethod
     def _offer(a, b, came, piece, best, second, hit, score, start, ids) -> None:  # noqa: ANN001
@@ -244,7 +268,7 @@ class Vocabulary:
             ways = self.nbest_of.get((s, n))
             if ways is None:
                 ways = self.nbest_of[s, n] = self.nbest(MARK + s.replace(" ", MARK), n)
-                if len(self.nbest_of) > 50_000:
+                if len(self.nbest_of) > CACHE_WAYS:
                     self.nbest_of.clear()
             top = ways[0][0]
             both = [(x + top - score, change if j == 0 else (*change, (i, ids))) for x, change in out for j, (score, ids) in enumerate(ways)]
@@ -286,23 +310,29 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text: str = "text"
     order of the agenda. Rows are independent; an empty table stays empty; other columns are left out.
     """
     keep = keep if keep is not None else ["doc_id"]
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(TEXT))
     ways = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model)
-        for part in steps(batches, "_text", 1_000_000):
-            texts = part.column("_text").to_pylist()
-            numbers, starts, flat = vocabulary.encode(texts)
-            ids, cuts = vocabulary.ids_of(numbers, starts)
-            score = np.add.reduceat(np.append(vocabulary.best[numbers], 0.0), np.minimum(starts[:-1], len(numbers))) * (np.diff(starts) > 0)
-            some, good = [], []
-            for i, t in enumerate(texts):
-                best = vocabulary.alternatives(flat, numbers, starts[i], starts[i + 1], n_best)
-                some.append([{"score": score[i] - x, "changes": [{"segment": p, "ids": q} for p, q in c]} for x, c in best])
-                good.append(vocabulary.decode(ids[cuts[i] : cuts[i + 1]].tolist()) == t.replace(MARK, " "))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(score), pa.array(some, ways), pa.array(good)], names=[*keep, "ids", "score", "n_best", "round_trip"])
+        try:
+            for part in steps(batches, TEXT, 1_000_000):
+                yield encoded(part, vocabulary)
+        finally:
+            vocabulary.clear()
+
+    def encoded(part: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
+        texts = part.column(TEXT).to_pylist()
+        numbers, starts, flat = vocabulary.encode(texts)
+        ids, cuts = vocabulary.ids_of(numbers, starts)
+        score = np.add.reduceat(np.append(vocabulary.best[numbers], 0.0), np.minimum(starts[:-1], len(numbers))) * (np.diff(starts) > 0)
+        some, good = [], []
+        for i, t in enumerate(texts):
+            best = vocabulary.alternatives(flat, numbers, starts[i], starts[i + 1], n_best)
+            some.append([{"score": score[i] - x, "changes": [{"segment": p, "ids": q} for p, q in c]} for x, c in best])
+            good.append(vocabulary.decode(ids[cuts[i] : cuts[i + 1]].tolist()) == t.replace(MARK, " "))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(score), pa.array(some, ways), pa.array(good)], names=[*keep, "ids", "score", "n_best", "round_trip"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, f"{kinds}, ids array<int>, score double, n_best array<struct<score:double,changes:array<struct<segment:int,ids:array<int>>>>>, round_trip boolean")
@@ -311,13 +341,13 @@ def encode(docs: DataFrame, model: str, n_best: int = N_BEST, text: str = "text"
 def decode(rows: DataFrame, model: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `rows` and `text`, decoded from the list of ids; null lists give null."""
     keep = keep if keep is not None else ["doc_id"]
-    some = rows.select(*keep, F.col(ids).alias("_ids"))
+    some = rows.select(*keep, F.col(ids).alias(IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [None if x is None else vocabulary.decode(x) for x in part.column("_ids").to_pylist()]
+                texts = [None if x is None else vocabulary.decode(x) for x in part.column(IDS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema.fields[: len(keep)])
@@ -338,4 +368,4 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return digest(encode(docs, public_tokenizers.path("piece_bpe_32k.model")), "ids", "n_best")

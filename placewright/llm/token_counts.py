@@ -18,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of each of a worker's caches; a full cache is emptied.
-CACHE_WORDS = 800_000
+#: Entries of each of a worker's two caches, some 30 MB; a full cache is emptied, and both are at the end of a task.
+CACHE_WORDS = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -167,17 +167,19 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, chunks, pieces = rules_of(vocabulary)
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = part.column("text")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], pa.int64()),
-                        pa.array([count_text(t, rules, chunks, pieces) if t else 0 for t in texts.to_pylist()], pa.int64()),
-                    ],
-                    names=["doc_id", "n_bytes", "n_tokens"],
-                )
+        try:
+            for batch in batches:
+                for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                    yield counted(part, rules, chunks, pieces)
+        finally:
+            chunks.clear()
+            pieces.clear()
+
+    def counted(part: pa.RecordBatch, rules: MergeRules, chunks: dict[str, int], pieces: dict[str, int]) -> pa.RecordBatch:
+        texts = part.column("text")
+        n_bytes = pa.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], pa.int64())
+        n_tokens = pa.array([count_text(t, rules, chunks, pieces) if t else 0 for t in texts.to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, n_tokens], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
