@@ -20,6 +20,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: What the names of an operator's own passing columns begin with: no column of an input clashes with them.
 OWN = "__placewright_"
+ROW = f"{OWN}row"
 
 
 def remainder(doc_id: Column | str, n: int) -> Column:

@@ -19,18 +19,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Lookup, remainder, steps, string_bytes
+from .common import OWN, Lookup, remainder, steps, string_bytes
 
 ORDER = 4
+TEXT, SOME = f"{OWN}text", f"{OWN}some"
 #: Bound of the labelled sample: bytes of training text per language, taken in order of a hash of the text.
 TRAIN_BYTES = 300_000
-#: Bytes that one labelled text gives to the sample at most, so that one long text isn't the whole sample.
-TRAIN_TEXT_BYTES = 6_000
-#: Languages that are learned at most: those with the most labelled texts.
-MAX_LANGUAGES = 64
+#: Characters that one labelled text gives to the sample at most, as a run from any part of it, so that one long text isn't
+#: the whole sample.
+TRAIN_TEXT_CHARS = 6_000
+
 
 def grams(data: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
     """For each byte the last k bytes up to and with it, as one number; bytes before the text's start are 0."""
@@ -113,26 +114,24 @@ class Trees:
         return total
 
 
-def labelled_sample(rows: DataFrame, bytes_each: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """A bounded sample of labelled texts: per language the texts of the least hashes, up to bytes_each in all.
+def labelled_sample(rows: DataFrame, bytes_each: int = TRAIN_BYTES, text_chars: int = TRAIN_TEXT_CHARS) -> dict[str, list[bytes]]:
+    """A bounded sample of labelled texts: of every language the distinct texts of the least hashes, up to bytes_each in all.
 
-    rows: lang, text. Only the MAX_LANGUAGES largest languages, and per language the rows that fit, reach the driver.
+    rows: lang, text. Only the rows that fit reach the driver, so what it gets grows with the number of languages alone.
     """
-    rows = rows.where("lang is not null and length(text) > 0")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    n = {r["lang"]: r["count"] for r in top.collect()}
+    h = F.xxhash64("text")
+    rows = rows.where("lang is not null and length(text) > 0").select("lang", "text", h.alias("h"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not n:
         return {}
     want = max(1, 4 * bytes_each // 1_000)  # texts of at least some hundred bytes: more than enough to fill the sample
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, want / v))])
-    # Each row passes by a hash of its own text, so each task thins out alone; the window then sees a bounded number.
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.where(F.col("lang").isin(list(n)) & (h < share[F.col("lang")])).select(
-        "lang", F.substring("text", 1, TRAIN_TEXT_BYTES).alias("t"), h.alias("h")
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy("h", "t")
+    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, want / max(v, 1)))])
+    # Each row passes by a hash of its own text, so each task thins out alone, and of copies one is left after a partial
+    # aggregate; the window then sees a bounded number.
+    few = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - text_chars, F.lit(0)) + 1).cast("int") + 1
+    few = few.select("lang", "h", F.substr("text", at, F.lit(text_chars)).alias("t")).dropDuplicates(["lang", "h"])
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "t")
     few = few.withColumn("upto", F.sum(F.octet_length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     out: dict[str, list[bytes]] = {}
     for r in few.where(F.coalesce("upto", F.lit(0)) < bytes_each).orderBy("lang", "h", "t").collect():
@@ -146,17 +145,17 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: list[str]
     first language in alphabetical order. Rows are independent: repeated rows repeat, an empty table stays empty.
     """
     keep = keep if keep is not None else ["doc_id"]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_some"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(TEXT), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(SOME))
     names = np.array([*trees.languages, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, "_text", 1_000_000):
-            data, bounds = string_bytes(part.column("_text"))
+        for part in steps(batches, TEXT, 1_000_000):
+            data, bounds = string_bytes(part.column(TEXT))
             bits = trees.code_lengths(data, bounds)
             best = np.argmin(bits, axis=1)
             least = bits[np.arange(len(bits)), best]
             score = 1 / np.exp2(np.maximum(-1000.0, least[:, None] - bits)).sum(axis=1)
-            some = part.column("_some").to_numpy(zero_copy_only=False).astype(bool)
+            some = part.column(SOME).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), pa.array(names[np.where(some, best, -1)]), pa.array(np.where(some, score, 0.0))],
                 names=[*keep, "lang_pred", "score"],

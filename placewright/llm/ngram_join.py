@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from placewright.plans.graph import components
 
-from .common import by_group, mix, pack, row_key, steps, string_bytes, word_hashes, written
+from .common import ROW, by_group, mix, pack, row_key, steps, string_bytes, word_hashes, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -276,9 +276,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stand for their class: one row of each class, with the columns of `docs`."""
-    keyed = docs.withColumn("_row", row_key(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    heads = ngram_join(docs, threshold, text=text, key=key).where("key = class_key").select(F.col("key").alias("_row"))
-    return keyed.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    keyed = docs.withColumn(ROW, row_key(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    heads = ngram_join(docs, threshold, text=text, key=key).where("key = class_key").select(F.col("key").alias(ROW))
+    return keyed.join(heads, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

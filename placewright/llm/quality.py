@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES
+from .common import OWN, SPACE_CLASS, SPACES
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages.
@@ -59,62 +59,62 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     df = docs.withColumns(
         {
-            "_t": t,
-            "_w": F.filter(F.split(t, f"{SPACE_CLASS}+"), lambda w: w != ""),
-            "_l": F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:-1]}]")),
+            f"{OWN}t": t,
+            f"{OWN}w": F.filter(F.split(t, f"{SPACE_CLASS}+"), lambda w: w != ""),
+            f"{OWN}l": F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:-1]}]")),
         }
     )
     df = df.withColumn(
-        "_s",
+        f"{OWN}s",
         F.when(
-            F.size("_w") >= 3,
+            F.size(f"{OWN}w") >= 3,
             F.array_sort(
                 F.transform(
                     F.arrays_zip(
-                        F.slice("_w", 1, F.size("_w") - 2).alias("a"),
-                        F.slice("_w", 2, F.size("_w") - 2).alias("b"),
-                        F.slice("_w", 3, F.size("_w") - 2).alias("c"),
+                        F.slice(f"{OWN}w", 1, F.size(f"{OWN}w") - 2).alias("a"),
+                        F.slice(f"{OWN}w", 2, F.size(f"{OWN}w") - 2).alias("b"),
+                        F.slice(f"{OWN}w", 3, F.size(f"{OWN}w") - 2).alias("c"),
                     ),
                     lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")),
                 )
             ),
         ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
     )
-    same = lambda x, j: x["h"] == F.get("_s", j)["h"]
+    same = lambda x, j: x["h"] == F.get(f"{OWN}s", j)["h"]
     df = df.withColumn(
-        "_d",
+        f"{OWN}d",
         F.array_sort(
             F.transform(
                 F.filter(
-                    "_s",
+                    f"{OWN}s",
                     lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False)),
                 ),
                 lambda x: x["i"],
             )
         ),
     )
-    covered = F.transform("_d", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("_d", k + 1) - x, F.lit(3))))
-    n = F.size("_w").cast("long")
-    lines = F.greatest(F.size("_l"), F.lit(1))
+    covered = F.transform(f"{OWN}d", lambda x, k: F.least(F.lit(3), F.coalesce(F.get(f"{OWN}d", k + 1) - x, F.lit(3))))
+    n = F.size(f"{OWN}w").cast("long")
+    lines = F.greatest(F.size(f"{OWN}l"), F.lit(1))
     words = F.greatest(n, F.lit(1))
     return df.withColumns(
         {
             "n_words": n,
-            "word_chars": F.length(F.translate("_t", SPACES.decode(), "")).cast("long"),
-            "n_symbols": _count_chars(F.col("_t"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            "word_chars": F.length(F.translate(f"{OWN}t", SPACES.decode(), "")).cast("long"),
+            "n_symbols": _count_chars(F.col(f"{OWN}t"), SYMBOLS).cast("long"),
+            "n_dup_lines": (F.size(f"{OWN}l") - F.size(F.array_distinct(f"{OWN}l"))).cast("long"),
             "n_repeat_words": F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("long"),
-            "_stop": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))),
+            f"{OWN}stop": F.size(F.filter(f"{OWN}w", lambda w: F.lower(w).isin(STOP_WORDS))),
         }
     ).withColumns(
         {
             "mean_word_chars": F.col("word_chars") / words,
-            "symbol_word_ratio": F.size(F.filter("_w", lambda w: w.rlike(r"^[#*$%&|<>]+$"))) / words,
-            "stop_word_ratio": F.col("_stop") / words,
+            "symbol_word_ratio": F.size(F.filter(f"{OWN}w", lambda w: w.rlike(r"^[#*$%&|<>]+$"))) / words,
+            "stop_word_ratio": F.col(f"{OWN}stop") / words,
             "dup_line_ratio": F.col("n_dup_lines") / lines,
-            "bullet_line_ratio": F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•]"))) / lines,
-            "ellipsis_line_ratio": F.size(F.filter("_l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / lines,
-            "upper_char_ratio": F.length(F.regexp_replace("_t", r"[^A-Z]", ""))
+            "bullet_line_ratio": F.size(F.filter(f"{OWN}l", lambda x: x.rlike(r"^\s*[-*•]"))) / lines,
+            "ellipsis_line_ratio": F.size(F.filter(f"{OWN}l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) / lines,
+            "upper_char_ratio": F.length(F.regexp_replace(f"{OWN}t", r"[^A-Z]", ""))
             / F.greatest(F.col("word_chars"), F.lit(1)),
         }
     )
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     df = measures(docs, text)
     return df.withColumns({"failed_rules": compiled(rules), "base_failed": base_failed()}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
-    ).drop("_t", "_w", "_l", "_s", "_d", "_stop")
+    ).drop(f"{OWN}t", f"{OWN}w", f"{OWN}l", f"{OWN}s", f"{OWN}d", f"{OWN}stop")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

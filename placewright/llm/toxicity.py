@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, remainder, row_key, steps, string_bytes, written
+from .common import ROW, pack, remainder, row_key, steps, string_bytes, written
 from .decontaminate import plain
 
 STEMS = (4, 5, 6, 7)
@@ -252,10 +252,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, sample: int
 
 def not_toxic(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with the columns of `docs`."""
-    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = docs.withColumn(ROW, row_key(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     model = fit(training_rows(docs, labels, learn))
-    bad = score(keyed, model, keep=["_row"]).where("predicted = 1").select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    bad = score(keyed, model, keep=[ROW]).where("predicted = 1").select(ROW).distinct()
+    return keyed.join(bad, ROW, "left_anti").drop(ROW)
 
 
 def learned_from() -> Column:
