@@ -1,25 +1,30 @@
 """Operator 5, toxicity by weak supervision.
 
 Voters are simple and many: words of a small lexicon, stems (the first 4 to 7 bytes of a word) that labelled toxic texts
-have far more often than clean ones, once or repeatedly, and patterns. A voter says "toxic" or nothing. A generative label model estimates by
-EM how often each voter speaks on toxic and on clean texts; voters that go together beyond what the label explains
-(nested stems above all) are found from the correlations of their residuals, and weigh less the more company they have.
-The model's posterior labels, not the given ones, train a linear classifier over voters and hit counts; that classifier
-scores every text.
+have far more often than clean ones, once or repeatedly, and patterns, some of which speak for clean texts. A voter
+speaks or abstains. A generative label model estimates by EM how often each voter speaks on toxic and on clean texts,
+starting from and held near the rates that labelled texts show; a single text's given label has no vote. Voters that go
+together beyond what the label explains (nested stems above all) are found from the correlations of their residuals,
+and share one vote. The model's posterior labels, not the given ones, train a linear classifier over
+voters and hit counts; the given labels only set its scale. That classifier scores every text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, pack, remainder, row_key, steps, string_bytes, written
+from .common import ROW, mix, pack, remainder, row_key, steps, string_bytes, word_hashes, written
 from .decontaminate import plain
+from .ngram_join import least_labels, shingles
 
 STEMS = (4, 5, 6, 7)
 LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb hate ugly imbecile retard".split()
@@ -27,11 +32,17 @@ LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clo
 VOTERS = 400
 #: Evidence a stem needs (twice the log likelihood ratio): beyond chance among some hundred thousand stems.
 EVIDENCE = 25.0
-#: Bound of the sample of labelled texts on which label model and classifier are fitted.
+#: Bound of the sample of labelled texts on which label model and classifier are fitted; voters are counted over all.
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: A given label's own accuracy in the label model: it is one more voter.
-LABEL_ACCURACY = 0.95
+#: Texts that a voter's first rates count as in the label model.
+ANCHOR = 50.0
+#: Correlation of residuals from which voters share one vote.
+TOGETHER = 0.5
+#: Words of a shingle, the least of whose hashes tells copies and most near copies.
+SHINGLE = 3
+#: Hash places of the filter by which clean texts' stems are thinned; a fixed size, whatever the corpus.
+FILTER_BITS = 24
 _PRIOR = 0.1
 _REPEATED = np.uint64(1 << 63)  # in a voter's key: the stem occurs twice or more in the text
 
@@ -67,7 +78,7 @@ def stems(data: np.ndarray, bounds: np.ndarray) -> tuple[dict[int, np.ndarray],
 @dataclass(frozen=True)
 class Model:
     keys: np.ndarray  # stem keys of the voters, sorted
-    weights: np.ndarray  # of the voters, then of the counts and patterns
+    weights: np.ndarray  # of the stems, the patterns, then the counts
     bias: float
 
 
@@ -85,80 +96,143 @@ def spoken(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([key[first], key[twice] | _REPEATED]), np.concatenate([own[first], own[twice]]), np.bincount(text, minlength=len(bounds) - 1)
 
 
+#: Pattern voters over the raw text; True if they speak for toxic texts, False for clean ones.
+PATTERNS = (
+    ("shout", True, lambda t: (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))) * 10 > F.length(t)),
+    ("exclaims", True, lambda t: t.contains("!!!")),
+    ("masked", True, lambda t: t.rlike(r"[A-Za-z][*@#$]{2,}")),
+    ("capitals", True, lambda t: t.rlike(r"(?:\b[A-Z]{3,}[ !?]+){3}")),
+    ("figures", False, lambda t: t.rlike(r"(?:[0-9][^0-9]{0,3}){12}")),
+    ("listing", False, lambda t: t.rlike(r"\n[-*•] [^\n]*\n[-*•] ")),
+)
+
+
 def _features(part: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Votes as (text, voter) pairs in order of the text, and dense features: votes, votes for the words, shouting."""
+    """Votes as (text, voter) pairs in order of the text, stems before patterns, and dense features: votes for toxic
+    texts, and those for the words."""
     key, text, words = spoken(*string_bytes(part.column("text")))
     n = part.num_rows
     at = np.searchsorted(keys, key)
     at[at == len(keys)] = 0
     m = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-    row, voter = text[m], at[m]
+    votes = np.bincount(text[m], minlength=n)
+    flags = part.column("flags").to_numpy(zero_copy_only=False).astype(np.int64)
+    said, pattern = np.nonzero(flags[:, None] >> np.arange(len(PATTERNS)) & 1)
+    row, voter = np.concatenate([text[m], said]), np.concatenate([at[m], len(keys) + pattern])
     order = np.argsort(row, kind="stable")
-    votes = np.bincount(row, minlength=n)
-    shout = part.column("shout").to_numpy(zero_copy_only=False).astype(np.float64)
-    return row[order], voter[order], np.stack([np.log1p(votes), np.minimum(1, 10 * votes / np.maximum(words, 20)), shout], axis=1)
+    return row[order], voter[order], np.stack([np.log1p(votes), np.minimum(1, 10 * votes / np.maximum(words, 20))], axis=1)
 
 
 def prepared(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
+    """The columns `keep`, flags (which patterns speak, a bit each), and text as it is compared."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    shout = (F.length(F.regexp_replace(t, "[^!]", "")) * 10 > F.length(t)).cast("int")
-    return docs.select(*keep, plain(t).alias("text"), shout.alias("shout"))
+    flags = reduce(add, (F.when(speaks(t), 1 << i).otherwise(0) for i, (_, _, speaks) in enumerate(PATTERNS)))
+    return docs.select(*keep, plain(t).alias("text"), flags.alias("flags"))
 
 
-def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
-    """labelled: text, toxic (0/1). Keys of the lexicon and of the stems that tell toxic texts, counted over all rows."""
+def stem_counts(rows: DataFrame, least: np.ndarray | None = None) -> DataFrame:
+    """rows: text -> stem, n: in how many texts each stem is, one row more (stem 0) with the number of texts.
+
+    A task adds up its own repeats. least: a filter of FILTER_BITS; stems whose place in it is empty are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, texts = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for part in steps(batches, most=1_000_000):
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            key, own, _ = spoken(*string_bytes(part.column("text")))
-            order = np.argsort(key)
-            key, own = key[order], own[order]
-            u, first = np.unique(key, return_index=True)
-            keys, ones, all_ = [u], [np.add.reduceat(toxic[own], first) if len(u) else u.astype(np.int64)], [np.diff(np.append(first, len(key)))]
-            keys.append(np.zeros(1, np.uint64))
-            ones.append(np.array([toxic.sum()]))
-            all_.append(np.array([len(toxic)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ones)), pa.array(np.concatenate(all_))], names=["stem", "ones", "n"])
-
-    counts = labelled.mapInArrow(run, "stem long, ones long, n long").groupBy("stem").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
-    counts = written(counts, "stems")
-    total = counts.where("stem = 0").first()  # the row of key 0 has the totals
-    t1, t = (float(total["ones"]), float(total["n"])) if total else (0.0, 1.0)
-    a, n = F.col("ones").cast("double"), F.col("n").cast("double")
+            key, _, _ = spoken(*string_bytes(part.column("text")))
+            if least is not None:
+                key = key[least[_place(key)]]
+            u, n = np.unique(key, return_counts=True)
+            both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
+            keys, counts, texts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64), texts + part.num_rows
+            if len(keys) > 1_000_000:
+                yield out(keys, counts)
+                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        yield out(np.append(keys, np.uint64(0)), np.append(counts, texts))
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["stem", "n"])
+
+    return rows.select("text").mapInArrow(run, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_of(stems_: DataFrame) -> np.ndarray:
+    """The places of the stems in a filter of fixed size; each task sends the places that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros(1 << FILTER_BITS, bool)
+            bits[_place(batch.column("stem").to_numpy().view(np.uint64))] = True
+            some = np.flatnonzero(np.packbits(bits))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.packbits(bits)[some].astype(np.int64))], names=["at", "bits"])
+
+    got = stems_.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    packed[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
+    return np.unpackbits(packed).astype(bool)
+
+
+def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
+    """labelled: text, toxic (0/1). Keys of the lexicon and of the stems that tell toxic texts, counted over all rows.
+
+    Toxic texts come first: a stem in k of them has at most the evidence of one that no clean text has. Only stems that can
+    still reach EVIDENCE are then counted in clean texts.
+    """
+    ones = written(stem_counts(labelled.where("toxic = 1")).withColumnRenamed("n", "ones"), "toxic-stems")
+    clean = labelled.where("toxic = 0").count()
+    t1 = float((ones.where("stem = 0").agg(F.sum("ones")).first()[0]) or 0)
+    t = t1 + clean
+    own = np.array([stem_key(w, 7) for w in LEXICON], np.uint64)
+    if not t1:
+        return np.unique(own)
+    a, n = F.col("ones").cast("double"), (F.col("ones") + F.coalesce("zeros", F.lit(0))).cast("double")
     part = lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0)
+    able = ones.where("stem <> 0 and ones > 2").where(2 * a * math.log(t / t1) >= EVIDENCE)
+    zeros = stem_counts(labelled.where("toxic = 0"), _filter_of(able)).withColumnRenamed("n", "zeros")
+    counts = able.join(zeros, "stem", "left")
     g = 2 * (part(a, n * t1 / t) + part(n - a, n * (t - t1) / t))
-    tells = counts.where("stem <> 0 and ones > 2").where((a / n > 2 * t1 / t) & (g >= EVIDENCE))
+    tells = counts.where((a / n > 2 * t1 / t) & (g >= EVIDENCE))
     top = tells.withColumn("g", g).orderBy(F.desc("g"), "stem").limit(most).select("stem").toPandas()
-    own = np.array([stem_key(w, 7) for w in LEXICON], np.uint64)
     return np.unique(np.concatenate([own, top["stem"].to_numpy(np.int64).view(np.uint64)]))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior P(toxic) of each row of the 0/1 vote matrix, and the weight of each voter.
+def label_model(votes: np.ndarray, given: np.ndarray, prior: float, toxic: np.ndarray | None = None, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior P(toxic) of each row of the 0/1 vote matrix, and for each voter the number of its company.
 
-    given: the labels, which vote too, with a fixed accuracy. EM over the rates of speaking on toxic and on clean texts; the weights follow from the
-    correlations of the residuals: 1 / (1 + sum of the correlations with other voters above 0.1).
+    given: the labels, which set the first rates of speaking on toxic and on clean texts; these count as ANCHOR texts from
+    then on, and no text's own label votes on it. toxic: which voters speak for toxic texts (all); the others speak for
+    clean ones. Voters of one side whose residuals correlate above TOGETHER, directly or through others, are one company
+    and share one vote in equal parts; between companies votes are independent given the label.
     """
-    n, m = votes.shape
-    gold = (2 * given - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    post, weight = 0.05 + 0.9 * given, np.ones(m)
+    toxic = np.ones(votes.shape[1], bool) if toxic is None else toxic
+    post = _posterior(votes, given, prior, toxic, np.ones(votes.shape[1]), 2)
+    rates = (votes.T @ post) / max(post.sum(), 1e-9), (votes.T @ (1 - post)) / max((1 - post).sum(), 1e-9)
+    residual = votes - np.outer(post, rates[0]) - np.outer(1 - post, rates[1])
+    scale = np.sqrt(np.maximum((residual**2).sum(axis=0), 1e-9))
+    near = (residual.T @ residual) / np.outer(scale, scale) > TOGETHER
+    company = np.unique(least_labels(near & (toxic[:, None] == toxic)), return_inverse=True)[1]
+    return _posterior(votes, given, prior, toxic, 1 / np.bincount(company)[company], rounds), company
+
+
+def _posterior(votes: np.ndarray, given: np.ndarray, prior: float, toxic: np.ndarray, part: np.ndarray, rounds: int) -> np.ndarray:
+    """EM over the voters' rates, from those of the given labels; part: of a vote, of each voter."""
+    first1, first0 = (votes.T @ given + 0.5) / (given.sum() + 1), (votes.T @ (1 - given) + 0.05) / ((1 - given).sum() + 1)
+    post = given
     for r in range(rounds):
-        w1, w0 = post.sum(), (1 - post).sum()
-        p1 = (votes.T @ post + 0.5) / (w1 + 1)
-        p0 = (votes.T @ (1 - post) + 0.05) / (w0 + 1)
-        p1 = np.maximum(p1, p0 * 1.5)  # a voter speaks for toxic texts, never against
-        if r in (0, rounds // 2) and n > 1:
-            expected = np.outer(post, p1) + np.outer(1 - post, p0)
-            residual = votes - expected
-            scale = np.sqrt(np.maximum((residual**2).sum(axis=0), 1e-9))
-            rho = (residual.T @ residual) / np.outer(scale, scale)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-        yes, no = np.log(p1 / p0), np.log((1 - np.minimum(p1, 0.999)) / (1 - p0))
-        logit = gold + np.log(prior / (1 - prior)) + votes @ (weight * (yes - no)) + (weight * no).sum()
+        p1, p0 = first1, first0
+        if r:
+            p1 = (votes.T @ post + ANCHOR * first1) / (post.sum() + ANCHOR)
+            p0 = (votes.T @ (1 - post) + ANCHOR * first0) / ((1 - post).sum() + ANCHOR)
+        p1 = np.where(toxic, np.maximum(p1, p0 * 1.5), np.minimum(p1, p0 / 1.5))  # a voter speaks for its side alone
+        p1, p0 = np.clip(p1, 1e-6, 0.999), np.clip(p0, 1e-6, 0.999)
+        yes, no = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
+        logit = np.log(prior / (1 - prior)) + votes @ (part * (yes - no)) + (part * no).sum()
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, weight
+    return post
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -187,29 +261,39 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
     return w
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: text, shout, toxic: the bounded sample of training_rows, from which all that is learned comes."""
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """labelled: key, text, flags, toxic of training_rows. Voters are counted over all rows; about `sample` of them, by a
+    hash of their keys, fit the label model and the classifier."""
     keys = choose_voters(labelled)
+    share = min(1.0, sample / max(labelled.count(), 1))
+    some = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
+        for part in steps(batches, most=1_000_000):
             row, voter, dense = _features(part, keys)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             votes = [pack(voter[s:e].astype(np.uint16)) for s, e in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array([pack(d) for d in dense]), part.column("toxic")], names=["votes", "dense", "toxic"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(votes), pa.array([pack(d) for d in dense]), part.column("toxic")], names=["key", "votes", "dense", "toxic"])
 
-    got = labelled.mapInArrow(run, "votes binary, dense binary, toxic int").toPandas()
-    if not len(got):
-        return Model(keys, np.append(np.full(len(keys), 4.0), [0.0, 0.0, 0.0]), float(np.log(_PRIOR / (1 - _PRIOR))))
-    votes = np.zeros((len(got), len(keys)), np.float32)
+    got = some.mapInArrow(run, "key long, votes binary, dense binary, toxic int").toPandas().sort_values("key")
+    m = len(keys) + len(PATTERNS)
+    toxic = np.append(np.ones(len(keys), bool), [x for _, x, _ in PATTERNS])
+    given = got["toxic"].to_numpy(np.float64)
+    if not len(got) or given.min() == given.max():  # nothing to tell apart: the lexicon alone speaks
+        return Model(keys, np.concatenate([np.full(len(keys), 4.0), np.zeros(len(PATTERNS) + 2)]), float(np.log(_PRIOR / (1 - _PRIOR))))
+    votes = np.zeros((len(got), m), np.float32)
     for i, v in enumerate(got["votes"]):
         votes[i, np.frombuffer(v, np.uint16)] = 1
     dense = np.stack([np.frombuffer(d) for d in got["dense"]])
-    given = got["toxic"].to_numpy(np.float64)
     prior = float(np.clip(given.mean(), 0.01, 0.5))
-    post, _ = label_model(votes, given, prior)
-    w = fit_linear(np.concatenate([votes, dense], axis=1).astype(np.float64), post)
-    return Model(keys, w[:-1], float(w[-1]))
+    post, _ = label_model(votes, given, prior, toxic)
+    x = np.concatenate([votes, dense], axis=1).astype(np.float64)
+    w = fit_linear(x, post)
+    # The given labels set the scale: one factor and one shift for all texts.
+    scale, shift = fit_linear((x @ w[:-1] + w[-1])[:, None], given, ridge=1e-3)
+    if scale <= 0:
+        scale, shift = 1.0, 0.0
+    return Model(keys, w[:-1] * scale, float(w[-1] * scale + shift))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -217,7 +301,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     score of a text without a vote. Rows are independent: repeated rows repeat, an empty table stays empty."""
     keep = keep if keep is not None else ["doc_id"]
     rows = prepared(docs, text, [F.col(c) for c in keep])
-    m = len(model.keys)
+    m = len(model.keys) + len(PATTERNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, most=1_000_000):
@@ -230,24 +314,32 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> DataFrame:
-    """text, shout, toxic of about `sample` documents at most that may be learned from, by a hash of their ids; written.
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
+    """key, text, flags, toxic of the labelled documents that may be learned from; written.
 
-    Several labels of one id: its greatest counts. The sample of ids is bounded, so it goes to the documents, and no text
-    is shuffled to find it. Of texts with the same least hash of three-word shingles, exact and most near copies, one is
-    taken: the words of a text that was copied a thousand times are no evidence a thousand times over.
+    Several labels of one id: its greatest counts. Of texts with the same least hash of three-word shingles, exact and
+    most near copies, one document is taken, a toxic one if there is: the words of a text that was copied a thousand times
+    are no evidence a thousand times over. Copies are found among ids and hashes; only then do texts meet their labels.
     """
     given = labels.where("doc_id is not null and toxic is not null").where(learn)
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, sample / max(given.count(), 1))
-    some = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    rows = prepared(docs.where(learn).select("doc_id", "text").join(F.broadcast(some), "doc_id"), "text", [F.col("toxic")])
-    w = F.split("text", " ")
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    zipped = F.arrays_zip(F.slice(w, 1, n).alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"))
-    least = F.coalesce(F.array_min(F.transform(zipped, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))), F.xxhash64("text"))
-    one = F.max(F.struct("toxic", "text", "shout")).alias("one")
-    return written(rows.withColumn("least", least).groupBy("least").agg(one).select("one.text", "one.shout", "one.toxic"), "labelled")
+    own = prepared(docs.where(learn).select("doc_id", "text"), "text", [F.col("doc_id")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches):
+            h, start = shingles(*word_hashes(*string_bytes(part.column("text"))), SHINGLE)
+            least, some = np.zeros(part.num_rows, np.uint64), np.flatnonzero(np.diff(start))
+            if len(some):
+                least[some] = np.minimum.reduceat(h, start[some])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(least.view(np.int64))], names=["doc_id", "key"])
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    keyed = own.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long").dropDuplicates()
+    rank = F.col("toxic").cast("long") * (1 << 62) - F.shiftright(F.abs(F.xxhash64("doc_id")), 2)
+    ranked = written(keyed.join(given, "doc_id").withColumn("rank", rank), "copies")
+    best = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
+    chosen = ranked.join(best, ["key", "rank"]).select("doc_id", "key", "toxic")
+    return written(own.join(chosen, "doc_id").select("key", "text", "flags", "toxic"), "labelled")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:

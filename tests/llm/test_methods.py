@@ -220,8 +220,8 @@ def test_label_model_weighs_company():
     one = (rng.random(3000) < np.where(y == 1, 0.8, 0.02)).astype(np.float32)
     other = (rng.random(3000) < np.where(y == 1, 0.7, 0.03)).astype(np.float32)
     noise = (rng.random(3000) < 0.3).astype(np.float32)
-    post, weight = toxicity.label_model(np.stack([noise, noise, other, one], 1), y, 0.2)
-    assert weight[0] < 0.6 and weight[1] < 0.6 and weight[3] > 0.8 and np.corrcoef(post, y)[0, 1] > 0.95
+    post, company = toxicity.label_model(np.stack([noise, noise, other, one], 1), y, 0.2)
+    assert company[0] == company[1] and len(set(company.tolist())) == 3 and np.corrcoef(post, y)[0, 1] > 0.8
 
 
 def test_base_secrets_equal_plain_patterns(spark, texts):
