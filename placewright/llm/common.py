@@ -28,6 +28,14 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
+def plain(text: Column | str) -> Column:
+    """How texts are compared: lower case, with blanks for everything but letters, digits and marks. Texts of ASCII alone
+    are left to plain_bytes, which reads them so; a column that goes elsewhere needs it too."""
+    t = F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit(""))
+    other = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\p{M}]+", " ")
+    return F.when(F.octet_length(t) == F.char_length(t), t).otherwise(other)
+
+
 def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
@@ -114,6 +122,19 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+_PLAIN_BYTES = np.full(256, 32, np.uint8)
+_PLAIN_BYTES[128:] = np.arange(128, 256)
+for _c in range(128):
+    if chr(_c).isalnum():
+        _PLAIN_BYTES[_c] = ord(chr(_c).lower())
+
+
+def plain_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """string_bytes of a column of plain(): ASCII in lower case, blanks for its other characters."""
+    data, bounds = string_bytes(column)
+    return _PLAIN_BYTES[data], bounds
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most `most` text bytes, or one row."""
     for batch in batches:

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, mix, pack, remainder, row_key, steps, string_bytes, word_hashes, written
-from .decontaminate import plain
+from .common import ROW, mix, pack, plain, plain_bytes, remainder, row_key, steps, word_hashes, written
 from .ngram_join import least_labels, shingles
 
 STEMS = (4, 5, 6, 7)
@@ -110,7 +109,7 @@ PATTERNS = (
 def _features(part: pa.RecordBatch, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Votes as (text, voter) pairs in order of the text, stems before patterns, and dense features: votes for toxic
     texts, and those for the words."""
-    key, text, words = spoken(*string_bytes(part.column("text")))
+    key, text, words = spoken(*plain_bytes(part.column("text")))
     n = part.num_rows
     at = np.searchsorted(keys, key)
     at[at == len(keys)] = 0
@@ -139,7 +138,7 @@ def stem_counts(rows: DataFrame, least: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, texts = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for part in steps(batches, most=1_000_000):
-            key, _, _ = spoken(*string_bytes(part.column("text")))
+            key, _, _ = spoken(*plain_bytes(part.column("text")))
             if least is not None:
                 key = key[least[_place(key)]]
             u, n = np.unique(key, return_counts=True)
@@ -327,7 +326,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
-            h, start = shingles(*word_hashes(*string_bytes(part.column("text"))), SHINGLE)
+            h, start = shingles(*word_hashes(*plain_bytes(part.column("text"))), SHINGLE)
             least, some = np.zeros(part.num_rows, np.uint64), np.flatnonzero(np.diff(start))
             if len(some):
                 least[some] = np.minimum.reduceat(h, start[some])
@@ -339,7 +338,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
     ranked = written(keyed.join(given, "doc_id").withColumn("rank", rank), "copies")
     best = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
     chosen = ranked.join(best, ["key", "rank"]).select("doc_id", "key", "toxic")
-    return written(own.join(chosen, "doc_id").select("key", "text", "flags", "toxic"), "labelled")
+    return written(own.hint("merge").join(chosen, "doc_id").select("key", "text", "flags", "toxic"), "labelled")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
