@@ -1,8 +1,8 @@
 """Distance joins without a cross product: equal cells first, the exact distance after.
 
-Cells are at least as wide as the radius, so all partners of a point lie in the 3 x 3 cells around its own. The left side
-is copied to its nine neighbours, the right side isn't, so that every pair meets once. Cells of a dense town can be hot:
-adaptive execution splits such join partitions, as nothing above the join needs a cell's rows together.
+Cells are at least as wide as the radius at their latitude, and columns go around the globe, so all partners of a point lie
+in the 3 x 3 cells around its own. The left side is copied to these, the right side isn't, so that every pair meets once.
+Cells of a dense town can be hot: adaptive execution splits such join partitions, as nothing above the join needs a cell's rows together.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import geo
+from placewright.plans.tables import written
 
 Metric = Callable[[Column, Column, Column, Column], Column]
 
@@ -29,10 +30,8 @@ def within(left: DataFrame, right: DataFrame, meters: float, metric: Metric = ge
     """
     by = by or []
     a, b = _prefixed(left, "l_"), _prefixed(right, "r_")
-    lx, ly = geo.cell(F.col("l_lat"), F.col("l_lon"), meters)
     rx, ry = geo.cell(F.col("r_lat"), F.col("r_lon"), meters)
-    near = [F.struct((lx + i).alias("x"), (ly + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    a = a.withColumn("_c", F.explode(F.array(*near))).withColumns({"_x": F.col("_c.x"), "_y": F.col("_c.y")}).drop("_c")
+    a = a.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), meters))).withColumns({"_x": F.col("_c.x"), "_y": F.col("_c.y")}).drop("_c")
     b = b.withColumns({"_x": rx, "_y": ry})
     for k in by:
         a, b = a.withColumn(f"_by_{k}", F.col(f"l_{k}")), b.withColumn(f"_by_{k}", F.col(f"r_{k}"))
@@ -51,7 +50,7 @@ def nearest_within(left: DataFrame, right: DataFrame, meters: float, key: str, o
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1, by: list[str] | None = None, start_m: float = 5_000.0, rounds: int = 12) -> DataFrame:
     """J19. The k nearest right rows of each left row, without a radius: key, other, d, rank.
 
-    The radius doubles in rounds: left rows with k partners inside the radius are done, exactly, as anything nearer would
+    The radius grows fourfold in rounds: left rows with k partners inside the radius are done, exactly, as anything nearer would
     be inside as well; only the others go on. What is left after the last round, where the radius spans the globe, is
     compared with all rows of its `by` group.
     """
@@ -69,7 +68,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1,
         done = pairs.join(full.withColumnRenamed(key, "l_" + key), "l_" + key, "left_semi")
         done = done.select(F.col("l_" + key).alias(key), F.col("r_" + other).alias(other), "d", "rank")
         found = done if found is None else found.unionByName(done)
-        todo = todo.join(full, key, "left_anti")
+        todo = written(todo.join(full, key, "left_anti"), "farther")
         if todo.isEmpty():
             return found
         radius *= 4

@@ -43,9 +43,8 @@ def _sides(df: DataFrame, p: str) -> DataFrame:
 def near_sharing(left: DataFrame, right: DataFrame, left_words: str, right_words: str, meters: float) -> DataFrame:
     """Pairs of one category at most `meters` apart that share a word: l_*, r_*, d; each pair once."""
     a, b = _sides(left, "l_"), _sides(right, "r_")
-    lx, ly = geo.cell(F.col("l_lat"), F.col("l_lon"), meters)
     rx, ry = geo.cell(F.col("r_lat"), F.col("r_lon"), meters)
-    around = F.array(*[F.struct((lx + i).alias("x"), (ly + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = geo.near_cells(F.col("l_lat"), F.col("l_lon"), meters)
     ka = a.select("l_pin", F.col("l_category").alias("_k"), F.explode(f"l_{left_words}").alias("_w"), around.alias("_a")).select("l_pin", "_k", "_w", F.explode("_a").alias("_c"))
     kb = b.select("r_pin", F.col("r_category").alias("_k"), F.explode(f"r_{right_words}").alias("_w"), F.struct(rx.alias("x"), ry.alias("y")).alias("_c"))
     ids = ka.join(kb, ["_k", "_w", "_c"]).where("l_pin <> r_pin").select("l_pin", "r_pin").distinct()

@@ -1,6 +1,10 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from placewright.functions import geo, names
+from placewright.operators import joins
 
 
 def one(spark, *cols):
@@ -32,12 +36,14 @@ def test_half_plane_is_on_the_side_asked_for(spark):
 
 
 def test_coordinate_texts(spark):
-    good = ["37.7749, -122.4194", "37.7749 -122.4194", "37.7749\t-122.4194", "37.7749° N, 122.4194° W", "N 37.7749 W 122.4194", "122.4194 W, 37.7749 N"]
-    bad = ["", "37.7", "hello", "95, 10", "1 2 3", "10 200", None]
-    df = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", geo.clean_coordinates(F.col("t")).alias("p"))
-    got = {r["t"]: r["p"] for r in df.collect()}
-    assert all(got[t] is not None and (got[t]["lat"], got[t]["lon"]) == (37.7749, -122.4194) for t in good)
-    assert all(got[t] is None for t in bad)
+    want = {
+        "48.8584, 2.2945": (48.8584, 2.2945), "-33.8568 151.2153": (-33.8568, 151.2153), "33.8568 S; 151.2153 E": (-33.8568, 151.2153), "S 33.8568 / E 151.2153": (-33.8568, 151.2153),
+        "151.2153°E 33.8568°S": (-33.8568, 151.2153), "12 N, 7": (12.0, 7.0), "at (1.5 , +2)!": (1.5, 2.0), "40.5 - 3.25": (40.5, 3.25),
+        "": None, "12.5": None, "hello": None, "91, 10": None, "4 5 6": None, "10 181": None, "5 N 6 N": None, "7 W 8 E": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", geo.clean_coordinates(F.col("t")).alias("p"))
+    got = {r["t"]: r["p"] and tuple(r["p"]) for r in df.collect()}
+    assert got == want
 
 
 def test_names(spark):
@@ -47,8 +53,18 @@ def test_names(spark):
     assert r[3] and r[4] and not r[5] and r[6] == "a and b café and co" and r[7] and r[8] == 9
 
 
-def test_cells_are_wide_enough(spark):
-    a = geo.cell(F.lit(37.0), F.lit(-122.0), 500.0)
-    b = geo.cell(F.lit(37.0 + 499 / 111195.0), F.lit(-122.0), 500.0)
-    r = one(spark, *a, *b)
-    assert abs(r[1] - r[3]) <= 1 and abs(r[0] - r[2]) <= 1
+def test_within_finds_all_pairs_anywhere(spark):
+    """Brute force: mid and high latitudes, the date line, the poles, the equator; small and large radii."""
+    r = random.Random(3)
+    places = [(37.0, -122.0, 0.02), (75.0, 20.0, 0.03), (-70.0, 179.999, 0.02), (0.0, -180.0, 0.01), (89.99, 0.0, 0.02), (-89.995, 100.0, 0.02)]
+    rows = []
+    for la, lo, w in places:
+        for _ in range(40):
+            x = (lo + r.uniform(-w, w) / max(math.cos(math.radians(la)), 1e-3) + 180) % 360 - 180
+            rows.append((len(rows), max(-90.0, min(90.0, la + r.uniform(-w, w))), x))
+    df = spark.createDataFrame([*rows, (999, None, 1.0)], "id long, lat double, lon double")
+    dist = lambda a, b: 2 * geo.EARTH_M * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2))
+    for meters in (500.0, 2_500.0, 400_000.0):
+        got = {(x["l_id"], x["r_id"]) for x in joins.within(df, df, meters).collect()}
+        assert got == {(a[0], b[0]) for a in rows for b in rows if dist(a, b) <= meters}
+        assert joins.within(df, df, meters).count() == len(got)
