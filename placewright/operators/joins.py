@@ -56,19 +56,18 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1,
     """
     by = by or []
     todo, found, radius = left, None, start_m
-    w = Window.partitionBy("l_" + key).orderBy("d", "r_" + other)
+    w, every = Window.partitionBy("l_" + key).orderBy("d", "r_" + other), Window.partitionBy("l_" + key)
     have = right.select(*by).distinct() if by else None
     if have is not None:
         todo = todo.join(have, by, "left_semi")
     for _ in range(rounds):
         if radius > 800_000:
             break
-        pairs = within(todo, right, radius, by=by).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = pairs.groupBy("l_" + key).agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("l_" + key).alias(key))
-        done = pairs.join(full.withColumnRenamed(key, "l_" + key), "l_" + key, "left_semi")
-        done = done.select(F.col("l_" + key).alias(key), F.col("r_" + other).alias(other), "d", "rank")
+        pairs = within(todo, right, radius, by=by).withColumns({"rank": F.row_number().over(w), "_n": F.count("*").over(every)})
+        done = pairs.where((F.col("rank") <= k) & (F.col("_n") >= k))
+        done = written(done.select(F.col("l_" + key).alias(key), F.col("r_" + other).alias(other), "d", "rank"), "nearest")
         found = done if found is None else found.unionByName(done)
-        todo = written(todo.join(full, key, "left_anti"), "farther")
+        todo = written(todo.join(done.where("rank = 1").select(key), key, "left_anti"), "farther")
         if todo.isEmpty():
             return found
         radius *= 4
@@ -172,17 +171,52 @@ def baseline_diff(now: DataFrame, before: DataFrame, key: str, value: str) -> Da
     return j.select(key, status.alias("status"), "was", "is")
 
 
+def counts_below(values: DataFrame, asks: DataFrame, key: str, by: list[str], width: float) -> DataFrame:
+    """How many `values` (by, x) are under the bound `t` of each ask (key, by, t), without meeting them all: key, below.
+
+    Values are counted in bins of `width` and the bins' counts added up in order; only the values of an ask's own bin are
+    compared with it, once for each different x. What one task adds up are bins, so range over width, not rows. Null values
+    and bounds are under nothing and above nothing.
+    """
+    b = lambda c: F.floor(F.col(c) / width).alias("_bin")
+    x = values.where("x is not null").groupBy(*by, "x").agg(F.count("*").alias("_n")).withColumn("_bin", b("x"))
+    a = asks.where("t is not null").withColumn("_bin", b("t"))
+    bins = x.select(*by, "_bin", "_n").unionByName(a.select(*by, "_bin", F.lit(0).cast("long").alias("_n"))).groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"))
+    lower = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "_bin", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_under"))
+    own = a.join(x, [*by, "_bin"]).where("x < t").groupBy(key).agg(F.sum("_n").alias("_own"))
+    got = a.join(bins, [*by, "_bin"]).join(own, key, "left").select(key, (F.col("_under") + F.coalesce("_own", F.lit(0))).alias("below"))
+    return asks.select(key).join(got, key, "left").select(key, F.coalesce("below", F.lit(0)).alias("below"))
+
+
 def nearest_match(stations: DataFrame, pois: DataFrame, seekers: DataFrame) -> DataFrame:
     """Q13, Q14. seekers: game_id, category, lat, lon. For each station of a game whether its nearest place of the
-    category is the seeker's, and whether it is nearer to one than the seeker."""
+    category is the seeker's, and whether it is nearer to one than the seeker. One row for each game and station; where
+    counts do, `nearest_match_counts` needs no such pairs."""
+    s, q = _nearest_of(stations, pois, seekers)
+    j = s.join(q, "category")
+    return j.select("game_id", "station_id", (F.col("s_poi") == F.col("q_poi")).alias("same"), (F.col("s_d") < F.col("q_d")).alias("closer"))
+
+
+def nearest_match_counts(stations: DataFrame, pois: DataFrame, seekers: DataFrame, width: float = 50.0) -> DataFrame:
+    """Q13, Q14. game_id, same, closer, n: the counts of `nearest_match` by game. Stations are counted by nearest place
+    and by distance first, so games meet counts, not stations."""
+    s, q = _nearest_of(stations, pois, seekers)
+    s, q = written(s, "station-places"), written(q, "seeker-places")
+    same = s.groupBy("category", F.col("s_poi").alias("q_poi")).agg(F.count("*").alias("same"))
+    total = s.groupBy("category").agg(F.count("*").alias("n"))
+    closer = counts_below(s.select("category", F.col("s_d").alias("x")), q.select("game_id", "category", F.col("q_d").alias("t")), "game_id", ["category"], width)
+    out = q.join(total, "category").join(same, ["category", "q_poi"], "left").join(closer, "game_id")
+    return out.select("game_id", F.coalesce("same", F.lit(0)).alias("same"), F.col("below").alias("closer"), "n")
+
+
+def _nearest_of(stations: DataFrame, pois: DataFrame, seekers: DataFrame) -> tuple[DataFrame, DataFrame]:
     cats = seekers.select("category").distinct()
     s = stations.select("station_id", "lat", "lon").crossJoin(cats).withColumn("key", F.concat_ws("|", "station_id", "category"))
     of = nearest(s, pois, "key", "poi_id", by=["category"]).select("key", F.col("poi_id").alias("s_poi"), F.col("d").alias("s_d"))
     s = s.join(of, "key").select("station_id", "category", "s_poi", "s_d")
     q = nearest(seekers, pois, "game_id", "poi_id", by=["category"]).select("game_id", F.col("poi_id").alias("q_poi"), F.col("d").alias("q_d"))
-    q = seekers.join(q, "game_id")
-    j = s.join(q, "category")
-    return j.select("game_id", "station_id", (F.col("s_poi") == F.col("q_poi")).alias("same"), (F.col("s_d") < F.col("q_d")).alias("closer"))
+    return s, seekers.select("game_id", "category").join(q, "game_id")
 
 
 def tentacle(stations: DataFrame, pois: DataFrame, seekers: DataFrame, meters: float) -> DataFrame:

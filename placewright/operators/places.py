@@ -101,7 +101,7 @@ def text_search(stations: DataFrame, query: str) -> DataFrame:
 
 def poi_filter(pois: DataFrame, shown: DataFrame, query: str = "") -> DataFrame:
     """P15. Places of the categories shown (category, label, colour), name containing the query, with label and colour."""
-    return pois.join(F.broadcast(shown) if shown.isLocal() else shown, "category").where(F.lower("name").contains(query.lower()))
+    return pois.join(shown, "category").where(F.lower("name").contains(query.lower()))
 
 
 def compact(pois: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from placewright.operators import audit as A
 from placewright.operators import questions as Q
 from placewright.sources import fixtures as X
 from placewright.sources import readers as S
-from placewright.sources.fixtures import SQL_POIS, SQL_STATIONS, sql_questions
+from placewright.sources.fixtures import SQL_POIS, SQL_STATIONS
 from placewright.streaming import logs
 
 from . import shapes

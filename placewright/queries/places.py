@@ -45,15 +45,14 @@ def nearest_poi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seekers(spark: SparkSession, sf: str) -> DataFrame:
-    g = X.read(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("e")).where("user_id % 15 = 0")
+    g = X.read(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("e"))
     cat = F.get(F.array(*[F.lit(x) for x in ("park", "museum", "library", "hospital", "zoo")]), (c("user_id") % 5).cast("int"))
     return g.select(c("user_id").alias("game_id"), cat.alias("category"), X.lat(c("e"), 6151).alias("lat"), X.lon(c("e"), 7537).alias("lon"))
 
 
 def nearest_poi_match(spark: SparkSession, sf: str) -> DataFrame:
     """Q13, Q14."""
-    m = J.nearest_match(X.stations(spark, sf), X.pois(spark, sf), _seekers(spark, sf))
-    return m.groupBy("game_id").agg(F.count_if("same").alias("same"), F.count_if("closer").alias("closer"), F.count("*").alias("n"))
+    return J.nearest_match_counts(X.stations(spark, sf), X.pois(spark, sf), _seekers(spark, sf))
 
 
 def tentacle(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +220,7 @@ def clustered_stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _AGENCY = "CASE WHEN line LIKE 'SFO AirTrain%' THEN 'SFO AirTrain' WHEN line LIKE 'Caltrain%' THEN 'Caltrain' WHEN line LIKE 'VTA%' THEN 'VTA' WHEN line LIKE 'Muni%' THEN 'Muni' ELSE 'BART' END"
-_SEEK = f"seek AS (SELECT user_id AS game_id, ['park', 'museum', 'library', 'hospital', 'zoo'][1 + user_id % 5] AS category, {sql_lat('e', 6151)} AS lat, {sql_lon('e', 7537)} AS lon FROM (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id) WHERE user_id % 15 = 0)"
+_SEEK = f"seek AS (SELECT user_id AS game_id, ['park', 'museum', 'library', 'hospital', 'zoo'][1 + user_id % 5] AS category, {sql_lat('e', 6151)} AS lat, {sql_lon('e', 7537)} AS lon FROM (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id))"
 _STOPS = f"stops AS (SELECT ['BART', 'Caltrain', 'VTA', 'Muni', 'SFO AirTrain'][1 + p_partkey % 5] AS system, 'N' || (p_partkey % 13) AS line, {sql_lat('p_partkey', 4409)} AS lat, {sql_lon('p_partkey', 6277)} AS lon FROM part)"
 _CLUSTER = f"""st AS (SELECT p_partkey AS id, 'Stop ' || (p_partkey // 3) || CASE WHEN p_partkey % 4 = 0 THEN ' & Main' ELSE '' END AS name, {sql_lat('p_partkey', 4409)} AS lat, {sql_lon('p_partkey', 6277)} AS lon, 'L' || (p_partkey % 5) AS line FROM part),
  e AS (SELECT a.id AS a, b.id AS b FROM st a JOIN st b ON a.id <> b.id AND (a.name = b.name OR (abs(a.lat - b.lat) < 0.01 AND {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 250))),

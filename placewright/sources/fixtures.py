@@ -69,15 +69,10 @@ SQL_STATIONS = f"""stations AS (SELECT c_custkey AS station_id, c_name AS name,
  FROM customer, (SELECT ['BART', 'Caltrain', 'VTA', 'Muni', 'SFO AirTrain'] AS sys))"""
 
 
-def questions(spark: SparkSession, sf_dir: str, per_game: int | None = 3) -> DataFrame:
-    """Questions from events: the first `per_game` of each user (None: all of them); wide params, one row a question."""
-    from pyspark.sql import Window
-
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions from events, eight games for each user: wide params, one row a question."""
     e = F.col("event_id")
     rows = read(spark, sf_dir, "events")
-    if per_game is not None:
-        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_game)
     kind = F.get(F.array(*[F.lit(k) for k in KINDS]), (e % 9).cast("int"))
     yes = e % 2 == 0
     value = (
@@ -94,7 +89,7 @@ def questions(spark: SparkSession, sf_dir: str, per_game: int | None = 3) -> Dat
         .otherwise(F.when(yes, "yes").otherwise("no"))
     )
     return rows.select(
-        F.col("user_id").alias("game_id"),
+        (F.col("user_id") * 8 + e % 8).alias("game_id"),
         e.alias("question_id"),
         kind.alias("kind"),
         F.col("ts").alias("created_at"),
@@ -112,17 +107,15 @@ def questions(spark: SparkSession, sf_dir: str, per_game: int | None = 3) -> Dat
     )
 
 
-def sql_questions(per_game: int | None = 3) -> str:
-    k = "[" + ", ".join(f"'{x}'" for x in KINDS) + "]"
-    limit = f" QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {per_game}" if per_game is not None else ""
-    return f"""questions AS (SELECT *, CASE kind WHEN 'match-county' THEN 'C' || (question_id % 5) WHEN 'match-city' THEN ['BUILDING', 'AUTOMOBILE', 'MACHINERY'][1 + question_id % 3]
+_SQL_KINDS = "[" + ", ".join(f"'{x}'" for x in KINDS) + "]"
+SQL_QUESTIONS = f"""questions AS (SELECT *, CASE kind WHEN 'match-county' THEN 'C' || (question_id % 5) WHEN 'match-city' THEN ['BUILDING', 'AUTOMOBILE', 'MACHINERY'][1 + question_id % 3]
    WHEN 'match-airport' THEN ['SFO', 'OAK', 'SJC'][1 + question_id % 3] WHEN 'match-namelength' THEN (8 + question_id % 23)::VARCHAR WHEN 'match-line' THEN 'L' || (question_id % 11)
    WHEN 'measure-sealevel' THEN (question_id % 400)::VARCHAR END AS value,
   CASE WHEN kind = 'thermometer' THEN CASE WHEN question_id % 2 = 0 THEN 'hotter' ELSE 'colder' END WHEN kind LIKE 'measure%' THEN CASE WHEN question_id % 2 = 0 THEN 'closer' ELSE 'further' END
    ELSE CASE WHEN question_id % 2 = 0 THEN 'yes' ELSE 'no' END END AS answer
- FROM (SELECT user_id AS game_id, event_id AS question_id, {k}[1 + event_id % 9] AS kind, ts AS created_at, {sql_lat('event_id', 6151)} AS lat, {sql_lon('event_id', 7537)} AS lon,
+ FROM (SELECT user_id * 8 + event_id % 8 AS game_id, event_id AS question_id, {_SQL_KINDS}[1 + event_id % 9] AS kind, ts AS created_at, {sql_lat('event_id', 6151)} AS lat, {sql_lon('event_id', 7537)} AS lon,
   {sql_lat('event_id', 3571)} AS to_lat, {sql_lon('event_id', 2741)} AS to_lon, (5 * (1 + event_id % 9))::DOUBLE AS radius_miles,
-  CASE WHEN event_id % 4 = 0 THEN [0.5, 3.0, 10.0][1 + event_id % 3]::DOUBLE END AS thermometer_miles, true AS eliminates, event_id % 10 <> 3 AS active, event_id % 14 = 5 AS vetoed FROM events{limit}))"""
+  CASE WHEN event_id % 4 = 0 THEN [0.5, 3.0, 10.0][1 + event_id % 3]::DOUBLE END AS thermometer_miles, true AS eliminates, event_id % 10 <> 3 AS active, event_id % 14 = 5 AS vetoed FROM events))"""
 
 
 def pois(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_elimination_cases(spark):
 
 
 def test_yes_and_no_part_the_stations(spark):
-    q = X.questions(spark, SF, 1)
+    q = X.questions(spark, SF).where("question_id % 7 = 0")
     swap = {"yes": "no", "no": "yes", "hotter": "colder", "colder": "hotter", "closer": "further", "further": "closer"}
     back = q.replace(swap, subset=["answer"])
     a, b = (Q.verdicts(X.stations(spark, SF), x, X.AIRPORTS).withColumnRenamed("ok", n) for x, n in ((q, "a"), (back, "b")))
@@ -68,7 +68,7 @@ def test_yes_and_no_part_the_stations(spark):
 
 
 def test_slots_equal_definitions(spark):
-    st, q = X.stations(spark, SF), X.questions(spark, SF, 3)
+    st, q = X.stations(spark, SF), X.questions(spark, SF)
     want = Q.verdicts(st, q, X.AIRPORTS).groupBy("game_id", "station_id").agg(F.bool_and("ok").alias("ok")).where("ok").select("game_id", "station_id")
     got = Q.eliminate(st, q, X.AIRPORTS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -76,7 +76,7 @@ def test_slots_equal_definitions(spark):
 
 def test_remaining_counts_read_all_questions_of_a_game(spark, monkeypatch):
     st = X.stations(spark, SF)
-    mild = X.questions(spark, SF, None).where("answer = 'no' and kind in ('radar', 'match-namelength', 'match-line', 'match-city')")
+    mild = X.questions(spark, SF).withColumn("game_id", F.floor(F.col("game_id") / 8)).where("answer = 'no' and kind in ('radar', 'match-namelength', 'match-line', 'match-city')")
     assert Q.live(mild).groupBy("game_id").count().where(F.col("count") > 2 * Q.SLOTS).count() > 0
     want = Q.verdicts(st, mild, X.AIRPORTS).groupBy("game_id", "station_id").agg(F.bool_and("ok").alias("ok")).groupBy("game_id").agg(F.count_if("ok").alias("n"))
     want = sorted(map(tuple, want.collect()))
@@ -86,6 +86,29 @@ def test_remaining_counts_read_all_questions_of_a_game(spark, monkeypatch):
         assert sorted(map(tuple, Q.remaining_counts(st, mild, X.AIRPORTS).collect())) == want
 
 
+def test_counts_below_equal_brute_force(spark):
+    vals = [("a", 0.5), ("a", 1.0), ("a", 1.0), ("a", 12.0), ("a", None), ("b", -3.0), ("b", 1e6)]
+    asks = [(1, "a", 1.0), (2, "a", 1.5), (3, "a", -1.0), (4, "b", 1e7), (5, "b", -3.0), (6, "c", 2.0), (7, "a", None), (8, "a", 12.5)]
+    v, q = spark.createDataFrame(vals, "g string, x double"), spark.createDataFrame(asks, "id long, g string, t double")
+    want = [(i, sum(1 for h, x in vals if h == g and x is not None and t is not None and x < t)) for i, g, t in asks]
+    for width in (0.7, 5.0, 1e9):
+        assert sorted(map(tuple, J.counts_below(v, q, "id", ["g"], width).collect())) == want
+
+
+def test_match_counts_equal_pairs(spark):
+    st, pois = X.stations(spark, SF).limit(40), X.pois(spark, SF)
+    rows = [(1, "park", 37.5, -122.1), (2, "museum", 37.9, -121.7), (3, "park", 37.5, -122.1)]
+    seek = spark.createDataFrame(rows, "game_id long, category string, lat double, lon double")
+    want = J.nearest_match(st, pois, seek).groupBy("game_id").agg(F.count_if("same").alias("same"), F.count_if("closer").alias("closer"), F.count("*").alias("n"))
+    assert sorted(map(tuple, J.nearest_match_counts(st, pois, seek, 900.0).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_kill_counts_equal_verdicts(spark):
+    st, q = X.stations(spark, SF), X.questions(spark, SF)
+    want = Q.verdicts(st, q, X.AIRPORTS).groupBy("game_id", "question_id", "kind").agg(F.count_if(~F.col("ok")).alias("killed"))
+    assert sorted(map(tuple, Q.kill_counts(st, q, X.AIRPORTS).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_rewards_and_groups(spark):
     rows = [question("thermometer", to=(37.782, -122.4194), qid=1), question("thermometer", to=(37.782, -122.4194), qid=2), question("radar", radius=5.0, qid=3)]
     got = {r["question_id"]: (r["group_key"], r["cards"]) for r in Q.ask_history(spark.createDataFrame(rows, QUESTION)).collect()}
