@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewright.functions import geo
 from placewright.functions import names as N
 from placewright.plans.graph import components
 
@@ -183,6 +184,18 @@ def keep_summary(places: DataFrame) -> DataFrame:
     return places.groupBy("county", "kind").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
 
 
+def review_order(places: DataFrame, keys: tuple[str, ...] = ("category",)) -> DataFrame:
+    """T2. Adds `place`: 1, 2, ... within each category, most reviews first (unknown ones count as 0), by id on a tie."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.coalesce("reviews", F.lit(0))), "poi_id")
+    return places.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def peak_list(peaks: DataFrame) -> DataFrame:
+    """T5. peaks: name, ele_m. The peaks of P23, highest first and by name, with the label of their height in feet."""
+    high = peaks.where(N.peak_class(F.col("ele_m"), F.col("name")) == "peak")
+    return high.withColumn("label", geo.format_elevation(F.col("ele_m").try_cast("double"))).orderBy(F.desc(F.col("ele_m").try_cast("double")), "name")
+
+
 def starred_first(stations: DataFrame, stars: DataFrame) -> DataFrame:
     """T1. Starred stations first, then by name (binary order)."""
     s = stars.select("station_id", F.lit(True).alias("starred")).distinct()

@@ -222,6 +222,19 @@ def with_manual(edges: DataFrame, manual: DataFrame) -> DataFrame:
     return edges.join(m.select("child").distinct(), "child", "left_anti").select("category", "child", "parent", "source").unionByName(m.select("category", "child", "parent", "source"))
 
 
+def containing(holders: DataFrame, parts: DataFrame) -> DataFrame:
+    """(h, p) of all pairs of one category where the text of the holder (category, h, text) contains that of the part
+    (category, p, text; not empty). Parts meet holders on that run of three characters of theirs which fewest holders have
+    (all of a shorter text), so no category is paired with itself as a whole."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    held = holders.select("category", "h", F.col("text").alias("_held"), F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("_run"))
+    rare = held.groupBy("category", "_run").agg(F.count("*").alias("_n"))
+    asked = parts.where("text <> ''").select("category", "p", "text", F.explode(F.array_distinct(runs(3))).alias("_run"))
+    key = asked.join(rare, ["category", "_run"]).groupBy("category", "p").agg(F.min(F.struct("_n", "_run", "text")).alias("_k"))
+    met = key.select("category", "p", F.col("_k._run").alias("_run"), F.col("_k.text").alias("text")).join(held, ["category", "_run"])
+    return met.where(F.contains("_held", "text")).select("h", "p")
+
+
 def resolve_overrides(pins: DataFrame, overrides: DataFrame, meters: float = 200.0) -> tuple[DataFrame, DataFrame]:
     """J14. overrides: ord, category, query, lat, lon (null unless pinned). (resolved: ord, pin; unresolved: ord, query).
 
@@ -230,9 +243,15 @@ def resolve_overrides(pins: DataFrame, overrides: DataFrame, meters: float = 200
     """
     p = pins.withColumn("norm", N.match_norm(F.col("name"))).select("pin", "category", "norm", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     o = overrides.withColumn("q", N.match_norm(F.col("query")))
-    exact = F.col("norm") == F.col("q")
-    j = o.join(p, "category").where(exact | ((F.col("q") != "") & (F.contains("norm", "q") | F.contains("q", "norm"))))
-    j = j.withColumns({"_exact": exact, "d": geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))})
+    # The four ways to match: equal, either contains the other, and a nameless pin, which every name contains.
+    a, b = p.select("category", "pin", F.col("norm").alias("text")), o.select("category", "ord", F.col("q").alias("text"))
+    same = a.join(b, ["category", "text"]).select("ord", "pin")
+    inside = containing(a.withColumnRenamed("pin", "h"), b.withColumnRenamed("ord", "p")).select(F.col("p").alias("ord"), F.col("h").alias("pin"))
+    around = containing(b.withColumnRenamed("ord", "h"), a.withColumnRenamed("pin", "p")).select(F.col("h").alias("ord"), F.col("p").alias("pin"))
+    nameless = a.where("text = ''").select("category", "pin").join(b.where("text <> ''"), "category").select("ord", "pin")
+    ids = same.unionByName(inside).unionByName(around).unionByName(nameless).distinct()
+    j = ids.join(o, "ord").join(p.drop("category"), "pin")
+    j = j.withColumns({"_exact": F.col("norm") == F.col("q"), "d": geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))})
     best = Window.partitionBy("ord").orderBy(F.desc("_exact"), F.col("d").asc_nulls_last(), F.desc("reviews"), "pin")
     got = j.withColumn("_n", F.row_number().over(best)).where((F.col("_n") == 1) & (F.col("lat").isNull() | (F.col("d") <= meters)))
     return got.select("ord", "pin"), overrides.join(got.select("ord"), "ord", "left_anti").select("ord", "query")

@@ -11,10 +11,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that setting is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a local session (tests) gets a temporary one; a cluster
+    has no folder then that all executors would see, which is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="placewright-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -136,9 +136,8 @@ def adaptive_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boxes_on_region(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of 0.1 degrees that touch a region."""
-    t = spark.range(10).select(c("id").alias("i")).crossJoin(spark.range(10).select(c("id").alias("j")))
-    t = t.select((c("i") * 10 + c("j")).alias("tile"), (F.lit(-122.6) + c("i") * 0.13).alias("w"), (F.lit(-122.6) + c("i") * 0.13 + 0.05).alias("e"), (F.lit(37.1) + c("j") * 0.12).alias("s"), (F.lit(37.1) + c("j") * 0.12 + 0.05).alias("n"))
+    """Boxes around the stations that touch a region."""
+    t = X.stations(spark, sf).select(c("station_id").alias("tile"), (c("lon") - 0.025).alias("w"), (c("lon") + 0.025).alias("e"), (c("lat") - 0.02).alias("s"), (c("lat") + 0.02).alias("n"))
     return R.boxes_on_region(t, X.regions(spark, sf)).select("tile")
 
 
@@ -188,9 +187,12 @@ def merge_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def override_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Every tenth name as a query, and some that match nothing."""
+    """Every pin as a query, by its name, by part of it or with more words around it; some match nothing, some are pinned."""
     p = pins(spark, sf)
-    o = p.where("pin % 40 = 0").select(c("pin").alias("ord"), "category", F.when(c("pin") % 80 == 0, F.concat(F.lit("Nowhere "), c("pin").cast("string"))).otherwise(F.upper("name")).alias("query"), F.when(c("pin") % 120 == 0, c("lat")).alias("lat"), F.when(c("pin") % 120 == 0, c("lon")).alias("lon"))
+    k = c("pin")
+    query = F.when(k % 9 == 0, F.concat(F.lit("Nowhere "), k.cast("string"))).when(k % 9 == 1, F.concat(F.lit("Old "), c("name"), F.lit(" West"))).when(k % 9 == 2, F.substring("name", 4, 9)).otherwise(F.upper("name"))
+    at = lambda n: F.when(k % 5 == 0, c(n)).alias(n)
+    o = p.select(k.alias("ord"), "category", query.alias("query"), at("lat"), at("lon"))
     got, missing = E.resolve_overrides(p, o)
     return got.select("ord", "pin").unionByName(missing.select("ord", F.lit(-1).cast("long").alias("pin")))
 
@@ -241,6 +243,7 @@ ORACLE_SQL = {
 }
 
 _LAST, _FIRST = 20, 9  # the finest level (half a diagonal of at most 25 m) and the coarsest (50 km)
+_NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _PINS = f"""n AS (SELECT p_partkey AS pin, p_partkey // 8 AS g, (p_partkey % 8)::INT AS i, p_size, split_part(p_name, ' ', 1) AS w FROM part),
  pins AS (SELECT pin, ['park', 'hospital', 'museum'][1 + g % 3] AS category, 'Zor' || ((g * 7) % 97) || 'el ' || w || ['', ' Park', ' Parking Garage', ' Dog Park', ' Medical Center', ' Entrance', ' - North', ' Hospital Building B'][1 + i] AS name,
   {sql_lat('g', 4409)} + [0.0, 40.0, 120.0, 250.0, 330.0, 480.0, 650.0, 800.0][1 + i] / 110540.0e0 AS lat, {sql_lon('g', 6277)} AS lon, p_size * CASE WHEN i = 0 THEN 9 ELSE 1 END AS reviews FROM n)"""
@@ -259,7 +262,7 @@ _SUB = rf"(regexp_matches(lower(name), '^\s*\d{{2,6}}\s+[a-z]') OR regexp_matche
 _SMALL = "(len({a}.toks) > 0 AND len({a}.toks) < len({b}.toks) AND list_has_all({b}.toks, {a}.toks) AND {a}.reviews < 50)"
 
 ORACLE_SQL |= {
-    "boxes_on_region": f"""WITH {SQL_EDGES}, t AS (SELECT i * 10 + j AS tile, -122.6e0 + i * 0.13e0 AS w, -122.6e0 + i * 0.13e0 + 0.05e0 AS e, 37.1e0 + j * 0.12e0 AS s, 37.1e0 + j * 0.12e0 + 0.05e0 AS n FROM range(10) a(i), range(10) b(j)),
+    "boxes_on_region": f"""WITH {SQL_EDGES}, {SQL_STATIONS}, t AS (SELECT station_id AS tile, lon - 0.025e0 AS w, lon + 0.025e0 AS e, lat - 0.02e0 AS s, lat + 0.02e0 AS n FROM stations),
  p AS (SELECT tile, w AS lon, s AS lat FROM t UNION ALL SELECT tile, w, n FROM t UNION ALL SELECT tile, e, s FROM t UNION ALL SELECT tile, e, n FROM t UNION ALL SELECT tile, (w + e) / 2, (s + n) / 2 FROM t)
  SELECT tile FROM (SELECT p.tile FROM p, edges GROUP BY p.tile, p.lon, p.lat, region_id HAVING {_IN}) UNION SELECT tile FROM t, edges WHERE x1 BETWEEN w AND e AND y1 BETWEEN s AND n""",
     "adaptive_tiles": f"""WITH {SQL_STATIONS}, f AS (SELECT floor((lon + 180) / 360 * {2**_LAST})::BIGINT AS x, floor((lat + 90) / 180 * {2**_LAST})::BIGINT AS y FROM stations),
@@ -271,6 +274,12 @@ ORACLE_SQL |= {
  z AS (SELECT line, sum({_planar('lat', 'lon', 'blat', 'blon')}) AS m FROM g GROUP BY line), s AS (SELECT g.*, m FROM g JOIN z USING (line) WHERE n <= 24 OR (i * 24) // n <> CASE WHEN i = 0 THEN -1 ELSE ((i - 1) * 24) // n END),
  t AS (SELECT v.*, m FROM v JOIN z USING (line)), h AS (SELECT DISTINCT s.line, s.seq FROM s JOIN t ON s.grp = t.grp AND (t.m > s.m OR (t.m = s.m AND t.line < s.line)) AND {_planar('s.lat', 's.lon', 't.lat', 't.lon')} <= 140)
  SELECT line, hits, samples FROM (SELECT line, count(*) AS samples FROM s GROUP BY line) JOIN (SELECT line, count(*) AS hits FROM h GROUP BY line) USING (line) WHERE hits >= 0.6 * samples""",
+    "override_matches": f"""WITH {_PINS}, p AS (SELECT *, {_NORM.format('name')} AS norm FROM pins),
+ o AS (SELECT pin AS ord, category, CASE pin % 9 WHEN 0 THEN 'Nowhere ' || pin WHEN 1 THEN 'Old ' || name || ' West' WHEN 2 THEN substr(name, 4, 9) ELSE upper(name) END AS query, CASE WHEN pin % 5 = 0 THEN lat END AS lat, CASE WHEN pin % 5 = 0 THEN lon END AS lon FROM pins),
+ q AS (SELECT *, {_NORM.format('query')} AS q FROM o),
+ m AS (SELECT ord, pin, q.lat, norm <> q AS apart, {sql_hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS d, reviews FROM q JOIN p USING (category) WHERE norm = q OR (q <> '' AND (contains(norm, q) OR contains(q, norm)))),
+ b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ord ORDER BY apart, d ASC NULLS LAST, reviews DESC, pin) = 1)
+ SELECT o.ord, coalesce(b.pin, -1) AS pin FROM o LEFT JOIN b ON b.ord = o.ord AND (b.lat IS NULL OR d <= 200)""",
     "merge_rule_pairs": f"""WITH {_PINS}, d AS (SELECT *, {_words(_HEAD, N.STOP)} AS toks, CASE WHEN category = 'hospital' THEN {_FULL} ELSE {_DIST} END AS words FROM pins WHERE NOT {_SUB}),
  p AS (SELECT a.pin AS l_pin, b.pin AS r_pin, a.category, len(list_intersect(a.words, b.words)) AS k, a.toks = b.toks AS same, {_SMALL.format(a='a', b='b')} OR {_SMALL.format(a='b', b='a')} AS small, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d
   FROM d a JOIN d b ON a.category = b.category AND a.pin < b.pin AND abs(a.lat - b.lat) < 0.02)
