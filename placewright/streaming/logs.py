@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from placewright.plans.tables import written
+from placewright.plans.tables import shared_dir
 
 ACTIONS = ("add", "toggle", "veto", "delete")
 
@@ -33,20 +34,42 @@ def fold_log(log: DataFrame) -> DataFrame:
 
 
 class LogState:
-    """X1 on a stream. `upsert` is a foreachBatch function: it folds a batch's games anew from the whole kept log and
-    writes their state; games without an edit in the batch keep theirs. A batch that is delivered twice changes nothing."""
+    """X1 on a stream. `upsert` is a foreachBatch function: it adds a batch to the kept log and folds the batch's games anew.
 
-    def __init__(self) -> None:
-        self.log: DataFrame | None = None
-        self.state: DataFrame | None = None
+    All is kept under `path` (default: a new folder in the shared one), nothing in the driver: a log, the games touched and
+    their state, each by epoch. So a batch writes what it touches and no more, one that is delivered twice replaces its own
+    epoch, and a stream that is started again with the same path and checkpoint goes on where it was.
+    """
+
+    def __init__(self, path: str | None = None) -> None:
+        self.path = path
+        self.spark: SparkSession | None = None
+
+    def _write(self, df: DataFrame, table: str, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{table}/epoch={epoch}")
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}")
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
-        log = batch if self.log is None else self.log.unionByName(batch)
-        self.log = written(log.dropDuplicates(["game_id", "question_id", "ts", "seq", "action"]), "log")
-        touched = batch.select("game_id").distinct()
-        fresh = fold_log(self.log.join(touched, "game_id", "left_semi"))
-        kept = fresh if self.state is None else fresh.unionByName(self.state.join(touched, "game_id", "left_anti"))
-        self.state = written(kept, "state")
+        self.spark = batch.sparkSession
+        if self.path is None:
+            self.path = f"{shared_dir(self.spark)}/log-state-{uuid.uuid4().hex}"
+        self._write(batch, "log", epoch)
+        self._write(self._read("log").where(F.col("epoch") == epoch).select("game_id").distinct(), "touched", epoch)
+        touched = self._read("touched").where(F.col("epoch") == epoch).select("game_id")
+        log = self._read("log").drop("epoch").join(touched, "game_id", "left_semi")
+        self._write(fold_log(log.dropDuplicates(["game_id", "question_id", "ts", "seq", "action"])), "state", epoch)
+
+    def state_of(self, spark: SparkSession) -> DataFrame:
+        """The current state of all games: that of the last epoch which touched a game."""
+        self.spark = spark
+        last = self._read("touched").groupBy("game_id").agg(F.max("epoch").alias("epoch"))
+        return self._read("state").join(last, ["game_id", "epoch"], "left_semi").drop("epoch")
+
+    @property
+    def state(self) -> DataFrame:
+        return self.state_of(self.spark)
 
 
 class _Ordinals(StatefulProcessor):

@@ -83,6 +83,11 @@ def test_log_fold_and_stream_agree(spark, tmp_path):
     q = s.writeStream.foreachBatch(state.upsert).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, state.state.collect())) == want
+    again = logs.LogState(state.path)  # as after a restart, with the last batch delivered once more
+    again.upsert(log.where(F.col("seq").between(6, 8)), 2)
+    assert sorted(map(tuple, again.state_of(spark).collect())) == want
+    again.upsert(log.withColumns({"action": F.lit("delete"), "seq": F.col("seq") + 1000, "ts": F.col("ts") + F.expr("interval 1 day")}).where("game_id % 2 = 0"), 3)
+    assert sorted(map(tuple, again.state.collect())) == [r for r in want if r[0] % 2]
 
 
 def test_running_ordinals_equal_the_window(spark, tmp_path):
