@@ -222,7 +222,7 @@ def _nearest_of(stations: DataFrame, pois: DataFrame, seekers: DataFrame) -> tup
 def tentacle(stations: DataFrame, pois: DataFrame, seekers: DataFrame, meters: float) -> DataFrame:
     """Q15. Of the places of a category within `meters` of the seeker, each station's nearest: game_id, station_id, poi_id.
 
-    A game's places are few; stations meet them through the game, so the work is games x stations x places in reach.
+    A game's places lie in its circle; stations meet them through the game, so the work is games x stations x places in reach.
     """
     reach = within(seekers, pois, meters, by=["category"]).select(F.col("l_game_id").alias("game_id"), F.col("r_poi_id").alias("poi_id"), F.col("r_lat").alias("plat"), F.col("r_lon").alias("plon"))
     held = reach.groupBy("game_id").agg(F.collect_list(F.struct("poi_id", "plat", "plon")).alias("places"))
