@@ -50,12 +50,15 @@ def nearest_within(left: DataFrame, right: DataFrame, meters: float, key: str, o
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1, by: list[str] | None = None, start_m: float = 5_000.0, rounds: int = 12) -> DataFrame:
     """J19. The k nearest right rows of each left row, without a radius: key, other, d, rank.
 
-    The radius grows fourfold in rounds: left rows with k partners inside the radius are done, exactly, as anything nearer would
-    be inside as well; only the others go on. What is left after the last round, where the radius spans the globe, is
+    The radius starts where the right side's usual density lets expect k + 2 partners, at start_m at most, so pairs follow the
+    left rows however dense the right ones are. It grows fourfold in rounds: left rows with k partners inside are done, exactly,
+    as anything nearer would be inside as well; only the others go on. What is left after the last round, where the radius spans the globe, is
     compared with all rows of its `by` group.
     """
     by = by or []
-    todo, found, radius = left, None, start_m
+    # Dealt by key: a row costs far more than its bytes, and where the right side is broadcast the cut below needs no other shuffle.
+    todo = left.repartition(3 * left.sparkSession.sparkContext.defaultParallelism, key)
+    found, radius = None, _start_radius(right, by, k, start_m)
     w, every = Window.partitionBy("l_" + key).orderBy("d", "r_" + other), Window.partitionBy("l_" + key)
     have = right.select(*by).distinct() if by else None
     if have is not None:
@@ -63,8 +66,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1,
     for _ in range(rounds):
         if radius > 800_000:
             break
-        pairs = within(todo, right, radius, by=by).withColumns({"rank": F.row_number().over(w), "_n": F.count("*").over(every)})
-        done = pairs.where((F.col("rank") <= k) & (F.col("_n") >= k))
+        # The k first of a key are cut before the shuffle and again after it; only then are they counted.
+        firsts = within(todo, right, radius, by=by).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        done = firsts.withColumn("_n", F.count("*").over(every)).where(F.col("_n") >= k)
         done = written(done.select(F.col("l_" + key).alias(key), F.col("r_" + other).alias(other), "d", "rank"), "nearest")
         found = done if found is None else found.unionByName(done)
         todo = written(todo.join(done.where("rank = 1").select(key), key, "left_anti"), "farther")
@@ -79,6 +83,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, k: int = 1,
     return rest if found is None else found.unionByName(rest)
 
 
+def _start_radius(right: DataFrame, by: list[str], k: int, most: float) -> float:
+    """The radius that holds k + 2 rows where a row usually lies, from counts by cell; one number comes to the driver."""
+    x, y = geo.cell(F.col("lat"), F.col("lon"), most)
+    n = right.where("lat is not null and lon is not null").groupBy(*by, x.alias("_x"), y.alias("_y")).agg(F.count("*").cast("double").alias("_n"))
+    usual = n.agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("m")).first()["m"]
+    return max(most / 1024, min(most, most * math.sqrt((k + 2) / (math.pi * usual)))) if usual else most
+
+
 def lines_of_stations(stations: DataFrame, stops: DataFrame, rebuilt: list[str], meters: float = 170.0) -> DataFrame:
     """J1. stations: station_id, system, lat, lon, lines; stops: system, line, lat, lon. The lines whose stops are under
     `meters` away in the same system; stations of other systems, and those without a stop near, keep their own."""
