@@ -234,3 +234,20 @@ def peak_class(ele_m: Column, name: Column) -> Column:
     """P23. 'peak' from 1500 ft on, 'minor' below or by name, null without an elevation."""
     ft = ele_m.try_cast("double") * 3.280839895
     return F.when(ft.isNull(), F.lit(None)).when(_has(name, r"\b(knoll|hillock|unnamed)\b"), "minor").when(ft >= 1500, "peak").otherwise("minor")
+
+
+# Names of small waters that are never listed, and the words that a bay or a reservoir must have.
+SMALL_WATER = r"(Cove|Slough|Harbor|Harbour|Channel|Basin|Forebay|Pond|Dam|Arroyo|River|Strait Yacht|Yacht|Marina|estuarial)"
+BAY_WORDS = ("Bay", "Strait", "Break", "Lagoon")
+RESERVOIR_WORDS = ("Reservoir", "Lake")
+
+
+def water_class(natural: Column, water: Column, name: Column) -> Column:
+    """P23. 'bay', 'lake', 'lagoon' or 'reservoir' for waters worth listing, null for others and for nameless ones.
+
+    Small waters by name are left out; a bay and a reservoir need one of their words, in that case, in the name.
+    """
+    kind = F.when(natural == "bay", "bay").when(water.isin("lake", "lagoon", "reservoir"), water)
+    has = lambda words: name.rlike("|".join(words))
+    named = F.when(kind == "bay", has(BAY_WORDS)).when(kind == "reservoir", has(RESERVOIR_WORDS)).otherwise(kind.isNotNull() & (name != ""))
+    return F.when(named & ~_has(name, SMALL_WATER), kind)

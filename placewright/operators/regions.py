@@ -6,6 +6,8 @@ exact as sets of cells and within one cell of the true border; `res` is an argum
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,16 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def buffer(cells: DataFrame, meters: float, res: float, lat: float) -> DataFrame:
     """R3. Cells whose centre is within `meters` of a cell's centre, on the plane at `lat`."""
-    import math
+    disc = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _disc(meters, res, lat)]
+    out = cells.select("cx", "cy", F.explode(F.array(*disc)).alias("o"))
+    return out.select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct()
 
+
+def _disc(meters: float, res: float, lat: float) -> list[tuple[int, int]]:
+    """Steps in columns and rows to the cells within `meters`."""
     hy, hx = res * M_PER_LAT, res * 111320.0 * math.cos(math.radians(lat))
     ny, nx = int(meters // hy), int(meters // hx)
-    disc = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-nx, nx + 1) for j in range(-ny, ny + 1) if (i * hx) ** 2 + (j * hy) ** 2 <= meters**2]
-    out = cells.select("cx", "cy", F.explode(F.array(*disc)).alias("o"))
-    return out.select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct()
+    return [(i, j) for i in range(-nx, nx + 1) for j in range(-ny, ny + 1) if (i * hx) ** 2 + (j * hy) ** 2 <= meters**2]
 
 
 def _cell_id(cx: Column, cy: Column) -> Column:
@@ -143,22 +148,26 @@ def filter_parts(cells: DataFrame, min_cells: int = 0, seeds: DataFrame | None =
     return p.join(g.select("part"), "part", "left_semi").select("cx", "cy")
 
 
-def shared_border(places: DataFrame) -> DataFrame:
-    """place_id and the share of its border cells with a neighbour of another place. places: place_id, cx, cy."""
-    steps = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    around = places.select("place_id", F.struct("cx", "cy").alias("own"), F.explode(steps).alias("o")).select("place_id", "own", "o.cx", "o.cy")
+def shared_border(places: DataFrame, res: float | None = None, meters: float = 150.0, lat: float = 37.7) -> DataFrame:
+    """place_id and the share of its border cells that have another place beside them or, where the cells' size `res` in
+    degrees is given, within `meters` from centre to centre on the plane at `lat`. places: place_id, cx, cy."""
+    beside = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+    far = [o for o in _disc(meters, res, lat) if o != (0, 0) and o not in beside] if res else []
+    step = lambda i, j, touch: F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(touch).alias("touch"))
+    steps = F.array(*[step(i, j, True) for i, j in beside], *[step(i, j, False) for i, j in far])
+    around = places.select("place_id", F.struct("cx", "cy").alias("own"), F.explode(steps).alias("o")).select("place_id", "own", "o.cx", "o.cy", "o.touch")
     other = places.select(F.col("place_id").alias("other"), "cx", "cy")
-    j = around.join(other, ["cx", "cy"], "left").where("other is null or other <> place_id")
-    cell = j.groupBy("place_id", "own").agg(F.bool_or(F.col("other").isNotNull()).alias("shared"))
+    j = around.join(other, ["cx", "cy"], "left").where("other <> place_id or (other is null and touch)")
+    cell = j.groupBy("place_id", "own").agg(F.bool_or("touch").alias("border"), F.bool_or(F.col("other").isNotNull()).alias("shared")).where("border")
     return cell.groupBy("place_id").agg((F.count_if("shared") / F.count("*")).alias("share"))
 
 
-def prune_isolated(places: DataFrame, loose: DataFrame, least: float = 0.02, max_rounds: int = 50) -> DataFrame:
+def prune_isolated(places: DataFrame, loose: DataFrame, least: float = 0.02, max_rounds: int = 50, res: float | None = None, meters: float = 150.0, lat: float = 37.7) -> DataFrame:
     """R6. Drops `loose` places (place_id) that share under `least` of their border with kept ones, until none is left
-    to drop; all others are immune."""
+    to drop; all others are immune. res, meters, lat: see `shared_border`."""
     kept = places
     for _ in range(max_rounds):
-        bad = written(shared_border(kept).where(F.col("share") < least).join(loose, "place_id", "left_semi").select("place_id"), "isolated")
+        bad = written(shared_border(kept, res, meters, lat).where(F.col("share") < least).join(loose, "place_id", "left_semi").select("place_id"), "isolated")
         if bad.isEmpty():
             return kept
         kept = written(kept.join(bad, "place_id", "left_anti"), "kept-places")
@@ -208,7 +217,7 @@ def play_area(places: DataFrame, counties: DataFrame, eligible: DataFrame, keep:
     of = largest_overlap(places, counties)
     base = of.join(eligible, "county", "left_semi").select("place_id").unionByName(keep.select("place_id")).distinct().join(drop, "place_id", "left_anti")
     chosen = written(places.join(base, "place_id", "left_semi"), "chosen-places")
-    chosen = prune_isolated(chosen, loose.join(keep, "place_id", "left_anti"))
+    chosen = prune_isolated(chosen, loose.join(keep, "place_id", "left_anti"), res=res)
     area = union(chosen, bridges(samples, chosen, res, step_m))
     area = written(fill_holes(written(area, "area"), hole_cells), "filled")
     return carve(area, places.join(drop, "place_id", "left_semi"))

@@ -292,6 +292,15 @@ def resolve_pois(pins: DataFrame, covering: DataFrame, manual: DataFrame, separa
     return kept.select(*pins.columns), edges, funnel
 
 
+def renamed(pins: DataFrame, renames: DataFrame) -> DataFrame:
+    """E13. renames: pin, new_name, new_lat, new_lon. Pins with a row there take its name, and its place where both
+    coordinates are given; of several rows for a pin the first by name counts."""
+    one = renames.groupBy("pin").agg(F.min(F.struct("new_name", "new_lat", "new_lon")).alias("_to"))
+    moved = F.col("_to.new_lat").isNotNull() & F.col("_to.new_lon").isNotNull()
+    at = {n: F.when(moved, F.col(f"_to.new_{n}")).otherwise(F.col(n)) for n in ("lat", "lon")}
+    return pins.join(one, "pin", "left").withColumns({"name": F.coalesce("_to.new_name", "name"), **at}).select(*pins.columns)
+
+
 def children(edges: DataFrame, pins: DataFrame) -> DataFrame:
     """A17, S15. For each final representative its pins, most reviews first."""
     r = roots(edges).withColumnsRenamed({"id": "pin", "root": "rep"}).join(pins.select("pin", "name", "reviews"), "pin")

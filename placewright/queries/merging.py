@@ -9,6 +9,7 @@ from placewright.functions import names as N
 from placewright.operators import joins as J
 from placewright.operators import lines as L
 from placewright.operators import places as P
+from placewright.operators import resolve as E
 from placewright.sources import fixtures as X
 from placewright.sources.fixtures import SQL_POIS, SQL_STATIONS, sql_hav, sql_lat, sql_lon
 
@@ -95,8 +96,25 @@ def line_routes(spark: SparkSession, sf: str) -> DataFrame:
     return L.routes(w).select("system", "color", F.array_join("way_ids", ",").alias("way_ids"))
 
 
+def water_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Waters worth listing, named after parts."""
+    k = c("p_partkey")
+    of = lambda *x: F.array(*[F.lit(v) for v in x])
+    name = F.concat(F.split("p_name", " ")[0], F.lit(" "), F.get(of("Bay", "Lake", "POND", "Reservoir", "Strait", "Lagoon", "Cove Lake", "bay"), (k % 8).cast("int")))
+    p = X.read(spark, sf, "part").select(k.alias("water_id"), name.alias("name"), F.when(k % 3 == 0, "bay").otherwise("water").alias("natural"), F.get(of("lake", "lagoon", "reservoir", "basin"), (k % 4).cast("int")).alias("water"))
+    return p.select("water_id", "name", N.water_class(c("natural"), c("water"), c("name")).alias("kind")).where("kind is not null")
+
+
+def renamed_pins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sixth place has a new name, every twelfth a new position as well."""
+    p = X.pois(spark, sf).select(c("poi_id").alias("pin"), "category", "name", "lat", "lon")
+    k = c("pin")
+    to = lambda n: F.when(k % 12 == 0, c(n) + 0.5).alias(f"new_{n}")
+    return E.renamed(p, p.where(k % 6 == 0).select("pin", F.concat(F.lit("New "), k.cast("string")).alias("new_name"), to("lat"), to("lon")))
+
+
 QUERIES = {f.__name__: f for f in (
-    first_anchor, merged_at_anchors, patched_lines, verified_hits, shown_places, listed_places, reviewed_order, peak_list, gap_totals, kept_names, line_routes,
+    first_anchor, merged_at_anchors, patched_lines, verified_hits, shown_places, listed_places, reviewed_order, peak_list, gap_totals, kept_names, line_routes, water_bodies, renamed_pins,
 )}
 
 _ANCHOR = f"""{SQL_STATIONS}, anc AS (SELECT 'Hub ' || (s_suppkey % 40) AS label, s_suppkey AS ord, {sql_lat('s_suppkey', 7127)} AS lat, {sql_lon('s_suppkey', 8243)} AS lon FROM supplier),
@@ -118,5 +136,9 @@ ORACLE_SQL = {
     "peak_list": "SELECT p_partkey AS peak_id, p_name AS name, floor((p_size * 20) * 3.280839895e0 + 0.5)::BIGINT || ' ft' AS label FROM part WHERE p_partkey % 6 <> 0 AND (p_size * 20) * 3.280839895e0 >= 1500",
     "gap_totals": f"WITH {SQL_POIS}, g AS (SELECT CASE WHEN poi_id % 3 = 0 THEN 'atlas' ELSE 'list' END AS source, category FROM pois WHERE reviews < 20) SELECT coalesce(source, '*') AS source, coalesce(category, '*') AS category, count(*) AS n FROM g GROUP BY ROLLUP (source, category)",
     "kept_names": f"WITH {SQL_STATIONS} SELECT county, coalesce(city, 'none') AS kind, count(*) AS n, sha256(string_agg(name, ',' ORDER BY name)) AS names_sha FROM stations WHERE county IS NOT NULL GROUP BY ALL",
+    "water_bodies": """WITH w AS (SELECT p_partkey AS water_id, split_part(p_name, ' ', 1) || ' ' || ['Bay', 'Lake', 'POND', 'Reservoir', 'Strait', 'Lagoon', 'Cove Lake', 'bay'][1 + p_partkey % 8] AS name,
+  CASE WHEN p_partkey % 3 = 0 THEN 'bay' ELSE ['lake', 'lagoon', 'reservoir', NULL][1 + p_partkey % 4] END AS kind FROM part)
+ SELECT * FROM w WHERE kind IS NOT NULL AND name NOT ILIKE '%pond%' AND name NOT ILIKE '%cove%' AND name NOT ILIKE '%dam%' AND (kind IN ('lake', 'lagoon') OR kind = 'bay' AND (name LIKE '%Bay%' OR name LIKE '%Strait%' OR name LIKE '%Lagoon%') OR kind = 'reservoir' AND (name LIKE '%Reservoir%' OR name LIKE '%Lake%'))""",
+    "renamed_pins": f"WITH {SQL_POIS} SELECT poi_id AS pin, category, CASE WHEN poi_id % 6 = 0 THEN 'New ' || poi_id ELSE name END AS name, CASE WHEN poi_id % 12 = 0 THEN lat + 0.5e0 ELSE lat END AS lat, CASE WHEN poi_id % 12 = 0 THEN lon + 0.5e0 ELSE lon END AS lon FROM pois",
     "line_routes": "SELECT ['BART', 'Caltrain', 'VTA', 'Muni', 'SFO AirTrain'][1 + p_partkey % 5] AS system, 'C' || (p_partkey // 200) AS color, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS way_ids FROM part GROUP BY ALL",
 }

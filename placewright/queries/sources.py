@@ -12,6 +12,8 @@ from placewright.sources import fixtures as X
 from placewright.sources import readers as S
 from placewright.sources.fixtures import SQL_EDGES, SQL_POIS, SQL_STATIONS
 
+from .shapes import _IN
+
 c = F.col
 #: Records in one landed file.
 FILE_ROWS = 500
@@ -88,12 +90,21 @@ def nested_pois(spark: SparkSession, sf: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of a box, from a table of places without a header."""
+    return S.gazetteer(spark, _gazetteer_file(spark, sf), (37.4, -122.3, 37.9, -121.8))
+
+
+def gazetteer_in_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of a box that lie in a region."""
+    return S.gazetteer(spark, _gazetteer_file(spark, sf), (37.4, -122.3, 37.9, -121.8), regions=X.regions(spark, sf))
+
+
+def _gazetteer_file(spark: SparkSession, sf: str) -> str:
     p = X.pois(spark, sf)
     path = _path(spark, "gazetteer")
     kind = F.when(c("poi_id") % 5 == 0, "PK").when(c("poi_id") % 5 == 1, "MT").otherwise("RDGE")
     blank = [F.lit("x").alias(n) for n in ("asciiname", "alternatenames")]
     p.select("poi_id", "name", *blank, "lat", "lon", F.when(c("poi_id") % 3 == 0, "P").otherwise("T").alias("class"), kind.alias("code")).write.csv(path, sep="\t", quote="")
-    return S.gazetteer(spark, path, (37.4, -122.3, 37.9, -121.8))
+    return path
 
 
 def csv_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +163,7 @@ def review_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    gtfs_stations, service_file, route_stops, geojson_regions, nested_pois, gazetteer, csv_candidates, registry, feature_attributes, closed_rings, partitioned_places, review_payload,
+    gtfs_stations, service_file, route_stops, geojson_regions, nested_pois, gazetteer, gazetteer_in_regions, csv_candidates, registry, feature_attributes, closed_rings, partitioned_places, review_payload,
 )}
 
 _TITLE = "upper(left({0}, 1)) || lower(substr({0}, 2))"
@@ -163,6 +174,8 @@ ORACLE_SQL = {
  SELECT ref, CASE WHEN ref = 'R1' AND stop_name = 'Stop 7' THEN 'Seventh' ELSE stop_name END AS stop_name, count(*) AS n, count(DISTINCT relation_id) AS routes FROM m WHERE stop_name <> 'Stop 9' GROUP BY ALL""",
     "geojson_regions": f"WITH {SQL_EDGES} SELECT 'N' || region_id AS region_id, count(DISTINCT ring) AS rings, count(*) AS points, min(x1) AS west, max(y1) AS north FROM edges GROUP BY region_id",
     "nested_pois": f"WITH {SQL_POIS} SELECT poi_id, category, CASE WHEN category = 'park' THEN 1e0 ELSE 15e0 END AS tentacle_miles, name, primary_type AS \"primaryType\", reviews AS \"userRatingCount\", status AS \"businessStatus\", lat, lon FROM pois",
+    "gazetteer_in_regions": f"""WITH {SQL_POIS}, {SQL_EDGES}, g AS (SELECT poi_id, name, lat, lon FROM pois WHERE poi_id % 3 <> 0 AND poi_id % 5 < 2 AND lat BETWEEN 37.4e0 AND 37.9e0 AND lon BETWEEN -122.3e0 AND -121.8e0),
+ i AS (SELECT poi_id, region_id FROM g p, edges GROUP BY p.poi_id, region_id, p.lat, p.lon HAVING {_IN}) SELECT name, lat, lon FROM g SEMI JOIN i USING (poi_id)""",
     "gazetteer": f"WITH {SQL_POIS} SELECT name, lat, lon FROM pois WHERE poi_id % 3 <> 0 AND poi_id % 5 < 2 AND lat BETWEEN 37.4e0 AND 37.9e0 AND lon BETWEEN -122.3e0 AND -121.8e0",
     "csv_candidates": f"WITH {SQL_STATIONS} SELECT name, concat_ws(', ', name, (station_id * 10) || ' Main St', city) AS query, CASE WHEN station_id % 3 <> 0 THEN lat ELSE 37.7e0 END AS lat, CASE WHEN station_id % 3 <> 0 THEN lon ELSE -122.2e0 END AS lon, station_id % 3 = 0 AS coarse FROM stations",
     "registry": f"WITH {SQL_STATIONS} SELECT {_TITLE.format('name')} AS name, 'Main Street' AS address, 'Daly City' AS city FROM stations WHERE station_id % 4 <> 0 AND county IN ('C1', 'C3')",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placewright.operators.regions import points_in_regions
+
 _POINTS = "array<struct<lat: double, lon: double>>"
 #: One permissive schema for nodes, ways and relations.
 ELEMENT = f"type string, id long, lat double, lon double, tags map<string,string>, geometry {_POINTS}, members array<struct<type: string, ref: long, role: string, geometry: {_POINTS}>>"
@@ -80,12 +82,16 @@ def nested_pois(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select("category", F.col("b.tentacleRadiusMi").alias("tentacle_miles"), F.explode("b.places").alias("p")).select("category", "tentacle_miles", "p.*")
 
 
-def gazetteer(spark: SparkSession, path: str, box: tuple[float, float, float, float], feature_class: str = "T", codes: tuple[str, ...] = ("PK", "MT")) -> DataFrame:
-    """S6. Tab-separated gazetteer rows of a class and codes inside (south, west, north, east): name, lat, lon."""
+def gazetteer(spark: SparkSession, path: str, box: tuple[float, float, float, float], feature_class: str = "T", codes: tuple[str, ...] = ("PK", "MT"), regions: DataFrame | None = None) -> DataFrame:
+    """S6. Tab-separated gazetteer rows of a class and codes inside (south, west, north, east) and, if given, inside a region:
+    name, lat, lon."""
     df = spark.read.csv(path, sep="\t", quote="")
     at = lambda i, t: F.col(f"_c{i}").try_cast(t)
     ok = (F.col("_c6") == feature_class) & F.col("_c7").isin(*codes) & at(4, "double").between(box[0], box[2]) & at(5, "double").between(box[1], box[3])
-    return df.where(ok).select(F.col("_c1").alias("name"), at(4, "double").alias("lat"), at(5, "double").alias("lon"))
+    rows = df.where(ok).select(F.col("_c0").alias("id"), F.col("_c1").alias("name"), at(4, "double").alias("lat"), at(5, "double").alias("lon"))
+    if regions is not None:
+        rows = rows.join(points_in_regions(rows, regions).select("id").distinct(), "id", "left_semi")
+    return rows.select("name", "lat", "lon")
 
 
 def csv_candidates(spark: SparkSession, path: str, centre: tuple[float, float]) -> DataFrame:

@@ -169,6 +169,28 @@ def test_covers(spark):
     assert R.buffer(spark.createDataFrame([(0, 0)], "cx long, cy long"), 1.0, 0.01, 37.7).count() == 1
 
 
+def test_shared_border_reaches_over_a_gap(spark):
+    """Two blocks of 4 x 4 cells, one column apart, and one far away: brute force over cells, with and without reach."""
+    r = random.Random(5)
+    blocks = {1: (0, 0), 2: (5, 1), 3: (40, 40)}
+    cells = {(p, x + i, y + j) for p, (x, y) in blocks.items() for i in range(4) for j in range(4) if r.random() < 0.8}
+    df = spark.createDataFrame(sorted(cells), "place_id long, cx long, cy long")
+    res, lat = 0.001, 37.7
+    hx, hy = res * 111320.0 * math.cos(math.radians(lat)), res * 110540.0
+    beside = ((1, 0), (-1, 0), (0, 1), (0, -1))
+    for size, meters in ((None, 150.0), (res, 190.0)):
+        want = {}
+        for p in blocks:
+            own = {(x, y) for q, x, y in cells if q == p}
+            other = {(x, y) for q, x, y in cells if q != p}
+            border = [(x, y) for x, y in own if any((x + i, y + j) not in own for i, j in beside)]
+            near = [any(((x - a) * hx) ** 2 + ((y - b) * hy) ** 2 <= meters**2 if size else (a - x, b - y) in beside for a, b in other) for x, y in border]
+            want[p] = sum(near) / len(near)
+        got = {x["place_id"]: x["share"] for x in R.shared_border(df, size, meters, lat).collect()}
+        assert got == want and (want[1] > 0) == bool(size) and want[3] == 0
+    assert {x["place_id"] for x in R.prune_isolated(df, df.select("place_id").distinct(), res=res, meters=190.0).select("place_id").distinct().collect()} == {1, 2}
+
+
 def test_gap_runs_close_on_both_ends(spark):
     rows = [("a", i, c) for i, c in enumerate([False, True, False, False, True, False])]
     got = sorted(map(tuple, R.gap_runs(spark.createDataFrame(rows, "line string, pos long, covered boolean")).collect()))
