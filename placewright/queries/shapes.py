@@ -95,10 +95,10 @@ def cover_algebra(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fill_holes(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of stations, widened, with holes filled, small parts dropped: counts."""
+    """Cells of stations, widened; these with holes filled, with small holes filled, with small parts dropped: counts."""
     cells = _points(spark, sf).select(F.floor(c("lon") / 0.02).cast("long").alias("cx"), F.floor(c("lat") / 0.02).cast("long").alias("cy")).where("(cx + cy) % 3 <> 0").distinct()
     wide = R.buffer(cells.where("(cx * 7 + cy) % 11 = 0"), 4000.0, 0.02, 37.7)
-    parts = [("cells", cells), ("wide", wide), ("filled", R.fill_holes(cells)), ("small_filled", R.fill_holes(cells, 2)), ("parts", R.filter_parts(cells, 3, res=0.02))]
+    parts = [("cells", cells), ("wide", wide), ("filled", R.fill_holes(wide)), ("small_filled", R.fill_holes(wide, 2)), ("parts", R.filter_parts(wide, 15, res=0.02))]
     out = None
     for n, df in parts:
         g = df.agg(F.count("*").alias("n")).withColumn("what", F.lit(n))
@@ -224,6 +224,18 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
+    "fill_holes": f"""WITH RECURSIVE {SQL_STATIONS}, cells AS (SELECT DISTINCT cx, cy FROM (SELECT floor(lon / 0.02e0)::BIGINT AS cx, floor(lat / 0.02e0)::BIGINT AS cy FROM stations) WHERE (cx + cy) % 3 <> 0),
+ beside AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(i, j)), wide AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM cells, range(-3, 4) AS a(i), range(-3, 4) AS b(j)
+  WHERE (cx * 7 + cy) % 11 = 0 AND pow(i * 0.02e0 * 111320.0e0 * cos(radians(37.7e0)), 2) + pow(j * 0.02e0 * 110540.0e0, 2) <= 16000000),
+ frame AS (SELECT min(cx) - 1 AS x0, max(cx) + 1 AS x1, min(cy) - 1 AS y0, max(cy) + 1 AS y1 FROM wide),
+ free AS (SELECT cx, cy, cx IN (x0, x1) OR cy IN (y0, y1) AS edge FROM (SELECT *, unnest(range(y0, y1 + 1)) AS cy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS cx FROM frame)) f ANTI JOIN wide USING (cx, cy)),
+ outer_cells AS (SELECT cx, cy FROM free WHERE edge UNION SELECT free.cx, free.cy FROM outer_cells o, beside, free WHERE free.cx = o.cx + i AND free.cy = o.cy + j),
+ hole AS (SELECT cx, cy FROM free ANTI JOIN outer_cells USING (cx, cy)),
+ both_kinds AS (SELECT 'hole' AS k, * FROM hole UNION ALL SELECT 'wide', * FROM wide),
+ reach AS (SELECT k, cx AS ax, cy AS ay, cx, cy FROM both_kinds UNION SELECT r.k, ax, ay, o.cx, o.cy FROM reach r, beside, both_kinds o WHERE o.k = r.k AND o.cx = r.cx + i AND o.cy = r.cy + j),
+ size AS (SELECT k, ax, ay, count(*) AS n FROM reach GROUP BY ALL), w AS (SELECT count(*) AS n FROM wide)
+ SELECT count(*) AS n, 'cells' AS what FROM cells UNION ALL SELECT n, 'wide' FROM w UNION ALL SELECT n + (SELECT count(*) FROM hole), 'filled' FROM w
+ UNION ALL SELECT n + (SELECT count(*) FROM size WHERE k = 'hole' AND n < 2), 'small_filled' FROM w UNION ALL SELECT count(*), 'parts' FROM size WHERE k = 'wide' AND n >= 15""",
     "line_lengths": f"WITH {_SEG} SELECT line, round(sum({_planar('lat', 'lon', 'blat', 'blon')}), 1) AS length_m, count(*) AS vertices FROM seg GROUP BY line HAVING sum({_planar('lat', 'lon', 'blat', 'blon')}) >= 800",
     "snap_to_line": f"WITH {_SNAP}, b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY d) = 1) SELECT station_id, round(CASE WHEN d > 300 THEN lat + y / 110540.0e0 ELSE lat END, 5) AS lat, round(CASE WHEN d > 300 THEN lon + x / kx ELSE lon END, 5) AS lon, round(d, 1) AS d, d > 300 AS moved FROM b WHERE d <= 3000",
     "offset_lines": f"""WITH {SQL_VERTICES}, n AS (SELECT *, row_number() OVER w AS i, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon, count(*) OVER (PARTITION BY line) AS n FROM vertices WINDOW w AS (PARTITION BY line ORDER BY seq)),
