@@ -49,7 +49,9 @@ def row_key(*cols: Column) -> Column:
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_TABLE[65:91] = _TABLE[97:123]  # A-Z as a-z
+#: A value for each byte; the table of word hashes reads A-Z as a-z.
+BYTE_TABLE = _TABLE.copy()
+_TABLE[65:91] = _TABLE[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +81,8 @@ def mix(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie one after another in `data` (uint8), A-Z read as a-z.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after another in `data` (uint8), A-Z read as a-z unless `table` differs.
 
     bounds: n + 1 offsets of the texts. Returns the hashes and, for each text, where its words start (n + 1 values).
     """
@@ -98,7 +100,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     end[inner - 1] = word[inner - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:n], out=total[1:])
+    np.cumsum(table[data] * power[:n], out=total[1:])
     h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
     return h, np.searchsorted(s, bounds)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, katz, langid, line_dedup, merkle, ngram_join, pieces, quality, secrets, token_counts, toxicity
+from . import decontaminate, divergence, katz, langid, line_dedup, merkle, ngram_join, pieces, quality, recompression, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_substring_dedup": recompression.op12_substring_dedup,
     "op13_divergence": divergence.op13_divergence,
 }
-ORACLE_SQL = {"op6_quality_rules": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op13_divergence": divergence.ORACLE}
+ORACLE_SQL = {"op6_quality_rules": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_substring_dedup": recompression.ORACLE, "op13_divergence": divergence.ORACLE}
