@@ -105,6 +105,14 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = _TABLE
     return h, np.searchsorted(s, bounds)
 
 
+def range_hashes(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of words [low, high); equal sequences have equal ones wherever they stand."""
+    power, inverse = _power_tables(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[high] - total[low]) * inverse[low] + (high - low).astype(np.uint64))
+
+
 def hash_word(word: str) -> np.uint64:
     """The hash that word_hashes gives this one word."""
     data = np.frombuffer(word.encode(), np.uint8)

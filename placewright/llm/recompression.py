@@ -7,7 +7,7 @@ is revealed by one of the symbols that it so determines by itself: of the highes
 that two equal windows in different texts point to the same symbol. Consecutive windows with one symbol are a segment.
 
 Spark then names globally: per symbol the least and the greatest document that it reveals windows of. Only segments whose
-symbol two documents share are looked at again. Their windows are verified by names of 128 bits over all their words, and
+symbol two documents share are looked at again; a whole text that recurs is one symbol and done with. Their windows are verified by names of 128 bits over all their words, and
 those that a document with a smaller id has too are cut. What is exchanged is one row for every six words or so, not
 one for each window, and windows only where a symbol recurs; common symbols are tables that adaptive joins split.
 """
@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import BYTE_TABLE, OWN, mix, row_key, steps, string_bytes, word_hashes, written
+from .common import BYTE_TABLE, OWN, mix, range_hashes, row_key, steps, string_bytes, word_hashes, written
 
 #: Words of a window.
 WINDOW = 13
 #: Rounds of pairs.
-ROUNDS = 3
+ROUNDS = 2
 
 _U = np.uint64
 _LEFT, _RIGHT, _COUNT = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -92,7 +92,7 @@ def named_pairs(s: Symbols, level: int) -> Symbols:
 def chosen(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window, by its first word: (starts of windows, names of their symbols, ids of the symbols' places).
 
-    A window takes the highest level of which it decides a symbol by itself, there the longest, and of these the one with the
+    The name is that of the symbol and of the words that decide it, which the window holds too. A window takes the highest level of which it decides a symbol by itself, there the longest, and of these the one with the
     least scrambled name, the first of equal ones. Every window decides its own words, so each has one.
     """
     levels = [word_symbols(words, first)]
@@ -119,7 +119,8 @@ def chosen(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: i
             better = more[r > best_rank[more]]
             best[better] = lo[better] + k
             best_rank[better] = rank[best[better]]
-        name[at], place[at] = s.name[best], base + best
+        name[at] = mix(s.name[best] + range_hashes(words, s.low[best], s.high[best]))
+        place[at] = base + best
         base += len(s.name)
         todo = todo[~some]
         if not len(todo):
@@ -142,7 +143,7 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, doc, text -> key, doc, segments (name, start, n): the windows from the start-th on have the symbol `name`."""
+    """key, doc, text -> key, doc, name, start, n: the n windows from the start-th on have the symbol `name`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -152,16 +153,13 @@ def segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             doc = np.searchsorted(first, start, side="right") - 1
             head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
-            n = np.diff(np.append(head, len(start)))
+            n = np.diff(np.append(head, len(start))).astype(np.int32)
             row = doc[head]
-            rows_, sizes = np.unique(row, return_counts=True)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             at = (start[head] - first[row]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(name[head].view(np.int64)), pa.array(at), pa.array(n.astype(np.int32))], names=["name", "start", "n"])
-            own = [part.column(c).take(pa.array(rows_)) for c in ("key", "doc")]
-            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(offsets, values)], names=["key", "doc", "segments"])
+            own = [part.column(c).take(pa.array(row)) for c in ("key", "doc")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(name[head].view(np.int64)), pa.array(at), pa.array(n)], names=["key", "doc", "name", "start", "n"])
 
-    return rows.select("key", "doc", "text").mapInArrow(run, f"key long, doc {rows.schema['doc'].dataType.simpleString()}, segments array<struct<name:bigint,start:int,n:int>>")
+    return rows.select("key", "doc", "text").mapInArrow(run, f"key long, doc {rows.schema['doc'].dataType.simpleString()}, name long, start int, n int")
 
 
 def shared_names(occurrences: DataFrame, names: list[str]) -> DataFrame:
@@ -195,19 +193,27 @@ def order_of(docs: DataFrame, key: str) -> Column:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, starts: for each row of `docs` that has some (by its row key) the places of the windows that a document with a
-    smaller id has too, in words from 0."""
+    """key, starts, whole: for each row of `docs` that has some (by its row key) the places of the windows that a document
+    with a smaller id has too, in words from 0; whole: all of them, as the whole text is that of such a document.
+
+    A whole text is the highest symbol of all. A copy is done with that, and its words are looked for in the document with
+    the least id that has it.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(row_key(F.col(key), body).alias("key"), order_of(docs, key).alias("doc"), body.alias("text"))
-    found = written(segments(rows, window), "segments")
-    names = found.select("doc", F.explode(F.array_distinct(F.col("segments")["name"])).alias("name"))
-    shared = written(shared_names(names, ["name"]).select("name"), "shared")
-    occurring = written(found.select("key", F.inline("segments")), "occurring")
-    spans = occurring.join(shared, "name").groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    found = written(windows_of(rows.join(written(spans, "spans"), "key"), window), "windows")
+    rows = rows.withColumns({"x": F.xxhash64("text"), "y": F.xxhash64(F.lit(WINDOW), "text")})
+    copied = written(shared_names(rows, ["x", "y"]), "copied")
+    marked = rows.join(copied, ["x", "y"], "left")
+    copies = rows.select("key", "doc", "x", "y").join(copied, ["x", "y"]).where("doc > lo").select("key").distinct()
+    originals = marked.where("lo is null or doc <= lo").select("key", "doc", "text")
+    occurring = written(segments(originals, window), "segments")
+    shared = written(shared_names(occurring, ["name"]).select("name"), "shared")
+    spans = occurring.select("key", "name", "start", "n").join(shared, "name").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = written(windows_of(rows.select("key", "doc", "text").join(written(spans, "spans"), "key"), window), "windows")
     again = written(shared_names(found, ["a", "b"]), "repeated")
     later = found.join(again, ["a", "b"]).where("doc > lo")
-    return later.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    parts = later.groupBy("key").agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
+    return parts.unionByName(copies.select("key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -223,7 +229,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", k
     added = ["n_words", "n_removed", "kept", "removed"]
     docs = docs.drop(*added)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    cuts = written(repeats(docs, window, text, key), "cuts").select(F.col("key").alias(f"{OWN}key"), F.col("starts").alias(f"{OWN}starts"))
+    cuts = written(repeats(docs, window, text, key), "cuts").select(*[F.col(c).alias(f"{OWN}{c}") for c in ("key", "starts", "whole")])
     keyed = docs.withColumn(f"{OWN}key", row_key(F.col(key), body)).join(cuts, f"{OWN}key", "left").drop(f"{OWN}key")
     columns = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -231,10 +237,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, text):
             n_words, n_removed, kept, removed = [], [], [], []
-            for t, starts in zip(part.column(text).cast(pa.string()).to_pylist(), part.column(f"{OWN}starts").to_pylist()):
+            for t, starts, whole in zip(part.column(text).cast(pa.string()).to_pylist(), part.column(f"{OWN}starts").to_pylist(), part.column(f"{OWN}whole").to_pylist()):
                 words = (t or "").encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                if starts:
+                if whole and len(words) >= window:
+                    gone[0] = 1
+                elif starts:
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, np.array(starts) + window, -1)
                 cut = np.concatenate([[False], np.cumsum(gone)[:-1] > 0, [False]])
@@ -242,7 +250,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", k
                 n_words.append(len(words))
                 n_removed.append(int(cut.sum()))
                 removed.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2])])
-                kept.append(b" ".join(w for w, c in zip(words, cut[1:-1]) if not c) if starts else b" ".join(words))
+                kept.append(b" ".join(w for w, c in zip(words, cut[1:-1]) if not c) if cut.any() else b" ".join(words))
             own = [part.column(c) for c in columns]
             spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), spans], names=[*columns, *added])
