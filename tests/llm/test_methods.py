@@ -1,5 +1,6 @@
 """Every operator against brute force, an exact round trip, SQL or held-out accuracy."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from placewright.llm import decontaminate, katz, langid, ngram_join, pieces, registry, secrets, token_counts, toxicity
+from placewright.llm import decontaminate, divergence, katz, langid, merkle, ngram_join, pieces, recompression, registry, secrets, token_counts, toxicity
 from placewright.llm.common import Lookup, remainder, word_hashes
 
 from ..conftest import SF, normal
@@ -381,3 +382,56 @@ def test_pipeline_keeps_columns_and_applies_every_stage(spark):
     assert ngram_join.ngram_join(docs).where("doc_id <> class_id").count() <= 1
     out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
     assert out.count() == n and out.where("not round_trip").count() == 0
+
+
+def test_proofs_fold(spark):
+    """Anyone can fold a leaf by its proof; a source of more than a superblock, one of one row, more sources than a run."""
+    sizes = {"big": 700, "one": 1, **{f"s{i}": 3 for i in range(20)}}
+    data = [(i, s, "en", i, f"text {i}") for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, lang string, n_chars long, text string")
+    got = merkle.merkle_manifest(docs, proofs=True).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert len(got) == len(data) and len({r["root"] for r in got}) == 1 and all(r["verified"] for r in got)
+    for r in got:
+        now = r["leaf"]
+        for level in r["proof"]:
+            now = digest(level["before"] + now + level["after"])
+        assert now == r["root"] and r["proof_sha256"] == digest("".join(x["before"] + x["after"] for x in r["proof"]))
+    leaves = [r["leaf"] for r in sorted(got, key=lambda r: r["doc_id"]) if r["source"] == "big"]
+    while len(leaves) > 1:
+        leaves = [digest("".join(leaves[i : i + 16])) for i in range(0, len(leaves), 16)]
+    assert leaves == [next(r["subroot"] for r in got if r["source"] == "big")]
+
+
+def test_equal_windows_have_one_symbol():
+    """Whatever stands around a window, it is revealed by the same name; runs and periods too."""
+    rng = random.Random(4)
+    for trial in range(300):
+        few = rng.choice([2, 3, 50])
+        window = [rng.randrange(few) for _ in range(13)]
+        if trial % 5 == 0:
+            window = [window[i % rng.choice([1, 2, 3])] for i in range(13)]
+        names = set()
+        for _ in range(6):
+            before, after = ([rng.randrange(few) for _ in range(rng.randrange(12))] for _ in range(2))
+            text = np.array(before + window + after, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)
+            start, name, _ = recompression.chosen(text, np.array([0, len(text)]))
+            names.add(int(name[start == len(before)][0]))
+        assert len(names) == 1
+
+
+def test_spilled_and_merged_runs(spark, docs):
+    """Blocks that spill often and runs that are merged in rounds give the frequencies of one block."""
+    clean = docs.select("lang", "source", "text")
+    once = divergence.runs_of(clean.coalesce(1), 3, 10**9)
+    many = divergence.runs_of(clean.repartition(3), 3, 2_000)
+    assert many.select("run").distinct().count() > 20
+    read = lambda runs, fan_in: sorted((r["lang"], r["term"], r["total"], tuple(sorted(map(tuple, r["posts"])))) for r in divergence.frequencies(runs, 3, fan_in).collect())
+    want = read(once, 256)
+    assert want == read(many, 4)
+    counts, seen = Counter(), Counter()
+    for r in docs.collect():
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low(r["text"]))
+        counts.update((r["lang"], t) for t in terms)
+        seen.update((r["lang"], t) for t in set(terms))
+    assert {(x[0], x[1]): x[2] for x in want} == {k: n for k, n in counts.items() if seen[k] >= 3}
