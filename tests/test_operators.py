@@ -3,8 +3,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from placewright.operators import bitmaps as B
 from placewright.operators import joins as J
 from placewright.operators import lines as L
 from placewright.operators import places as P
@@ -67,17 +69,33 @@ def test_yes_and_no_part_the_stations(spark):
     assert both.where("a = b").count() == 0 and both.count() > 0
 
 
-def test_slots_equal_definitions(spark):
+@pytest.mark.parametrize(("bits", "group"), [(15, 1024), (4, 7)])
+def test_bitmaps_equal_definitions(spark, monkeypatch, bits, group):
+    """One bucket, and many small ones that bounds leave out, in many groups."""
+    monkeypatch.setattr(B, "BUCKET_BITS", bits)
+    monkeypatch.setattr(B, "GROUP", group)
     st, q = X.stations(spark, SF), X.questions(spark, SF)
     want = Q.verdicts(st, q, X.AIRPORTS).groupBy("game_id", "station_id").agg(F.bool_and("ok").alias("ok")).where("ok").select("game_id", "station_id")
     got = Q.eliminate(st, q, X.AIRPORTS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    killed = Q.verdicts(st, q, X.AIRPORTS).groupBy("game_id", "question_id", "kind").agg(F.count_if(~F.col("ok")).alias("killed"))
+    assert sorted(map(tuple, Q.kill_counts(st, q, X.AIRPORTS).collect())) == sorted(map(tuple, killed.collect()))
+
+
+def test_first_killers_equal_definitions(spark, monkeypatch):
+    monkeypatch.setattr(B, "BUCKET_BITS", 5)
+    st, q = X.stations(spark, SF), X.questions(spark, SF).where("game_id % 3 = 0")
+    want = Q.verdicts(st, q, X.AIRPORTS).where("not ok").groupBy("game_id", "station_id").agg(F.array_sort(F.collect_list("question_id")).alias("k")).collect()
+    want = sorted((r["game_id"], r["station_id"], tuple(r["k"])) for r in want)
+    got = Q.first_killers(st, q, X.AIRPORTS, every=True).collect()
+    assert sorted((r["game_id"], r["station_id"], tuple(r["killers"])) for r in got) == want and all(r["first"] == r["killers"][0] for r in got)
+    assert sorted(map(tuple, Q.first_killers(st, q, X.AIRPORTS).collect())) == [(g, s, k[0]) for g, s, k in want]
 
 
 def test_remaining_counts_read_all_questions_of_a_game(spark, monkeypatch):
     st = X.stations(spark, SF)
     mild = X.questions(spark, SF).withColumn("game_id", F.floor(F.col("game_id") / 8)).where("answer = 'no' and kind in ('radar', 'match-namelength', 'match-line', 'match-city')")
-    assert Q.live(mild).groupBy("game_id").count().where(F.col("count") > 2 * Q.SLOTS).count() > 0
+    assert Q.live(mild).groupBy("game_id").count().where(F.col("count") > 6).count() > 0
     want = Q.verdicts(st, mild, X.AIRPORTS).groupBy("game_id", "station_id").agg(F.bool_and("ok").alias("ok")).groupBy("game_id").agg(F.count_if("ok").alias("n"))
     want = sorted(map(tuple, want.collect()))
     assert any(n for _, n in want)
@@ -103,12 +121,6 @@ def test_match_counts_equal_pairs(spark):
     assert sorted(map(tuple, J.nearest_match_counts(st, pois, seek, 900.0).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_kill_counts_equal_verdicts(spark):
-    st, q = X.stations(spark, SF), X.questions(spark, SF)
-    want = Q.verdicts(st, q, X.AIRPORTS).groupBy("game_id", "question_id", "kind").agg(F.count_if(~F.col("ok")).alias("killed"))
-    assert sorted(map(tuple, Q.kill_counts(st, q, X.AIRPORTS).collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_rewards_and_groups(spark):
     rows = [question("thermometer", to=(37.782, -122.4194), qid=1), question("thermometer", to=(37.782, -122.4194), qid=2), question("radar", radius=5.0, qid=3)]
     got = {r["question_id"]: (r["group_key"], r["cards"]) for r in Q.ask_history(spark.createDataFrame(rows, QUESTION)).collect()}
