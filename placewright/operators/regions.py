@@ -11,12 +11,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewright.plans.graph import components
 from placewright.plans.tables import written
 
-#: Degrees of the cells that bring points and edges together.
+from . import runs
+
+#: Degrees of the rows that bring vertices and tiles together.
 GRID = 0.05
-M_PER_LAT = 110540.0
+#: Sides of all regions up to which no tree is built.
+FEW_SIDES = 50_000
+#: Levels between a region's extent and its leaves, at least.
+LEAST_SPLIT = 4
+M_PER_LAT = runs.M_PER_LAT
 
 
 def edges_of(regions: DataFrame) -> DataFrame:
@@ -34,19 +39,53 @@ def boxes(regions: DataFrame) -> DataFrame:
     return p.groupBy("region_id").agg(F.min("p.lon").alias("w"), F.max("p.lon").alias("e"), F.min("p.lat").alias("s"), F.max("p.lat").alias("n"), F.avg("p.lat").alias("mid"))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, boundary: str = "evenodd", key: str = "id") -> DataFrame:
-    """J6. (key, region_id) of points (lat, lon) inside regions, holes out by the even-odd rule.
+def hierarchy(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, sides): the quadtree cover of each region, and its sides by row of leaves.
 
-    boundary: 'evenodd' as crossings fall, 'covers' with border points in, 'contains' with them out. A point meets the
-    sides in its own row of grid cells only: a side is copied to the rows it spans, a ray to the west meets no other.
+    cells: region_id, level, x, y, full. A cell of a level is 360 / 2 ** level degrees wide and high. A leaf that a side runs
+    through is partial; a full cell is the largest one without a side that lies inside. Leaves are a 16th of the region's
+    extent, or finer for regions of many sides, so that a row of leaves has a few sides. sides: region_id, y (row of leaves at
+    the region's own level), x1, y1, x2, y2.
     """
     e = edges_of(regions)
-    row = lambda y: F.floor(y / GRID).cast("long")
-    e = e.withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2")))))
-    p = points.select(key, "lat", "lon").where("lat is not null and lon is not null").withColumn("_r", row(F.col("lat")))
-    b = boxes(regions).select("region_id", "w", "e")
-    e = e.join(b, "region_id")
-    j = p.join(e, "_r").where(F.col("lon").between(F.col("w"), F.col("e")))
+    b = e.groupBy("region_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"), F.count("*").alias("sides"))
+    split = F.greatest(F.lit(LEAST_SPLIT), F.least(F.lit(16), F.ceil(F.log2(F.col("sides") / 8)))).cast("int")
+    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"), F.lit(1e-7))
+    b = b.withColumn("leaf", F.least(F.floor(F.log2(360.0 / extent)) + split, F.lit(40)).cast("int")).withColumn("split", split)
+    b = b.withColumn("k", F.pow(F.lit(2.0), "leaf") / 360.0)
+    at = lambda v, k: F.floor(v * k).cast("long")
+    pad = 1e-6 / F.col("k")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    sides = e.join(b.select("region_id", "leaf", "split", "k"), "region_id").withColumn("y", F.explode(F.sequence(at(low - pad, F.col("k")), at(high + pad, F.col("k")))))
+    x_at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")))
+    inside = lambda y: F.least(F.greatest(y, low), high)
+    a, c = x_at(inside(F.col("y") / F.col("k"))), F.when(F.col("y1") == F.col("y2"), F.col("x2")).otherwise(x_at(inside((F.col("y") + 1) / F.col("k"))))
+    leaves = sides.select("region_id", "leaf", "split", "y", F.explode(F.sequence(at(F.least(a, c) - pad, F.col("k")), at(F.greatest(a, c) + pad, F.col("k")))).alias("x")).distinct()
+    leaves = written(leaves, "leaves")
+    up = leaves.select("region_id", "leaf", "x", "y", F.explode(F.sequence(F.lit(0), "split")).alias("up"))
+    shift = lambda c: F.expr(f"shiftright({c}, up)")
+    partial = up.select("region_id", (F.col("leaf") - F.col("up")).alias("level"), "leaf", shift("x").alias("x"), shift("y").alias("y")).distinct()
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    below = partial.where("level < leaf").select("region_id", (F.col("level") + 1).alias("level"), "leaf", F.col("x") * 2, F.col("y") * 2, corner.alias("o")).toDF("region_id", "level", "leaf", "x", "y", "o")
+    below = below.select("region_id", "level", "leaf", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
+    # A cell of the topmost level is as large as the region, so it has a side or lies outside.
+    free = below.join(partial, ["region_id", "level", "leaf", "x", "y"], "left_anti")
+    k = F.pow(F.lit(2.0), F.col("level")) / 360.0
+    centres = free.select("region_id", F.struct("level", "x", "y").alias("id"), ((F.col("x") + 0.5) / k).alias("lon"), ((F.col("y") + 0.5) / k).alias("lat"), "leaf")
+    centres = centres.withColumn("y", at(F.col("lat"), F.pow(F.lit(2.0), F.col("leaf")) / 360.0))
+    sides = sides.select("region_id", "y", "x1", "y1", "x2", "y2")
+    full = _tested(centres, sides, "id", "evenodd").select("region_id", "id.level", "id.x", "id.y", F.lit(True).alias("full"))
+    cells = leaves.select("region_id", F.col("leaf").alias("level"), "x", "y", F.lit(False).alias("full")).unionByName(full)
+    return written(cells, "quadtree"), sides
+
+
+def _tested(points: DataFrame, sides: DataFrame, key: str, boundary: str) -> DataFrame:
+    """(key, region_id) of points (key, region_id, y, lat, lon) inside that region, by the sides in their row of leaves."""
+    return _inside(points.join(sides, ["region_id", "y"]), key, boundary)
+
+
+def _inside(j: DataFrame, key: str, boundary: str) -> DataFrame:
+    """(key, region_id) of the points inside. j: points with all sides of a region that span their latitude."""
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     crosses = spans & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
     cross = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("lon") - F.col("x1"))
@@ -56,6 +95,33 @@ def points_in_regions(points: DataFrame, regions: DataFrame, boundary: str = "ev
     return g.where(keep).select(key, "region_id")
 
 
+def points_in_regions(points: DataFrame, regions: DataFrame, boundary: str = "evenodd", key: str = "id", tree: bool | None = None) -> DataFrame:
+    """J6. (key, region_id) of points (lat, lon) inside regions, holes out by the even-odd rule. Keys are unique.
+
+    boundary: 'evenodd' as crossings fall, 'covers' with border points in, 'contains' with them out. Points meet the regions'
+    quadtree by equality, once for each level in use. In a full cell that is the answer; only points in partial leaves meet
+    sides, those of that region in their row of leaves. Building the tree pays where there are many sides; up to FEW_SIDES, a
+    table that the planner may broadcast, points meet the sides in their row of a fixed grid. tree: True, False force either.
+    """
+    if not (regions.select(F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("n")).first()["n"] or 0) > FEW_SIDES if tree is None else not tree:
+        row = lambda y: F.floor(y / GRID).cast("long")
+        e = edges_of(regions)
+        box = e.groupBy("region_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"))
+        e = e.withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2"))))).join(box, "region_id")
+        p = points.select(key, "lat", "lon").where("lat is not null and lon is not null").withColumn("_r", row(F.col("lat")))
+        return _inside(p.join(e, "_r").where(F.col("lon").between(F.col("w"), F.col("e"))), key, boundary)
+    cells, sides = hierarchy(regions)
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # 41 numbers at most
+    if not levels:
+        return points.select(key).limit(0).crossJoin(regions.select("region_id").limit(0))
+    at = lambda v, z: F.floor(F.col(v) * (2.0**z / 360.0)).cast("long")
+    places = F.array(*[F.struct(F.lit(z).alias("level"), at("lon", z).alias("x"), at("lat", z).alias("y")) for z in levels])
+    p = points.select(key, "lat", "lon").where("lat is not null and lon is not null").withColumn("_p", F.explode(places)).select(key, "lat", "lon", "_p.*")
+    met = p.join(cells, ["level", "x", "y"])
+    near = met.where("not full").select(key, "region_id", "y", "lat", "lon")
+    return met.where("full").select(key, "region_id").unionByName(_tested(near, sides, key, boundary))
+
+
 def clip(pois: DataFrame, strict: DataFrame, wide: DataFrame, natural: list[str], key: str = "poi_id") -> DataFrame:
     """P11. Places of natural categories must lie in `strict`, all others in `wide` (its buffered form)."""
     a = points_in_regions(pois.where(F.col("category").isin(natural)), strict, "contains", key).select(key)
@@ -64,14 +130,8 @@ def clip(pois: DataFrame, strict: DataFrame, wide: DataFrame, natural: list[str]
 
 
 def cover(regions: DataFrame, res: float) -> DataFrame:
-    """R1. Cells whose centre lies in the region."""
-    b = boxes(regions)
-    c = lambda v: F.floor(v / res).cast("long")
-    cells = b.select("region_id", F.explode(F.sequence(c(F.col("w")), c(F.col("e")))).alias("cx"), "s", "n")
-    cells = cells.select("region_id", "cx", F.explode(F.sequence(c(F.col("s")), c(F.col("n")))).alias("cy"))
-    pts = cells.select(F.struct("region_id", "cx", "cy").alias("id"), ((F.col("cy") + 0.5) * res).alias("lat"), ((F.col("cx") + 0.5) * res).alias("lon"))
-    hit = points_in_regions(pts, regions).where("id.region_id = region_id")
-    return hit.select("region_id", "id.cx", "id.cy")
+    """R1. Cells whose centre lies in the region; from runs, see there."""
+    return runs.to_cells(runs.from_edges(edges_of(regions), res))
 
 
 def union(*covers: DataFrame) -> DataFrame:
@@ -92,9 +152,7 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def buffer(cells: DataFrame, meters: float, res: float, lat: float) -> DataFrame:
     """R3. Cells whose centre is within `meters` of a cell's centre, on the plane at `lat`."""
-    disc = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _disc(meters, res, lat)]
-    out = cells.select("cx", "cy", F.explode(F.array(*disc)).alias("o"))
-    return out.select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct()
+    return runs.to_cells(runs.buffer(runs.from_cells(cells), meters, res, lat))
 
 
 def _disc(meters: float, res: float, lat: float) -> list[tuple[int, int]]:
@@ -104,48 +162,24 @@ def _disc(meters: float, res: float, lat: float) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-nx, nx + 1) for j in range(-ny, ny + 1) if (i * hx) ** 2 + (j * hy) ** 2 <= meters**2]
 
 
-def _cell_id(cx: Column, cy: Column) -> Column:
-    return F.shiftleft(cx.cast("long") + 1_000_000, 32) + cy.cast("long") + 1_000_000
-
-
 def cell_components(cells: DataFrame) -> DataFrame:
     """cx, cy, part: cells that touch by a side are one part."""
-    c = cells.select("cx", "cy", _cell_id(F.col("cx"), F.col("cy")).alias("a"))
-    nxt = c.select("a", F.explode(F.array(_cell_id(F.col("cx") + 1, F.col("cy")), _cell_id(F.col("cx"), F.col("cy") + 1), F.col("a"))).alias("b"))
-    e = nxt.join(c.select(F.col("a").alias("b")), "b", "left_semi")
-    return c.join(components(e).withColumnsRenamed({"id": "a", "root": "part"}), "a").select("cx", "cy", "part")
+    return runs.to_cells(runs.parts(runs.from_cells(cells))).select("cx", "cy", "part")
 
 
 def holes(cells: DataFrame) -> DataFrame:
-    """Cells of the complement, in the frame around the cells, in parts that don't touch the frame: cx, cy, part."""
-    f = cells.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
-    frame = f.select(F.explode(F.sequence(F.col("x0") - 1, F.col("x1") + 1)).alias("cx"), "x0", "x1", "y0", "y1")
-    frame = frame.select("cx", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("cy"), ((F.col("cx") < F.col("x0")) | (F.col("cx") > F.col("x1"))).alias("_x"), "y0", "y1")
-    frame = frame.select("cx", "cy", (F.col("_x") | (F.col("cy") < F.col("y0")) | (F.col("cy") > F.col("y1"))).alias("edge"))
-    free = written(difference(frame, cells), "complement")
-    parts = cell_components(free).join(free, ["cx", "cy"])
-    outer = parts.where("edge").select("part").distinct()
-    return parts.join(outer, "part", "left_anti").select("cx", "cy", "part")
+    """Cells of the complement that are enclosed: cx, cy, part."""
+    return runs.to_cells(runs.holes(runs.from_cells(cells))).select("cx", "cy", "part")
 
 
 def fill_holes(cells: DataFrame, max_cells: int | None = None) -> DataFrame:
     """R4. With enclosed holes filled; only those of under max_cells, if given."""
-    h = holes(cells)
-    if max_cells is not None:
-        small = h.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") < max_cells)
-        h = h.join(small, "part", "left_semi")
-    return union(cells, h)
+    return runs.to_cells(runs.fill_holes(runs.from_cells(cells), max_cells))
 
 
 def filter_parts(cells: DataFrame, min_cells: int = 0, seeds: DataFrame | None = None, west_of: float | None = None, res: float = 0.01) -> DataFrame:
     """R5. Keeps parts of at least min_cells, with a seed cell (cx, cy), and with a centroid not west of a longitude."""
-    p = written(cell_components(cells), "parts")
-    g = p.groupBy("part").agg(F.count("*").alias("n"), (F.avg(F.col("cx") + 0.5) * res).alias("lon")).where(F.col("n") >= min_cells)
-    if west_of is not None:
-        g = g.where(F.col("lon") >= west_of)
-    if seeds is not None:
-        g = g.join(p.join(seeds.select("cx", "cy"), ["cx", "cy"], "left_semi").select("part").distinct(), "part", "left_semi")
-    return p.join(g.select("part"), "part", "left_semi").select("cx", "cy")
+    return runs.to_cells(runs.filter_parts(runs.from_cells(cells), min_cells, seeds, west_of, res))
 
 
 def shared_border(places: DataFrame, res: float | None = None, meters: float = 150.0, lat: float = 37.7) -> DataFrame:
@@ -206,8 +240,8 @@ def bridges(samples: DataFrame, area: DataFrame, res: float, step_m: float, max_
     within max_miles, widened by half_miles to either side."""
     c = samples.withColumns({"cx": F.floor(F.col("lon") / res).cast("long"), "cy": F.floor(F.col("lat") / res).cast("long")})
     c = c.join(area.select("cx", "cy", F.lit(True).alias("_in")).distinct(), ["cx", "cy"], "left").withColumn("covered", F.coalesce("_in", F.lit(False)))
-    runs = gap_runs(c.select("line", "pos", "covered")).where(F.col("closed") & (F.col("n") * step_m <= max_miles * 1609.344))
-    path = c.join(runs, "line").where(F.col("pos").between(F.col("first_pos"), F.col("last_pos"))).select("cx", "cy").distinct()
+    gaps = gap_runs(c.select("line", "pos", "covered")).where(F.col("closed") & (F.col("n") * step_m <= max_miles * 1609.344))
+    path = c.join(gaps, "line").where(F.col("pos").between(F.col("first_pos"), F.col("last_pos"))).select("cx", "cy").distinct()
     return buffer(path, half_miles * 1609.344, res, lat)
 
 

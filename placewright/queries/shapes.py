@@ -10,6 +10,8 @@ from placewright.functions import names as N
 from placewright.operators import lines as L
 from placewright.operators import regions as R
 from placewright.operators import resolve as E
+from placewright.operators import runs
+from placewright.plans.tables import written
 from placewright.sources import fixtures as X
 from placewright.sources.fixtures import SQL_EDGES, SQL_STATIONS, SQL_VERTICES, sql_hav, sql_lat, sql_lon
 
@@ -69,6 +71,11 @@ def point_in_region(spark: SparkSession, sf: str) -> DataFrame:
     return R.points_in_regions(_points(spark, sf), X.regions(spark, sf))
 
 
+def point_in_region_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 by the quadtree of the regions: full cells by equality, sides only in partial leaves."""
+    return R.points_in_regions(_points(spark, sf), X.regions(spark, sf), tree=True)
+
+
 def region_clip_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Parks in the first ten regions, other places in all."""
     r = X.regions(spark, sf)
@@ -97,7 +104,7 @@ def cover_algebra(spark: SparkSession, sf: str) -> DataFrame:
 def fill_holes(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of stations, widened; these with holes filled, with small holes filled, with small parts dropped: counts."""
     cells = _points(spark, sf).select(F.floor(c("lon") / 0.02).cast("long").alias("cx"), F.floor(c("lat") / 0.02).cast("long").alias("cy")).where("(cx + cy) % 3 <> 0").distinct()
-    wide = R.buffer(cells.where("(cx * 7 + cy) % 11 = 0"), 4000.0, 0.02, 37.7)
+    wide = written(R.buffer(cells.where("(cx * 7 + cy) % 11 = 0"), 4000.0, 0.02, 37.7), "wide")
     parts = [("cells", cells), ("wide", wide), ("filled", R.fill_holes(wide)), ("small_filled", R.fill_holes(wide, 2)), ("parts", R.filter_parts(wide, 15, res=0.02))]
     out = None
     for n, df in parts:
@@ -106,6 +113,21 @@ def fill_holes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def enclosed_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """R1, R2, R4, R5 on runs: what regions with a hole enclose, the small holes filled alone, and stations' cells in the holes."""
+    r = X.regions(spark, sf)
+    cells = written(runs.union(runs.from_edges(R.edges_of(r.where("region_id % 3 = 0")), 0.02)), "runs")
+    own = runs.from_cells(_points(spark, sf).select(F.floor(c("lon") / 0.02).cast("long").alias("cx"), F.floor(c("lat") / 0.02).cast("long").alias("cy")))
+    h = written(runs.holes(cells), "holes")
+    each = {"cells": cells, "holes": h, "filled": runs.fill_holes(cells), "small_filled": runs.fill_holes(cells, 10), "stations": runs.intersection(own, h), "free": runs.difference(h, own), "parts": runs.filter_parts(cells, 60, res=0.02)}
+    out = None
+    for n, df in each.items():
+        w = c("x1") - c("x0") + 1
+        g = df.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.coalesce(F.sum((c("x0") + c("x1")) * w / 2).cast("long"), F.lit(0).cast("long")).alias("sx"), F.coalesce(F.sum(c("cy") * w), F.lit(0)).alias("sy")).withColumn("what", F.lit(n))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 def gap_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of suppliers below zero balance on each line."""
     v = X.read(spark, sf, "supplier").select((c("s_suppkey") % 3).alias("line"), c("s_suppkey").alias("pos"), (c("s_acctbal") > 2000).alias("covered"))
@@ -219,7 +241,7 @@ _REACH = f"""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey % 5 AS g, {s
  walk(id, root) AS (SELECT id, id FROM w UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.id) SELECT chain, count(*) AS ways FROM (SELECT id, min(root) AS chain FROM walk GROUP BY id) GROUP BY chain"""
 
 QUERIES = {f.__name__: f for f in (
-    line_lengths, snap_to_line, offset_lines, clipped_lines, chain_groups, covered_chains, point_in_region, region_clip_counts, region_boxes, cover_algebra, fill_holes, gap_runs, county_overlap,
+    line_lengths, snap_to_line, offset_lines, clipped_lines, chain_groups, covered_chains, point_in_region, point_in_region_tree, region_clip_counts, region_boxes, cover_algebra, fill_holes, enclosed_holes, gap_runs, county_overlap,
     pruned_places, adaptive_tiles, boxes_on_region, resolve_pois_kept, resolve_edges, merge_rule_pairs, merge_eval, override_matches, parent_roots,
 )}
 
@@ -236,6 +258,19 @@ ORACLE_SQL = {
  size AS (SELECT k, ax, ay, count(*) AS n FROM reach GROUP BY ALL), w AS (SELECT count(*) AS n FROM wide)
  SELECT count(*) AS n, 'cells' AS what FROM cells UNION ALL SELECT n, 'wide' FROM w UNION ALL SELECT n + (SELECT count(*) FROM hole), 'filled' FROM w
  UNION ALL SELECT n + (SELECT count(*) FROM size WHERE k = 'hole' AND n < 2), 'small_filled' FROM w UNION ALL SELECT count(*), 'parts' FROM size WHERE k = 'wide' AND n >= 15""",
+    "enclosed_holes": f"""WITH RECURSIVE {SQL_STATIONS}, {SQL_EDGES}, {_COVER}, wide AS (SELECT DISTINCT cx, cy FROM cov WHERE region_id % 3 = 0),
+ own AS (SELECT DISTINCT floor(lon / 0.02e0)::BIGINT AS cx, floor(lat / 0.02e0)::BIGINT AS cy FROM stations),
+ beside AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(i, j)), frame AS (SELECT min(cx) - 1 AS x0, max(cx) + 1 AS x1, min(cy) - 1 AS y0, max(cy) + 1 AS y1 FROM wide),
+ free AS (SELECT cx, cy, cx IN (x0, x1) OR cy IN (y0, y1) AS edge FROM (SELECT *, unnest(range(y0, y1 + 1)) AS cy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS cx FROM frame)) f ANTI JOIN wide USING (cx, cy)),
+ outer_cells AS (SELECT cx, cy FROM free WHERE edge UNION SELECT free.cx, free.cy FROM outer_cells o, beside, free WHERE free.cx = o.cx + i AND free.cy = o.cy + j),
+ hole AS (SELECT cx, cy FROM free ANTI JOIN outer_cells USING (cx, cy)),
+ both_kinds AS (SELECT 'hole' AS k, * FROM hole UNION ALL SELECT 'wide', * FROM wide),
+ reach AS (SELECT k, cx AS ax, cy AS ay, cx, cy FROM both_kinds UNION SELECT r.k, ax, ay, o.cx, o.cy FROM reach r, beside, both_kinds o WHERE o.k = r.k AND o.cx = r.cx + i AND o.cy = r.cy + j),
+ size AS (SELECT k, ax AS cx, ay AS cy, count(*) AS n FROM reach GROUP BY ALL),
+ e AS (SELECT 'cells' AS what, cx, cy FROM wide UNION ALL SELECT 'holes', cx, cy FROM hole UNION ALL SELECT 'filled', cx, cy FROM both_kinds UNION ALL SELECT 'small_filled', cx, cy FROM wide
+  UNION ALL SELECT 'small_filled', cx, cy FROM size WHERE k = 'hole' AND n < 10 UNION ALL SELECT 'stations', cx, cy FROM hole SEMI JOIN own USING (cx, cy) UNION ALL SELECT 'free', cx, cy FROM hole ANTI JOIN own USING (cx, cy)
+  UNION ALL SELECT 'parts', cx, cy FROM size WHERE k = 'wide' AND n >= 60)
+ SELECT w.what, count(cx) AS n, coalesce(sum(cx), 0)::BIGINT AS sx, coalesce(sum(cy), 0)::BIGINT AS sy FROM (SELECT unnest(['cells', 'holes', 'filled', 'small_filled', 'stations', 'free', 'parts']) AS what) w LEFT JOIN e USING (what) GROUP BY w.what""",
     "line_lengths": f"WITH {_SEG} SELECT line, round(sum({_planar('lat', 'lon', 'blat', 'blon')}), 1) AS length_m, count(*) AS vertices FROM seg GROUP BY line HAVING sum({_planar('lat', 'lon', 'blat', 'blon')}) >= 800",
     "snap_to_line": f"WITH {_SNAP}, b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY d) = 1) SELECT station_id, round(CASE WHEN d > 300 THEN lat + y / 110540.0e0 ELSE lat END, 5) AS lat, round(CASE WHEN d > 300 THEN lon + x / kx ELSE lon END, 5) AS lon, round(d, 1) AS d, d > 300 AS moved FROM b WHERE d <= 3000",
     "offset_lines": f"""WITH {SQL_VERTICES}, n AS (SELECT *, row_number() OVER w AS i, lag(lat) OVER w AS alat, lag(lon) OVER w AS alon, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon, count(*) OVER (PARTITION BY line) AS n FROM vertices WINDOW w AS (PARTITION BY line ORDER BY seq)),
@@ -297,3 +332,4 @@ ORACLE_SQL |= {
   FROM d a JOIN d b ON a.category = b.category AND a.pin < b.pin AND abs(a.lat - b.lat) < 0.02)
  SELECT l_pin, r_pin FROM p WHERE k > 0 AND d <= CASE WHEN category = 'hospital' THEN 700 ELSE 300 END AND (d <= 60 OR same OR (category = 'hospital' AND k >= 2) OR (d <= 300 AND small))""",
 }
+ORACLE_SQL["point_in_region_tree"] = ORACLE_SQL["point_in_region"]

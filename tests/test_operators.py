@@ -13,6 +13,7 @@ from placewright.operators import places as P
 from placewright.operators import questions as Q
 from placewright.operators import regions as R
 from placewright.operators import resolve as E
+from placewright.operators import runs as U
 from placewright.plans.graph import components, roots
 from placewright.queries import QUERIES, shapes
 from placewright.sources import fixtures as X
@@ -169,8 +170,59 @@ def test_polygon_borders(spark):
     hole = [(0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6)]
     reg = spark.createDataFrame([(1, [ring, hole])], "region_id long, rings array<array<struct<lon: double, lat: double>>>")
     pts = spark.createDataFrame([(1, 0.2, 0.2), (2, 0.5, 0.5), (3, 0.0, 0.5), (4, 1.0, 1.0), (5, 1.5, 0.5), (6, None, 0.5)], "id long, lat double, lon double")
-    of = lambda b: {r["id"] for r in R.points_in_regions(pts, reg, b).collect()}
-    assert of("covers") == {1, 3, 4} and of("contains") == {1} and 1 in of("evenodd") and not {2, 5, 6} & of("evenodd")
+    for tree in (False, True):
+        of = lambda b: {r["id"] for r in R.points_in_regions(pts, reg, b, tree=tree).collect()}
+        assert of("covers") == {1, 3, 4} and of("contains") == {1} and 1 in of("evenodd") and not {2, 5, 6} & of("evenodd")
+
+
+def test_quadtree_equals_rows_of_sides(spark):
+    """A star of 3,000 sides, a thin strip over many degrees and a small square, with a third of the points in one place."""
+    r = random.Random(8)
+    star = [((1 + 0.5 * (i % 2) * r.random()) * math.cos(i / 3000 * 2 * math.pi) - 100, (1 + 0.5 * (i % 2) * r.random()) * math.sin(i / 3000 * 2 * math.pi) + 40) for i in range(3000)]
+    strip = [(-110.0, 39.0), (-90.0, 41.0), (-90.0, 41.01), (-110.0, 39.01)]
+    square = [(-100.51, 40.49), (-100.5, 40.49), (-100.5, 40.5), (-100.51, 40.5)]
+    reg = spark.createDataFrame([(1, [star]), (2, [strip]), (3, [square])], "region_id long, rings array<array<struct<lon: double, lat: double>>>")
+    at = [(40.495, -100.505)] * 300 + [(38.4 + 3.2 * r.random(), -101.6 + 3.2 * r.random()) for _ in range(500)] + [(39 + (x + 110) * 0.1 + 0.005, x) for x in (-109.5, -105.0, -90.5)]
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id long, lat double, lon double")
+    a, b = (sorted(map(tuple, R.points_in_regions(pts, reg, tree=t).collect())) for t in (True, False))
+    assert a == b and {x[1] for x in a} == {1, 2, 3} and len(a) > 700
+    cells, _ = R.hierarchy(reg)
+    met = cells.where("full").groupBy("region_id").agg(F.count("*").alias("n"), F.countDistinct("level").alias("levels")).collect()
+    assert next(x["levels"] for x in met if x["region_id"] == 1) > 3
+
+
+def test_runs_equal_cells(spark):
+    """Set operations, widening, parts and holes of random covers, two of them far apart."""
+    r = random.Random(3)
+    make = lambda: {(r.randrange(14), r.randrange(11)) for _ in range(95)} | {(200_000 + x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)}
+    df = lambda s: U.from_cells(spark.createDataFrame(sorted(s), "cx long, cy long"))
+    cells = lambda d: {(x["cx"], x["cy"]) for x in U.to_cells(d).collect()}
+    a, b = make(), make() - {(200_000, 0)}
+    assert cells(U.union(df(a), df(b))) == a | b and cells(U.difference(df(a), df(b))) == a - b and cells(U.intersection(df(a), df(b))) == a & b
+    near = lambda c: {(c[0] + i, c[1] + j) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+    hx, hy = 0.02 * 111320 * math.cos(math.radians(37.7)), 0.02 * 110540
+    wide = {(x + i, y + j) for x, y in a for i in range(-4, 5) for j in range(-4, 5) if (i * hx) ** 2 + (j * hy) ** 2 <= 4000**2}
+    assert cells(U.buffer(df(a), 4000, 0.02, 37.7)) == wide
+
+    def grouped(s):
+        left, out = set(s), []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                c = todo.pop()
+                part.add(c)
+                todo += (n := near(c) & left)
+                left -= n
+            out.append(frozenset(part))
+        return set(out)
+
+    got = {}
+    for x in U.to_cells(U.parts(df(a))).collect():
+        got.setdefault(x["part"], set()).add((x["cx"], x["cy"]))
+    assert {frozenset(p) for p in got.values()} == grouped(a)
+    frames = [{(x, y) for x in range(-1, 15) for y in range(-1, 12)}, {(200_000 + x, y) for x in range(-1, 4) for y in range(-1, 4)}]
+    enclosed = {c for f in frames for p in grouped(f - a) for c in p if not any(z in p for z in f if z[0] in (-1, 14, 199_999, 200_003) or z[1] in (-1, 11) or (z[0] > 100 and z[1] == 3))}
+    assert cells(U.holes(df(a))) == enclosed and (200_001, 1) in enclosed
 
 
 def test_covers(spark):
