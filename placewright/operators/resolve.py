@@ -6,7 +6,6 @@ pins: pin, category, name, lat, lon, reviews. Edges: category, child, parent, so
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,38 +78,48 @@ def merge_pairs(pins: DataFrame) -> DataFrame:
 def guarded_groups(pairs: DataFrame, pins: DataFrame, separate: DataFrame) -> DataFrame:
     """E5. (pin, grp): transitive groups of the pairs, never with both ends of a `separate` pair (a, b) in one group.
 
-    Components that hold a whole separate pair are redone pair by pair in the order of pins, each in its own task group;
-    the guard looks at members of the component only, so that is exact. All other components are as they come.
+    Pairs are taken in the order of their pins, and one that would bring a separate pair together is refused. Components that
+    hold no whole separate pair are as they come; the others are merged anew, in rounds: see `merged_in_order`.
     """
     every = pairs.select(F.col("l_pin").alias("a"), F.col("r_pin").alias("b")).unionByName(pins.where(~F.col("sub")).select(F.col("pin").alias("a"), F.col("pin").alias("b")))
     comp = written(components(every).withColumnsRenamed({"id": "pin", "root": "grp"}), "groups")
     of = lambda n: comp.select(F.col("pin").alias(n), F.col("grp").alias(f"g_{n}"))
-    bad = separate.join(of("a"), "a").join(of("b"), "b").where("g_a = g_b").select(F.col("g_a").alias("grp"), "a", "b")
+    bad = written(separate.join(of("a"), "a").join(of("b"), "b").where("g_a = g_b").select(F.col("g_a").alias("grp"), "a", "b"), "separate")
     touched = bad.select("grp").distinct()
     plain = comp.join(touched, "grp", "left_anti").select("pin", "grp")
-    inside = pairs.join(comp.withColumnRenamed("pin", "l_pin"), "l_pin").join(touched, "grp").select("grp", F.col("l_pin").alias("a"), F.col("r_pin").alias("b"), F.lit(0).alias("sep"))
-    rows = inside.unionByName(bad.withColumn("sep", F.lit(1)))
+    redo = comp.join(touched, "grp", "left_semi").select("pin")
+    inside = pairs.select(F.col("l_pin").alias("a"), F.col("r_pin").alias("b")).join(redo.withColumnRenamed("pin", "a"), "a", "left_semi")
+    return plain.unionByName(merged_in_order(inside, redo, bad.select("a", "b")))
 
-    def redo(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                x = up[x]
-            return x
+def merged_in_order(pairs: DataFrame, pins: DataFrame, separate: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(pin, grp) as if the pairs (a, b) were taken one by one in order, each joining its groups unless a pair of `separate` would
+    then be in one; grp is the least pin of a group.
 
-        apart = [(a, b) for a, b, s in zip(pdf["a"], pdf["b"], pdf["sep"]) if s]
-        for a, b in sorted((a, b) for a, b, s in zip(pdf["a"], pdf["b"], pdf["sep"]) if not s):
-            ra, rb = find(a), find(b)
-            if ra != rb and not any({find(x), find(y)} == {ra, rb} for x, y in apart):
-                up[ra] = rb
-        members = sorted({*pdf["a"], *pdf["b"]})
-        least: dict[int, int] = {}
-        for m in members:
-            least.setdefault(find(m), m)
-        return pd.DataFrame({"pin": members, "grp": [least[find(m)] for m in members]})
-
-    return plain.unionByName(rows.groupBy("grp").applyInPandas(redo, "pin long, grp long"))
+    A round decides all pairs that are the least open one of both groups that they join: no earlier pair can change these two
+    before, so the decision is that of the sequence. Pairs inside a group are dropped, refused ones never come back, as groups
+    only grow. Every round is a few joins on keys; their number is that of the longest chain of decisions that wait for one
+    another, at most the pairs of one component.
+    """
+    groups = written(pins.select("pin", F.col("pin").alias("grp")), "groups")
+    live = written(pairs.select("a", "b").where("a <> b").distinct(), "open-pairs")
+    for _ in range(max_rounds):
+        of = lambda n: groups.select(F.col("pin").alias(n), F.col("grp").alias(f"g{n}"))  # noqa: E731, B023
+        ends = lambda df: df.join(of("a"), "a").join(of("b"), "b")  # noqa: E731, B023
+        live = written(ends(live.select("a", "b")).where("ga <> gb"), "open-pairs")
+        pair = F.struct("a", "b")
+        least = live.select(F.col("ga").alias("grp"), pair.alias("p")).unionByName(live.select(F.col("gb").alias("grp"), pair.alias("p"))).groupBy("grp").agg(F.min("p").alias("p"))
+        first = lambda n: least.select(F.col("grp").alias(f"g{n}"), F.col("p").alias(f"p{n}"))  # noqa: E731, B023
+        apart = ends(separate).select(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"), F.lit(True).alias("apart")).distinct()
+        ready = live.join(first("a"), "ga").join(first("b"), "gb").where((F.col("pa") == pair) & (F.col("pb") == pair))
+        ready = ready.select("a", "b", F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).join(apart, ["x", "y"], "left")
+        ready = written(ready, "decided")
+        if ready.isEmpty():
+            return groups
+        joined = ready.where("apart is null").select(F.col("y").alias("grp"), F.col("x").alias("to"))
+        groups = written(groups.join(joined, "grp", "left").select("pin", F.coalesce("to", "grp").alias("grp")), "groups")
+        live = live.join(ready, ["a", "b"], "left_anti")
+    raise RuntimeError("merging has not settled")
 
 
 def score_order(preferred: Column) -> list[Column]:
@@ -310,13 +319,18 @@ def children(edges: DataFrame, pins: DataFrame) -> DataFrame:
 
 def evaluate(auto: DataFrame, target: DataFrame, separate: DataFrame) -> DataFrame:
     """V1. auto, target: pin, grp. How many wanted merges were caught or missed, how many pairs were merged too much,
-    and how many separate pairs (a, b) share a group."""
-    pair = lambda g: g.alias("x").join(g.alias("y"), "grp").where("x.pin < y.pin").select(F.col("x.pin").alias("a"), F.col("y.pin").alias("b"))
-    a, t = pair(auto).withColumn("auto", F.lit(1)), pair(target).withColumn("want", F.lit(1))
-    s = separate.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("apart")).distinct()
-    j = a.join(t, ["a", "b"], "full_outer").join(s, ["a", "b"], "left")
-    on = lambda c: F.col(c).isNotNull()
-    return j.agg(F.count_if(on("auto") & on("want")).alias("caught"), F.count_if(~on("auto") & on("want")).alias("missed"), F.count_if(on("auto") & ~on("want")).alias("over_merged"), F.count_if(on("auto") & on("apart")).alias("violations"))
+    and how many separate pairs (a, b) share a group.
+
+    Pairs are counted, not made: n (n - 1) / 2 of each group and of each meeting of an auto with a target group.
+    """
+    n = F.col("n")
+    pairs = lambda df, name, *by: df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0).cast("long")).alias(name))
+    both = auto.select("pin", F.col("grp").alias("auto")).join(target.select("pin", F.col("grp").alias("want")), "pin")
+    of = lambda c: auto.select(F.col("pin").alias(c), F.col("grp").alias(f"g{c}"))
+    s = separate.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    together = s.join(of("a"), "a").join(of("b"), "b").agg(F.count_if(F.col("ga") == F.col("gb")).alias("violations"))
+    one = pairs(both, "caught", "auto", "want").crossJoin(pairs(target, "wanted", "grp")).crossJoin(pairs(auto, "merged", "grp")).crossJoin(together)  # one row each
+    return one.select("caught", (F.col("wanted") - F.col("caught")).alias("missed"), (F.col("merged") - F.col("caught")).alias("over_merged"), "violations")
 
 
 def pair_diagnostics(pairs: DataFrame, pins: DataFrame) -> DataFrame:

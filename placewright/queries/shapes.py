@@ -198,14 +198,35 @@ def merge_rule_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return E.merge_pairs(E.described(pins(spark, sf)))
 
 
+def _separate(p: DataFrame, every: int = 16) -> DataFrame:
+    return p.where(f"pin % {every} = 1").select(c("pin").alias("a"), (c("pin") - 1).alias("b"))
+
+
+def merge_guarded(spark: SparkSession, sf: str) -> DataFrame:
+    """E5: groups by the rules, with a separate pair in every other anchor's group."""
+    p = written(E.described(pins(spark, sf)), "pins")
+    return E.guarded_groups(written(E.merge_pairs(p), "pairs"), p, _separate(p))
+
+
 def merge_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """V1: groups by the rules against groups by anchor."""
-    p = E.described(pins(spark, sf))
-    pairs = E.merge_pairs(p)
-    none = p.where("1 = 0").select(c("pin").alias("a"), c("pin").alias("b"))
-    auto = E.guarded_groups(pairs, p, none)
-    sep = p.where("pin % 16 = 1").select(c("pin").alias("a"), (c("pin") - 1).alias("b"))
-    return E.evaluate(auto, p.where("not sub").select("pin", F.floor(c("pin") / 8).alias("grp")), sep)
+    """V1: groups by the rules, half of the separate pairs being guarded, against groups by anchor."""
+    p = written(E.described(pins(spark, sf)), "pins")
+    auto = written(E.guarded_groups(written(E.merge_pairs(p), "pairs"), p, _separate(p, 32)), "auto")
+    return E.evaluate(auto, p.where("not sub").select("pin", F.floor(c("pin") / 8).alias("grp")), _separate(p))
+
+
+def pair_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: each pin and the next one of its anchor."""
+    p = pins(spark, sf)
+    d = E.pair_diagnostics(p.where("pin % 8 < 7").select(c("pin").alias("a"), (c("pin") + 1).alias("b")), p)
+    return d.select("a", "b", F.round("d", 3).alias("d"), F.array_join("shared", " ").alias("shared"), "sub")
+
+
+def merged_children(spark: SparkSession, sf: str) -> DataFrame:
+    """Pins chained to the one before them, by the first of the chain, most reviewed ones first."""
+    p = pins(spark, sf)
+    kids = E.children(p.where("pin % 8 > 0").select(c("pin").alias("child"), (c("pin") - 1).alias("parent")), p)
+    return kids.select("rep", F.array_join(F.transform("kids", lambda k: F.concat_ws(":", k["pin"], k["name"])), "|").alias("kids"))
 
 
 def override_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +263,7 @@ _REACH = f"""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey % 5 AS g, {s
 
 QUERIES = {f.__name__: f for f in (
     line_lengths, snap_to_line, offset_lines, clipped_lines, chain_groups, covered_chains, point_in_region, point_in_region_tree, region_clip_counts, region_boxes, cover_algebra, fill_holes, enclosed_holes, gap_runs, county_overlap,
-    pruned_places, adaptive_tiles, boxes_on_region, resolve_pois_kept, resolve_edges, merge_rule_pairs, merge_eval, override_matches, parent_roots,
+    pruned_places, adaptive_tiles, boxes_on_region, resolve_pois_kept, resolve_edges, merge_rule_pairs, merge_guarded, merge_eval, pair_diagnostics, merged_children, override_matches, parent_roots,
 )}
 
 ORACLE_SQL = {
@@ -333,3 +354,25 @@ ORACLE_SQL |= {
  SELECT l_pin, r_pin FROM p WHERE k > 0 AND d <= CASE WHEN category = 'hospital' THEN 700 ELSE 300 END AND (d <= 60 OR same OR (category = 'hospital' AND k >= 2) OR (d <= 300 AND small))""",
 }
 ORACLE_SQL["point_in_region_tree"] = ORACLE_SQL["point_in_region"]
+
+_PAIRS = ORACLE_SQL["merge_rule_pairs"].removeprefix("WITH ")
+_RULES, _CHOSEN = _PAIRS[: _PAIRS.rindex(" SELECT l_pin, r_pin")], _PAIRS[_PAIRS.rindex(" SELECT l_pin, r_pin") :]
+
+
+def _guarded_sql(every: int) -> str:
+    """The pairs one by one, over the list of all pins' groups: state(i, s) and the last one in `groups` (pin, grp)."""
+    bad = "len(list_filter(list_zip(list_select(s, x), list_select(s, y)), lambda z: (z[1] = ga AND z[2] = gb) OR (z[1] = gb AND z[2] = ga)))"
+    join = "list_transform(s, lambda v: CASE WHEN v = greatest(ga, gb) THEN least(ga, gb) ELSE v END)"
+    return f"""WITH RECURSIVE {_RULES}, g AS MATERIALIZED (SELECT l_pin AS a, r_pin AS b, row_number() OVER (ORDER BY l_pin, r_pin) AS ord FROM ({_CHOSEN})),
+ apart AS MATERIALIZED (SELECT list(pin + 1) AS x, list(pin) AS y FROM pins WHERE pin % {every} = 1),
+ state(i, s) AS (SELECT 0::BIGINT, range(0, (SELECT max(pin) + 1 FROM pins)) UNION ALL SELECT i + 1, CASE WHEN ga = gb OR {bad} > 0 THEN s ELSE {join} END
+  FROM (SELECT i, s, s[g.a + 1] AS ga, s[g.b + 1] AS gb FROM state JOIN g ON g.ord = i + 1), apart),
+ groups AS (SELECT d.pin, s[d.pin + 1] AS grp FROM d, (SELECT s FROM state ORDER BY i DESC LIMIT 1))"""
+
+
+ORACLE_SQL["merge_guarded"] = f"{_guarded_sql(16)} SELECT pin, grp FROM groups"
+ORACLE_SQL["merge_eval"] = f"""{_guarded_sql(32)}, pr AS (SELECT a.pin AS a, b.pin AS b, a.grp = b.grp AS auto, a.pin // 8 = b.pin // 8 AS want FROM groups a JOIN groups b ON a.pin < b.pin)
+ SELECT count(*) FILTER (auto AND want) AS caught, count(*) FILTER (NOT auto AND want) AS missed, count(*) FILTER (auto AND NOT want) AS over_merged, count(*) FILTER (auto AND b % 16 = 1 AND a = b - 1) AS violations FROM pr"""
+ORACLE_SQL["pair_diagnostics"] = f"""WITH {_PINS}, x AS (SELECT pin, lat, lon, {_DIST} AS dist, {_SUB} AS sub FROM pins)
+ SELECT a.pin AS a, b.pin AS b, round({sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS d, array_to_string(list_sort(list_intersect(a.dist, b.dist)), ' ') AS shared, a.sub OR b.sub AS sub FROM x a JOIN x b ON b.pin = a.pin + 1 AND a.pin % 8 < 7"""
+ORACLE_SQL["merged_children"] = f"WITH {_PINS} SELECT pin - pin % 8 AS rep, string_agg(pin || ':' || name, '|' ORDER BY reviews DESC, pin) AS kids FROM pins WHERE pin % 8 > 0 GROUP BY pin - pin % 8"

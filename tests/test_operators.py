@@ -306,6 +306,22 @@ def test_separate_pairs_stay_apart(spark):
     assert len(set(free.values())) == 1
 
 
+def test_merging_in_order_equals_the_sequence(spark):
+    """Random graphs, a chain whose decisions wait for one another, and pairs that must stay apart."""
+    r = random.Random(12)
+    n = 40
+    edges = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(45)} | {(100 + i, 101 + i) for i in range(6)})
+    apart = [tuple(r.sample(range(n), 2)) for _ in range(12)] + [(106, 100)]
+    up = {x: x for x in [*range(n), *range(100, 107)]}
+    for a, b in edges:
+        x, y = sorted((up[a], up[b]))
+        if x != y and not any({up[p], up[q]} == {x, y} for p, q in apart):
+            up = {k: x if v == y else v for k, v in up.items()}
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = E.merged_in_order(df(edges), spark.createDataFrame([(x,) for x in up], "pin long"), df(apart))
+    assert dict(map(tuple, got.collect())) == up and len(set(up.values())) < n
+
+
 def test_kept_and_children_are_all_pins(spark):
     pins = shapes.pins(spark, SF)
     kept, edges, funnel = shapes._resolved(spark, SF)
