@@ -20,6 +20,23 @@ def segments(vertices: DataFrame) -> DataFrame:
     return df.withColumns({"blat": F.lead("alat").over(w), "blon": F.lead("alon").over(w)}).where("blat is not null")
 
 
+def resampled(vertices: DataFrame, step_m: float, at_lat: float = geo.PLANE_LAT) -> DataFrame:
+    """R8. line, pos, lat, lon: points every step_m along each line from its first vertex on, pos 0, 1, ... in order.
+
+    vertices: line, seq, lat, lon. The length up to each vertex is a running sum along its line, so a segment gives the
+    multiples of step_m between its ends, however many segments one step spans.
+    """
+    w = Window.partitionBy("line").orderBy("seq")
+    c = F.col
+    s = vertices.select("line", "seq", "lat", "lon", F.lead("lat").over(w).alias("blat"), F.lead("lon").over(w).alias("blon")).where("blat is not null")
+    s = s.withColumn("d", geo.planar_m(c("lat"), c("lon"), c("blat"), c("blon"), at_lat)).where("d > 0").withColumn("upto", F.sum("d").over(w))
+    s = s.withColumn("from", F.coalesce(F.lag("upto").over(w), F.lit(0.0)))
+    first, last = F.ceil(c("from") / step_m).cast("long"), F.ceil(c("upto") / step_m).cast("long") - 1
+    s = s.where(first <= last).withColumn("pos", F.explode(F.sequence(first, last)))
+    t = (c("pos") * F.lit(float(step_m)) - c("from")) / c("d")
+    return s.select("line", "pos", (c("lat") + (c("blat") - c("lat")) * t).alias("lat"), (c("lon") + (c("blon") - c("lon")) * t).alias("lon"))
+
+
 def lengths(vertices: DataFrame) -> DataFrame:
     """A13. line, length in planar metres, vertices."""
     s = segments(vertices)

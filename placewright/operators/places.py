@@ -196,10 +196,11 @@ def peak_list(peaks: DataFrame) -> DataFrame:
     return high.withColumn("label", geo.format_elevation(F.col("ele_m").try_cast("double"))).orderBy(F.desc(F.col("ele_m").try_cast("double")), "name")
 
 
-def starred_first(stations: DataFrame, stars: DataFrame) -> DataFrame:
-    """T1. Starred stations first, then by name (binary order)."""
+def starred_first(stations: DataFrame, stars: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """T1. Starred stations first, then by name as people sort names: by letter before accent and case. `collation` is any that
+    Spark knows; UTF8_BINARY gives the order of bytes. Null names come first, equal ones by id."""
     s = stars.select("station_id", F.lit(True).alias("starred")).distinct()
-    return stations.join(s, "station_id", "left").withColumn("starred", F.coalesce("starred", F.lit(False))).orderBy(F.desc("starred"), "name", "station_id")
+    return stations.join(s, "station_id", "left").withColumn("starred", F.coalesce("starred", F.lit(False))).orderBy(F.desc("starred"), F.collate("name", collation), "station_id")
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -134,6 +134,24 @@ def gap_runs(spark: SparkSession, sf: str) -> DataFrame:
     return R.gap_runs(v)
 
 
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of twenty suppliers each, sampled every 2 km: their number grows with the table."""
+    k = c("s_suppkey")
+    v = X.read(spark, sf, "supplier").select(F.floor(k / 20).alias("line"), k.alias("seq"), X.lat(k, 7127).alias("lat"), X.lon(k, 8243).alias("lon"))
+    return L.resampled(v, 2000.0)
+
+
+def resampled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples along lines."""
+    return _samples(spark, sf).select("line", "pos", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def bridge_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Corridors where lines leave the regions and come back within 12 miles, 1.6 miles wide to either side."""
+    area = written(R.cover(X.regions(spark, sf), 0.02).select("cx", "cy").distinct(), "area")
+    return R.bridges(written(_samples(spark, sf), "samples"), area, 0.02, 2000.0, half_miles=1.6)
+
+
 def county_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Regions against stripes of longitude."""
     cv = R.cover(X.regions(spark, sf), 0.02).withColumnRenamed("region_id", "place_id")
@@ -262,7 +280,7 @@ _REACH = f"""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey % 5 AS g, {s
  walk(id, root) AS (SELECT id, id FROM w UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.id) SELECT chain, count(*) AS ways FROM (SELECT id, min(root) AS chain FROM walk GROUP BY id) GROUP BY chain"""
 
 QUERIES = {f.__name__: f for f in (
-    line_lengths, snap_to_line, offset_lines, clipped_lines, chain_groups, covered_chains, point_in_region, point_in_region_tree, region_clip_counts, region_boxes, cover_algebra, fill_holes, enclosed_holes, gap_runs, county_overlap,
+    line_lengths, snap_to_line, offset_lines, clipped_lines, chain_groups, covered_chains, point_in_region, point_in_region_tree, region_clip_counts, region_boxes, cover_algebra, fill_holes, enclosed_holes, gap_runs, resampled_lines, bridge_cells, county_overlap,
     pruned_places, adaptive_tiles, boxes_on_region, resolve_pois_kept, resolve_edges, merge_rule_pairs, merge_guarded, merge_eval, pair_diagnostics, merged_children, override_matches, parent_roots,
 )}
 
@@ -376,3 +394,16 @@ ORACLE_SQL["merge_eval"] = f"""{_guarded_sql(32)}, pr AS (SELECT a.pin AS a, b.p
 ORACLE_SQL["pair_diagnostics"] = f"""WITH {_PINS}, x AS (SELECT pin, lat, lon, {_DIST} AS dist, {_SUB} AS sub FROM pins)
  SELECT a.pin AS a, b.pin AS b, round({sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS d, array_to_string(list_sort(list_intersect(a.dist, b.dist)), ' ') AS shared, a.sub OR b.sub AS sub FROM x a JOIN x b ON b.pin = a.pin + 1 AND a.pin % 8 < 7"""
 ORACLE_SQL["merged_children"] = f"WITH {_PINS} SELECT pin - pin % 8 AS rep, string_agg(pin || ':' || name, '|' ORDER BY reviews DESC, pin) AS kids FROM pins WHERE pin % 8 > 0 GROUP BY pin - pin % 8"
+
+_SAMPLES = f"""line_vertices AS (SELECT s_suppkey // 20 AS line, s_suppkey AS seq, {sql_lat('s_suppkey', 7127)} AS lat, {sql_lon('s_suppkey', 8243)} AS lon FROM supplier),
+ ls AS (SELECT *, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM line_vertices WINDOW w AS (PARTITION BY line ORDER BY seq)), ld AS (SELECT *, {_planar('lat', 'lon', 'blat', 'blon')} AS d FROM ls WHERE blat IS NOT NULL),
+ lu AS (SELECT *, sum(d) OVER (PARTITION BY line ORDER BY seq) AS upto FROM ld), lf AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY line ORDER BY seq), 0) AS since FROM lu),
+ lk AS (SELECT *, unnest(generate_series(ceil(since / 2000)::BIGINT, ceil(upto / 2000)::BIGINT - 1)) AS pos FROM lf WHERE d > 0),
+ samples AS (SELECT line, pos, lat + (blat - lat) * (pos * 2000.0e0 - since) / d AS lat, lon + (blon - lon) * (pos * 2000.0e0 - since) / d AS lon FROM lk)"""
+ORACLE_SQL["resampled_lines"] = f"WITH {_SAMPLES} SELECT line, pos, round(lat, 6) AS lat, round(lon, 6) AS lon FROM samples"
+ORACLE_SQL["bridge_cells"] = f"""WITH {SQL_EDGES}, {_COVER}, {_SAMPLES}, area AS (SELECT DISTINCT cx, cy FROM cov), sc AS (SELECT line, pos, floor(lon / 0.02e0)::BIGINT AS cx, floor(lat / 0.02e0)::BIGINT AS cy FROM samples),
+ sf AS (SELECT s.*, a.cx IS NOT NULL AS covered FROM sc s LEFT JOIN area a USING (cx, cy)), si AS (SELECT *, pos - row_number() OVER (PARTITION BY line, covered ORDER BY pos) AS run FROM sf),
+ gap AS (SELECT line, run, min(pos) AS a, max(pos) AS b, count(*) AS n FROM si WHERE NOT covered GROUP BY ALL), ends AS (SELECT line, min(pos) AS a, max(pos) AS b FROM sf GROUP BY line),
+ closed AS (SELECT gap.* FROM gap JOIN ends e USING (line) WHERE gap.a > e.a AND gap.b < e.b AND n * 2000 <= 12 * 1609.344e0),
+ path AS (SELECT DISTINCT cx, cy FROM sf JOIN closed k ON sf.line = k.line AND sf.pos BETWEEN k.a AND k.b)
+ SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM path, range(-3, 4) AS v(i), range(-3, 4) AS w(j) WHERE pow(i * 0.02e0 * 111320.0e0 * cos(radians(37.7e0)), 2) + pow(j * 0.02e0 * 110540.0e0, 2) <= pow(1.6e0 * 1609.344e0, 2)"""

@@ -378,3 +378,20 @@ def test_overrides_of_nameless_pins_and_queries(spark):
     asks = spark.createDataFrame([(1, "park", "oak park", None, None), (2, "park", "OAK", None, None), (3, "park", "", None, None), (4, "zoo", "oak", None, None), (5, "park", "oak park", 5.0, 5.0)], "ord long, category string, query string, lat double, lon double")
     got, missing = E.resolve_overrides(pins, asks)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 2)] and sorted(r["ord"] for r in missing.collect()) == [4, 5]
+
+
+def test_names_sort_as_people_sort_them(spark):
+    names = ["Zoo", "apple", "Äpfel", "apple pie", "Apple", "éclair", "Eclair B", None, "zebra"]
+    st = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "station_id long, name string")
+    stars = spark.createDataFrame([(8,), (8,)], "station_id long")
+    order = [r["name"] for r in P.starred_first(st, stars).collect()]
+    assert order == ["zebra", None, "Äpfel", "apple", "Apple", "apple pie", "éclair", "Eclair B", "Zoo"]
+    assert [r["name"] for r in P.starred_first(st, stars, "UTF8_BINARY").collect()][2:5] == ["Apple", "Eclair B", "Zoo"]
+
+
+def test_resampled_lines(spark):
+    """Equal steps over short and long segments; a line of one vertex and repeated vertices give none of their own."""
+    v = [(1, 1, 37.7, -122.0), (1, 2, 37.7005, -122.0), (1, 3, 37.7005, -122.0), (1, 4, 37.703, -122.0), (2, 1, 37.7, -122.0)]
+    got = sorted(map(tuple, L.resampled(spark.createDataFrame(v, "line long, seq long, lat double, lon double"), 100.0).collect()))
+    assert [(g[0], g[1]) for g in got] == [(1, k) for k in range(4)]
+    assert all(abs((lat - 37.7) * 110540 - 100 * k) < 1e-6 and lon == -122.0 for _, k, lat, lon in got)
