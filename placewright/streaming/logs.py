@@ -73,17 +73,29 @@ class LogState:
 
 
 class _Ordinals(StatefulProcessor):
-    """Counts the asks of a key (game, group) and numbers new ones in order of time."""
+    """Holds the asks of a key (game, group) until the watermark has passed them, then numbers them in order of time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.asks = handle.getValueState("asks", "n long")
+        self.handle = handle
+        self.numbered = handle.getValueState("numbered", "n long")
+        self.open = handle.getListState("open", "micros long, question_id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values(["created_at", "question_id"])
-        n = self.asks.get()[0] if self.asks.exists() else 0
-        self.asks.update((n + len(got),))
-        got = got.assign(ordinal=range(n + 1, n + len(got) + 1))
-        yield got[["game_id", "group_key", "question_id", "ordinal"]]
+        for got in rows:
+            for micros, question in zip(got["micros"].tolist(), got["question_id"].tolist()):
+                self.open.appendValue((micros, question))
+                self.handle.registerTimer(micros // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        asks = sorted(tuple(x) for x in self.open.get()) if self.open.exists() else []
+        due, later = [x for x in asks if x[0] <= passed], [x for x in asks if x[0] > passed]
+        if due:
+            n = self.numbered.get()[0] if self.numbered.exists() else 0
+            self.numbered.update((n + len(due),))
+            self.open.put(later) if later else self.open.clear()
+            yield pd.DataFrame({"game_id": key[0], "group_key": key[1], "question_id": [q for _, q in due], "ordinal": range(n + 1, n + len(due) + 1)})
 
     def close(self) -> None:
         pass
@@ -92,16 +104,20 @@ class _Ordinals(StatefulProcessor):
 ORDINALS = "game_id long, group_key string, question_id long, ordinal long"
 
 
-def running_ordinals(asks: DataFrame) -> DataFrame:
-    """X2. asks (stream): game_id, group_key, question_id, created_at -> the ask's ordinal in its group as it arrives.
+def running_ordinals(asks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """X2. asks (stream): game_id, group_key, question_id, created_at -> the ask's ordinal in its group, in order of time and id.
 
-    Equals the window's ordinals if asks arrive in order of time from one trigger to the next.
+    An ask is numbered once the watermark has passed it, so asks that come up to `delay` late, in whatever order, get the
+    ordinals that the window gives. Later ones are dropped by the watermark. The state of a group is one count and the asks
+    that are still open; it needs the RocksDB state store.
     """
-    return asks.groupBy("game_id", "group_key").transformWithStateInPandas(_Ordinals(), ORDINALS, "Append", "None")
+    timed = asks.withWatermark("created_at", delay).withColumn("micros", F.unix_micros("created_at"))
+    return timed.groupBy("game_id", "group_key").transformWithStateInPandas(_Ordinals(), ORDINALS, "Append", "EventTime")
 
 
 def running_ordinals_compat(asks: DataFrame) -> DataFrame:
-    """X2 by applyInPandasWithState, where the state store of transformWithState isn't available."""
+    """X2 by applyInPandasWithState, where the state store of transformWithState isn't available: numbers asks as they arrive,
+    which equals the window's ordinals if they arrive in order of time from one trigger to the next."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows)).sort_values(["created_at", "question_id"])

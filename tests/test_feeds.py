@@ -100,3 +100,25 @@ def test_running_ordinals_equal_the_window(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["question_id"]: r["ordinal"] for r in spark.table("ordinals").collect()}
     assert got == {**{i: i + 1 for i in range(6)}, 9: 1}
+
+
+def test_ordinals_of_late_asks_equal_the_window(spark, tmp_path):
+    """Asks that come out of order, over several batches, get their place in time; one key far ahead moves the watermark."""
+    batches = [[(1, 0, 0), (1, 1, 20), (1, 2, 40)], [(1, 3, 30), (2, 4, 35), (1, 5, 20)], [(1, 6, 70), (2, 7, 5)], [(9, 8, 9000)]]
+    rows = [r for b in batches for r in b]
+    frame = lambda x: spark.createDataFrame(x, "game_id long, question_id long, t long").select("game_id", F.lit("radar:5").alias("group_key"), "question_id", F.timestamp_seconds(F.col("t") + 1000).alias("created_at"))
+    for b in batches:
+        frame(b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = spark.readStream.schema(frame(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = logs.running_ordinals(s, "60 seconds").writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        got = {r["question_id"]: r["ordinal"] for r in spark.table("late").collect()}
+    finally:
+        spark.conf.unset(key)
+    want = {}
+    for g in (1, 2):
+        want |= {q: i + 1 for i, (_, q) in enumerate(sorted((t, q) for h, q, t in rows if h == g))}
+    assert got == want
