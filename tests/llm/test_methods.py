@@ -58,7 +58,7 @@ def test_katz_is_exact_and_normalised(spark, docs, texts):
         for a, b in zip(["\0S", *tok[i]], tok[i]):
             pairs[a, b] += 1
             ctx[a] += 1
-    numbers = lambda x: katz.good_turing([0] + [sum(y == r for y in x) for r in range(1, katz.K + 2)])
+    numbers = lambda x: katz.good_turing([0] + [sum(y == r for y in x) for r in range(1, katz.SHAPE + 1)])
     du, dp = numbers([x for w, x in c.items() if w != "\0E"]), numbers(pairs.values())
     p = {w: (du[x] if x <= katz.K and w != "\0E" else 1) * x / n for w, x in c.items()}
     p["\0T"] = 1 - sum(p.values())
@@ -84,6 +84,32 @@ def test_katz_is_exact_and_normalised(spark, docs, texts):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and abs(r["score"] - score) < 1e-6 * abs(score)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_discounts_are_good_turing_ones(spark, sf):
+    """On real tables the first counts have Turing's own ratios, ragged ones those of the line; none is taken from all counts."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where(remainder("doc_id", 7) != 2)
+    uni = katz.fit_unigrams(docs.select("text"))
+    words = Counter(r["n"] for r in katz.count_words(docs.select("text")).collect())
+    n = np.array([0] + [words[r] for r in range(1, katz.SHAPE + 1)])
+    a = (katz.K + 1) * n[katz.K + 1] / n[1]
+    turing = [(2 * n[2] / n[1] - a) / (1 - a), (3 * n[3] / n[2] / 2 - a) / (1 - a)]
+    slope = np.polyfit(np.log(np.arange(1, len(n))), np.log(n[1:]), 1)[0]
+    b = (katz.K + 1) ** (1 + slope)
+    line = [(((r + 1) / r) ** (1 + slope) - b) / (1 - b) for r in range(1, katz.K + 1)]
+    d = uni.discounts
+    assert abs(d[1] - turing[0]) < 1e-12 and abs(d[2] - turing[1]) < 1e-12
+    assert abs(d[4] - line[3]) < 1e-9 and abs(d[5] - line[4]) < 1e-9  # n[5] is larger than a smooth number
+    assert (d[1:] > 0).all() and (d[1:] < 1).all()
+
+
+def test_discounts_of_small_tables():
+    """Few types, or types that don't thin out: absolute discounts from the first ragged count on."""
+    assert np.allclose(katz.good_turing([0, 9, 9, 9])[1:], 1 - 9 / 27 / np.arange(1, 6))
+    for n in ([0], [0, 0, 3], [0, 5], [0, 1, 1, 1, 1, 1, 1], [0, 9, 9, 9]):
+        d = katz.good_turing(n)
+        assert len(d) == katz.K + 1 and (d[1:] > 0).all() and (d[1:] < 1).all()
+
+
 def test_katz_with_a_tail_still_sums_to_one(spark):
     """With a small vocabulary the words outside share the tail's mass: P over all next words is 1 in every context.
 
