@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -106,6 +107,15 @@ def rules_of(path: str) -> tuple[MergeRules, dict[str, int], dict[str, int]]:
     return _loaded[path]
 
 
+#: Lower case of letters that Unicode took in after version 15.1, the one of Python's tables; fixed values.
+NEWER_CASE = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+_NEWER = re.compile(f"[{''.join(map(chr, NEWER_CASE))}]")
+
+
 def normalise(text: str) -> str:
     """NFC, then lower case; white space only separates pieces, so it needs no rewriting.
 
@@ -114,6 +124,8 @@ def normalise(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
+    if _NEWER.search(text):
+        text = text.translate(NEWER_CASE)
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 

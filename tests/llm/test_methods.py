@@ -221,6 +221,18 @@ def test_token_counts_equal_the_library(texts):
         assert token_counts.count_text(t, rules, chunks, some) == len(lib.encode(t, add_special_tokens=False).ids), t[:80]
 
 
+def test_every_character_counts_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, (rules, chunks, some) = Tokenizer.from_file(path), token_counts.rules_of(path)
+    code = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for s in range(0, len(code), 50_000):
+        part = [chr(c) for c in code[s : s + 50_000]]
+        for c, e in zip(part, lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert token_counts.count_text(c, rules, chunks, some) == len(e.ids), hex(ord(c))
+
+
 def test_toxicity_held_out(spark):
     """Texts with planted words, labels with noise: held-out texts are told apart, clean ones left alone."""
     r = random.Random(5)
