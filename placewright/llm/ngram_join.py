@@ -66,10 +66,10 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = WORDS) -> tuple[np.n
     return mix(out), start
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, starts: np.ndarray, coords: int = COORDS) -> np.ndarray:
     """Minimum hashes of sets that lie one after another, all of them non-empty."""
-    out = np.empty((len(starts), COORDS), np.uint32)
-    for j in range(COORDS):
+    out = np.empty((len(starts), coords), np.uint32)
+    for j in range(coords):
         out[:, j] = np.minimum.reduceat(((hashes * _A[j] + _B[j]) >> _U(32)).astype(np.uint32), starts)
     return out
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, mix, pack, plain, plain_bytes, remainder, row_key, steps, word_hashes, written
-from .ngram_join import least_labels, shingles
+from .ngram_join import least_labels, shingles, signatures
 
 STEMS = (4, 5, 6, 7)
 LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb hate ugly imbecile retard".split()
@@ -38,8 +38,9 @@ THRESHOLD = 0.3
 ANCHOR = 50.0
 #: Correlation of residuals from which voters share one vote.
 TOGETHER = 0.5
-#: Words of a shingle, the least of whose hashes tells copies and most near copies.
-SHINGLE = 3
+#: Words of a shingle. Copies have AGREE of COPY_COORDS minimum hashes of shingles in common, 0.7 of them, and are met where
+#: one of the bands of BAND such hashes is equal.
+SHINGLE, COPY_COORDS, BAND, AGREE = 3, 32, 4, 22
 #: Hash places of the filter by which clean texts' stems are thinned; a fixed size, whatever the corpus.
 FILTER_BITS = 24
 _PRIOR = 0.1
@@ -316,9 +317,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """key, text, flags, toxic of the labelled documents that may be learned from; written.
 
-    Several labels of one id: its greatest counts. Of texts with the same least hash of three-word shingles, exact and
-    most near copies, one document is taken, a toxic one if there is: the words of a text that was copied a thousand times
-    are no evidence a thousand times over. Copies are found among ids and hashes; only then do texts meet their labels.
+    Several labels of one id: its greatest counts. Of copies and near copies one document is taken, a toxic one if there
+    is: the words of a text that was copied a thousand times are no evidence a thousand times over. A document is left out
+    only for the first one of a band that it shares (see BAND), toxic ones first, and only if most of their minimum hashes
+    agree; so a shared line alone leaves none out. Copies are found among ids and hashes; only then do texts meet their
+    labels. Texts without a word are copies of one another.
     """
     given = labels.where("doc_id is not null and toxic is not null").where(learn)
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -327,17 +330,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             h, start = shingles(*word_hashes(*plain_bytes(part.column("text"))), SHINGLE)
-            least, some = np.zeros(part.num_rows, np.uint64), np.flatnonzero(np.diff(start))
+            least, some = np.zeros((part.num_rows, COPY_COORDS), np.uint32), np.flatnonzero(np.diff(start))
             if len(some):
-                least[some] = np.minimum.reduceat(h, start[some])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(least.view(np.int64))], names=["doc_id", "key"])
+                least[some] = signatures(h, start[some], COPY_COORDS)
+            flat = pa.array(least.view(np.int32).ravel())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, least.size + 1, COPY_COORDS), pa.int32()), flat)], names=["doc_id", "least"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    keyed = own.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long").dropDuplicates()
     rank = F.col("toxic").cast("long") * (1 << 62) - F.shiftright(F.abs(F.xxhash64("doc_id")), 2)
-    ranked = written(keyed.join(given, "doc_id").withColumn("rank", rank), "copies")
-    best = ranked.groupBy("key").agg(F.max("rank").alias("rank"))
-    chosen = ranked.join(best, ["key", "rank"]).select("doc_id", "key", "toxic")
+    signed = own.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, least array<int>").join(given, "doc_id").withColumn("rank", rank)
+    # Equal signatures are one row before bands are dealt, so exact copies don't make one of them hot.
+    alike = signed.groupBy("least").agg(F.max(F.struct("rank", "doc_id", "toxic")).alias("first")).select("least", "first.*")
+    bands = [F.xxhash64(F.lit(i), F.slice("least", i + 1, BAND)) for i in range(0, COPY_COORDS, BAND)]
+    banded = written(alike.withColumn("band", F.explode(F.array(*bands))), "copies")
+    head = F.max(F.struct("rank", "least")).alias("head")
+    heads = written(banded.groupBy("band").agg(head, F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    agree = F.size(F.filter(F.zip_with("least", "head.least", lambda a, b: a == b), lambda x: x))
+    copies = banded.join(heads, "band").where(F.col("head.rank") > F.col("rank")).where(agree >= AGREE).select("doc_id")
+    first = banded.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = first.join(copies.distinct(), "doc_id", "left_anti").withColumn("key", F.xxhash64("doc_id"))
     return written(own.hint("merge").join(chosen, "doc_id").select("key", "text", "flags", "toxic"), "labelled")
 
 

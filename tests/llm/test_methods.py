@@ -253,6 +253,31 @@ def test_toxicity_held_out(spark):
     assert "zzve" in "".join(int(k & np.uint64((1 << 56) - 1)).to_bytes(7, "little").decode("latin1") for k in model.keys)
 
 
+def test_only_copies_are_left_out_of_training(spark):
+    """Against brute force: texts with a line in common all stay, of copies and near copies one stays, a toxic one first."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    line = " ".join(word() for _ in range(12))
+    texts = [" ".join(word() for _ in range(60)) + "\n" + line for _ in range(60)]
+    groups = {i: [t] for i, t in enumerate(texts)}
+    for i in range(10):
+        groups[i] += [texts[i]] * 3 + [texts[i] + " " + word() for _ in range(3)]
+    rows = [(g, t) for g, m in groups.items() for t in m]
+    r.shuffle(rows)
+    toxic = [int(g < 5 and n % 2 == 0 or g % 7 == 6) for n, (g, _) in enumerate(rows)]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1, y) for n, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, labels, F.lit(True)).toPandas()
+    plain_of = lambda t: " ".join(t.split())
+    sets = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    left = [(sets(t), y) for t, y in zip(got["text"], got["toxic"])]
+    for g, t in enumerate(texts):
+        mine = [y for s, y in left if len(s & sets(plain_of(t))) / len(s | sets(plain_of(t))) > 0.7]
+        want = max(y for (h, _), y in zip(rows, toxic) if h == g)
+        assert len(mine) == 1 and mine[0] == want, g
+    assert len(got) == 60
+
+
 def test_label_model_weighs_company():
     rng = np.random.default_rng(2)
     y = (rng.random(3000) < 0.2).astype(float)
