@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -174,9 +175,11 @@ def test_round_trip_and_decode(spark, docs, texts):
     assert back == texts
 
 
-def test_code_lengths_equal_brute_force(texts):
+@pytest.mark.parametrize("dense", [langid.DENSE_BYTES, 10_000, 0])
+def test_code_lengths_equal_brute_force(texts, dense):
     sample = {"a": [t.encode()[:500] for t in list(texts.values())[:8]], "b": [t.encode()[:500] for t in list(texts.values())[8:16]]}
-    trees = langid.Trees(sample)
+    trees = langid.Trees(sample, dense_bytes=dense)
+    assert [isinstance(x, tuple) for x in trees.tables] == {0: [True] * 5, 10_000: [False, False, True, True, True]}.get(dense, [False] * 5)
     probe = list(texts.values())[20].encode()[:300]
 
     def brute(lang):
@@ -204,6 +207,25 @@ def test_code_lengths_equal_brute_force(texts):
     assert np.allclose(got, [brute("a"), brute("b")], rtol=1e-5)
 
 
+def test_tables_grow_with_the_languages_and_not_with_their_square(texts):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = [t[:2000] for t in list(texts.values())[:10]]
+    languages = {f"l{i:03}": [t.translate(str.maketrans(letters, "".join(rng.sample(letters, 26)))).encode() for t in some] for i in range(60)}
+    few, many = (langid.Trees(dict(list(languages.items())[:n]), dense_bytes=1_000_000) for n in (15, 60))
+    assert len(pickle.dumps(many)) < 5 * len(pickle.dumps(few))
+    data = np.frombuffer(b"".join(x[0] for x in languages.values()) * 5, np.uint8)
+    bounds = np.cumsum([0, *(len(x[0]) for x in languages.values())] + [0, *(len(x[0]) for x in languages.values())] * 4)
+    got = many.code_lengths(data, bounds)  # in several steps, with empty texts between
+    assert (np.argmin(got[:60], axis=1) == np.arange(60)).all() and (got[60] == 0).all() and np.allclose(got[:60], got[61:121])
+
+
+def test_a_language_of_short_texts_fills_its_sample(spark):
+    rows = spark.range(20_000).selectExpr("'x' AS lang", "concat('a short text ', id) AS text")
+    got = langid.labelled_sample(rows, bytes_each=60_000)["x"]
+    assert 59_000 < sum(map(len, got)) < 61_000
+
+
 def test_language_held_out_accuracy(spark, docs):
     got = registry.QUERIES["op3_language_id"](spark, SF).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.9 and got["score"].between(0, 1).all()
