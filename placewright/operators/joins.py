@@ -1,7 +1,7 @@
 """Distance joins without a cross product: equal cells first, the exact distance after.
 
 Cells are at least as wide as the radius at their latitude, and columns go around the globe, so all partners of a point lie
-in the 3 x 3 cells around its own. The left side is copied to these, the right side isn't, so that every pair meets once.
+in the 3 x 3 cells around its own. One side is copied to these, the other isn't, so that every pair meets once.
 Cells of a dense town can be hot: adaptive execution splits such join partitions, as nothing above the join needs a cell's rows together.
 """
 
@@ -23,19 +23,19 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select([F.col(c).alias(p + c) for c in df.columns])
 
 
-def within(left: DataFrame, right: DataFrame, meters: float, metric: Metric = geo.haversine_m, strict: bool = False, by: list[str] | None = None) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, meters: float, metric: Metric = geo.haversine_m, strict: bool = False, by: list[str] | None = None, copy: str = "left") -> DataFrame:
     """All pairs at most (strict: under) `meters` apart, with equal `by` columns: l_*, r_* and `d`.
 
-    Both sides have lat and lon. Points with a null coordinate have no partner.
+    Both sides have lat and lon. Points with a null coordinate have no partner. `copy`: the side that is copied to the cells
+    around a point, best the smaller one; the pairs are the same.
     """
     by = by or []
     a, b = _prefixed(left, "l_"), _prefixed(right, "r_")
-    rx, ry = geo.cell(F.col("r_lat"), F.col("r_lon"), meters)
-    a = a.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), meters))).withColumns({"_x": F.col("_c.x"), "_y": F.col("_c.y")}).drop("_c")
-    b = b.withColumns({"_x": rx, "_y": ry})
+    cells_a, cells_b = (geo.with_near_cells, geo.with_cell) if copy == "left" else (geo.with_cell, geo.with_near_cells)
+    a, b = cells_a(a, "l_lat", "l_lon", meters, "_cell"), cells_b(b, "r_lat", "r_lon", meters, "_cell")
     for k in by:
         a, b = a.withColumn(f"_by_{k}", F.col(f"l_{k}")), b.withColumn(f"_by_{k}", F.col(f"r_{k}"))
-    keys = ["_x", "_y", *(f"_by_{k}" for k in by)]
+    keys = ["_cell", *(f"_by_{k}" for k in by)]
     out = a.join(b, keys).withColumn("d", metric(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     return out.where(F.col("d") < meters if strict else F.col("d") <= meters).drop(*keys)
 

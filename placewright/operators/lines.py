@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import geo
 from placewright.plans.graph import components
+from placewright.plans.tables import written
 
 from .joins import within
 
@@ -110,20 +111,40 @@ def chains(ends: DataFrame, meters: float = 25.0) -> DataFrame:
     return components(near).withColumnsRenamed({"id": "way_id", "root": "chain"})
 
 
-def covered_chains(vertices: DataFrame, meters: float = 140.0, samples: int = 24, share: float = 0.6) -> DataFrame:
-    """J18, L5. vertices: line, grp, seq, lat, lon. Lines of a group whose samples (at most `samples` vertices, evenly
-    spread) lie within `meters` of a vertex of a longer line of the group, to at least `share`. All longer lines count."""
+def covered_chains(vertices: DataFrame, meters: float = 140.0, samples: int = 24, share: float = 0.6, max_rounds: int = 60) -> DataFrame:
+    """J18, L5. vertices: line, grp, seq, lat, lon. Lines that go when those of a group are taken longest first: at least `share` of
+    their samples (at most `samples` vertices, evenly spread) lie within `meters` of a vertex of a longer line that stays. line, hits, samples.
+
+    A round decides each line whose samples beside lines that stay are enough already, or would be too few with all the open
+    ones; so the longest open line of a group always is decided, and rounds are as many as lines wait for one another.
+    """
     n = F.count("*").over(Window.partitionBy("line"))
     i = F.row_number().over(Window.partitionBy("line").orderBy("seq")) - 1
     v = vertices.withColumns({"_n": n, "_i": i})
     take = F.floor((F.col("_i") * samples) / F.col("_n")) != F.floor(((F.col("_i") - 1) * samples) / F.col("_n"))
     s = v.where((F.col("_n") <= samples) | take)
-    size = lengths(vertices)
-    s, t = s.join(size.select("line", "length_m"), "line"), vertices.join(size.select("line", "length_m"), "line")
+    size = written(lengths(vertices).select("line", "length_m"), "line-lengths")
+    s, t = s.join(size, "line"), vertices.join(size, "line")
     near = within(s, t, meters, geo.planar_m, by=["grp"]).where("r_length_m > l_length_m or (r_length_m = l_length_m and r_line < l_line)")
-    hit = near.select(F.col("l_line").alias("line"), F.col("l_seq").alias("seq")).distinct().groupBy("line").agg(F.count("*").alias("hits"))
-    total = s.groupBy("line").agg(F.count("*").alias("samples"))
-    return total.join(hit, "line").where(F.col("hits") >= share * F.col("samples")).select("line", "hits", "samples")
+    meets = written(near.select(F.col("l_line").alias("line"), F.col("l_seq").alias("seq"), F.col("r_line").alias("longer")).distinct(), "meets")
+    total = written(s.groupBy("line").agg(F.count("*").alias("samples")), "samples")
+    # Only lines that meet a longer one can go; all others stay from the start.
+    state = total.join(meets.select("line").distinct(), "line", "left_anti").select("line", F.lit(True).alias("stays"))
+    total = total.join(meets.select("line").distinct(), "line", "left_semi")
+    least = F.lit(share) * F.col("samples")
+    first, is_open = state, True
+    for _ in range(max_rounds):
+        was_open = is_open
+        beside = meets.join(state.select(F.col("line").alias("longer"), "stays"), "longer", "left").where("stays is null or stays")
+        each = beside.groupBy("line", "seq").agg(F.max(F.coalesce("stays", F.lit(False)).cast("long")).alias("sure"))
+        hits = each.groupBy("line").agg(F.sum("sure").alias("hits"), F.count("*").alias("most"))
+        now = total.join(hits, "line", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)), "most": F.coalesce("most", F.lit(0))})
+        now = written(now.withColumn("stays", F.when(F.col("hits") >= least, False).when(F.col("most") < least, True)), "decided")
+        if not was_open:
+            return now.where("not stays").select("line", "hits", "samples")
+        is_open = not now.where("stays is null").isEmpty()
+        state = first.unionByName(now.select("line", "stays"))
+    raise RuntimeError(f"lines have not settled after {max_rounds} rounds")
 
 
 def clip_at(vertices: DataFrame, lat: float, lon: float, keep: str = "after") -> DataFrame:

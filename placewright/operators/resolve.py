@@ -42,10 +42,9 @@ def _sides(df: DataFrame, p: str) -> DataFrame:
 def near_sharing(left: DataFrame, right: DataFrame, left_words: str, right_words: str, meters: float) -> DataFrame:
     """Pairs of one category at most `meters` apart that share a word: l_*, r_*, d; each pair once."""
     a, b = _sides(left, "l_"), _sides(right, "r_")
-    rx, ry = geo.cell(F.col("r_lat"), F.col("r_lon"), meters)
-    around = geo.near_cells(F.col("l_lat"), F.col("l_lon"), meters)
-    ka = a.select("l_pin", F.col("l_category").alias("_k"), F.explode(f"l_{left_words}").alias("_w"), around.alias("_a")).select("l_pin", "_k", "_w", F.explode("_a").alias("_c"))
-    kb = b.select("r_pin", F.col("r_category").alias("_k"), F.explode(f"r_{right_words}").alias("_w"), F.struct(rx.alias("x"), ry.alias("y")).alias("_c"))
+    ka = geo.with_near_cells(a.select("l_pin", "l_lat", "l_lon", F.col("l_category").alias("_k"), f"l_{left_words}"), "l_lat", "l_lon", meters, "_c")
+    kb = geo.with_cell(b.select("r_pin", "r_lat", "r_lon", F.col("r_category").alias("_k"), f"r_{right_words}"), "r_lat", "r_lon", meters, "_c")
+    ka, kb = ka.select("l_pin", "_k", F.explode(f"l_{left_words}").alias("_w"), "_c"), kb.select("r_pin", "_k", F.explode(f"r_{right_words}").alias("_w"), "_c")
     ids = ka.join(kb, ["_k", "_w", "_c"]).where("l_pin <> r_pin").select("l_pin", "r_pin").distinct()
     out = ids.join(a, "l_pin").join(b, "r_pin").withColumn("d", geo.haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     return out.where(F.col("d") <= meters)

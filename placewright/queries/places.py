@@ -33,7 +33,7 @@ def stops_to_lines(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_stop(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer station's nearest supplier stop under 5 km."""
     stops = X.line_vertices(spark, sf)
-    out = J.nearest_within(X.stations(spark, sf), stops, 5000.0, "station_id", "seq", strict=True)
+    out = J.nearest_within(X.stations(spark, sf), stops, 5000.0, "station_id", "seq", strict=True, copy="right")
     return out.select("station_id", "seq", F.round("d", 2).alias("d"))
 
 

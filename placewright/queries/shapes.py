@@ -56,10 +56,12 @@ def chain_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def covered_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines doubled by a shorter, shifted copy of their first vertices."""
-    v = X.line_vertices(spark, sf).select("line", c("line").alias("grp"), "seq", "lat", "lon")
-    half = v.where("seq < 60").select((c("line") + 100).alias("line"), "grp", "seq", (c("lat") + F.when(c("line") % 2 == 0, 0.0005).otherwise(0.05)).alias("lat"), "lon")
-    return L.covered_chains(v.unionByName(half)).select("line", "hits", "samples")
+    """Each line with two shorter copies, the second one beside the first only, which goes on every other line."""
+    v = X.line_vertices(spark, sf).select(c("line").alias("grp"), "seq", "lat", "lon")
+    shift = lambda first, second: F.when(c("grp") % 2 == 0, first).otherwise(second)
+    copies = [(0, 20, F.lit(0.0)), (1, 15, shift(0.0005, 0.05)), (2, 10, shift(0.0016, 0.0495))]
+    parts = [v.where(c("seq") % 20 < n).select((c("grp") * 3 + k).alias("line"), "grp", "seq", (c("lat") + d).alias("lat"), "lon") for k, n, d in copies]
+    return L.covered_chains(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +132,7 @@ def enclosed_holes(spark: SparkSession, sf: str) -> DataFrame:
 
 def gap_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of suppliers below zero balance on each line."""
-    v = X.read(spark, sf, "supplier").select((c("s_suppkey") % 3).alias("line"), c("s_suppkey").alias("pos"), (c("s_acctbal") > 2000).alias("covered"))
+    v = X.read(spark, sf, "supplier").select(F.floor(c("s_suppkey") / 20).alias("line"), c("s_suppkey").alias("pos"), (c("s_acctbal") > 2000).alias("covered"))
     return R.gap_runs(v)
 
 
@@ -323,7 +325,7 @@ ORACLE_SQL = {
  SELECT region_id, round(min(x1), 6) AS w, round(max(x1), 6) AS e, round(min(y1), 6) AS s, round(max(y1), 6) AS n, round(any_value(m2) / 1e6, 3) AS km2 FROM edges JOIN m USING (region_id) GROUP BY region_id""",
     "cover_algebra": f"""WITH {SQL_EDGES}, {_COVER}, a AS (SELECT DISTINCT cx, cy FROM cov WHERE region_id % 2 = 0), b AS (SELECT DISTINCT cx, cy FROM cov WHERE region_id % 3 = 0),
  u AS (SELECT 'union' AS what, * FROM (FROM a UNION FROM b) UNION ALL SELECT 'difference', * FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'intersection', * FROM (FROM a INTERSECT FROM b)) SELECT what, count(*) AS n, sum(cx)::BIGINT AS sx, sum(cy)::BIGINT AS sy FROM u GROUP BY what""",
-    "gap_runs": "WITH v AS (SELECT s_suppkey % 3 AS line, s_suppkey AS pos, s_acctbal > 2000 AS covered FROM supplier), g AS (SELECT *, pos - 3 * row_number() OVER (PARTITION BY line, covered ORDER BY pos) AS run, lag(covered) OVER w AS b, lead(covered) OVER w AS a FROM v WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n, coalesce(bool_or(a), false) AND coalesce(bool_or(b), false) AS closed FROM g WHERE NOT covered GROUP BY line, run",
+    "gap_runs": "WITH v AS (SELECT s_suppkey // 20 AS line, s_suppkey AS pos, s_acctbal > 2000 AS covered FROM supplier), g AS (SELECT *, pos - row_number() OVER (PARTITION BY line, covered ORDER BY pos) AS run, lag(covered) OVER w AS b, lead(covered) OVER w AS a FROM v WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n, coalesce(bool_or(a), false) AND coalesce(bool_or(b), false) AS closed FROM g WHERE NOT covered GROUP BY line, run",
     "county_overlap": f"WITH {SQL_EDGES}, {_COVER}, o AS (SELECT region_id AS place_id, floor(cx / 9)::BIGINT::VARCHAR AS county, count(*) AS n FROM cov GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY place_id) AS total FROM o) SELECT place_id, county, round(n / total, 6) AS share FROM t QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY n DESC, county DESC) = 1",
     "parent_roots": "WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 3 AS p FROM part WHERE p_partkey // 3 > 0), w(id, root) AS (SELECT c, p FROM e UNION ALL SELECT w.id, e.p FROM w JOIN e ON e.c = w.root) SELECT id, min(root) AS root FROM w GROUP BY id",
 }
@@ -355,11 +357,16 @@ ORACLE_SQL |= {
  l AS (SELECT z AS level, x >> ({_LAST} - z)::INT AS tx, y >> ({_LAST} - z)::INT AS ty, count(*) AS n FROM f, range({_FIRST}, {_LAST + 1}) r(z) GROUP BY ALL),
  u AS (SELECT c.* FROM l c LEFT JOIN l p ON p.level = c.level - 1 AND p.tx = c.tx >> 1 AND p.ty = c.ty >> 1 WHERE c.level = {_FIRST} OR p.n >= 20)
  SELECT level::INT AS level, count(*) AS tiles, sum(n)::BIGINT AS points, max(n) AS most FROM u WHERE n < 20 OR level = {_LAST} GROUP BY level""",
-    "covered_chains": f"""WITH {SQL_VERTICES}, v AS (SELECT line, line AS grp, seq, lat, lon FROM vertices UNION ALL SELECT line + 100, line, seq, lat + CASE WHEN line % 2 = 0 THEN 0.0005e0 ELSE 0.05e0 END, lon FROM vertices WHERE seq < 60),
+    "covered_chains": f"""WITH RECURSIVE {SQL_VERTICES}, v AS (SELECT line * 3 AS line, line AS grp, seq, lat, lon FROM vertices
+  UNION ALL SELECT line * 3 + 1, line, seq, lat + CASE WHEN line % 2 = 0 THEN 0.0005e0 ELSE 0.05e0 END, lon FROM vertices WHERE seq % 20 < 15
+  UNION ALL SELECT line * 3 + 2, line, seq, lat + CASE WHEN line % 2 = 0 THEN 0.0016e0 ELSE 0.0495e0 END, lon FROM vertices WHERE seq % 20 < 10),
  g AS (SELECT *, count(*) OVER (PARTITION BY line) AS n, row_number() OVER (PARTITION BY line ORDER BY seq) - 1 AS i, lead(lat) OVER (PARTITION BY line ORDER BY seq) AS blat, lead(lon) OVER (PARTITION BY line ORDER BY seq) AS blon FROM v),
- z AS (SELECT line, sum({_planar('lat', 'lon', 'blat', 'blon')}) AS m FROM g GROUP BY line), s AS (SELECT g.*, m FROM g JOIN z USING (line) WHERE n <= 24 OR (i * 24) // n <> CASE WHEN i = 0 THEN -1 ELSE ((i - 1) * 24) // n END),
- t AS (SELECT v.*, m FROM v JOIN z USING (line)), h AS (SELECT DISTINCT s.line, s.seq FROM s JOIN t ON s.grp = t.grp AND (t.m > s.m OR (t.m = s.m AND t.line < s.line)) AND {_planar('s.lat', 's.lon', 't.lat', 't.lon')} <= 140)
- SELECT line, hits, samples FROM (SELECT line, count(*) AS samples FROM s GROUP BY line) JOIN (SELECT line, count(*) AS hits FROM h GROUP BY line) USING (line) WHERE hits >= 0.6 * samples""",
+ z AS (SELECT line, sum({_planar('lat', 'lon', 'blat', 'blon')}) AS m FROM g GROUP BY line HAVING m IS NOT NULL), s AS (SELECT g.*, m FROM g JOIN z USING (line) WHERE n <= 24 OR (i * 24) // n <> CASE WHEN i = 0 THEN -1 ELSE ((i - 1) * 24) // n END),
+ t AS (SELECT v.*, m FROM v JOIN z USING (line)), h AS (SELECT DISTINCT s.line, s.seq, t.line AS longer FROM s JOIN t ON s.grp = t.grp AND (t.m > s.m OR (t.m = s.m AND t.line < s.line)) AND {_planar('s.lat', 's.lon', 't.lat', 't.lon')} <= 140),
+ o AS (SELECT line, samples, ms, row_number() OVER (ORDER BY m DESC, line) AS k FROM (SELECT line, any_value(m) AS m, count(*) AS samples FROM s GROUP BY line)
+  LEFT JOIN (SELECT line, list(longer) AS ms FROM (SELECT line, list(longer) AS longer FROM h GROUP BY line, seq) GROUP BY line) USING (line)),
+ r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT i + 1, CASE WHEN len(list_filter(ms, lambda x: list_has_any(x, kept))) >= 0.6 * samples THEN kept ELSE list_append(kept, line) END FROM r JOIN o ON k = i + 1)
+ SELECT line, len(list_filter(ms, lambda x: list_has_any(x, kept))) AS hits, samples FROM o, (SELECT kept FROM r ORDER BY i DESC LIMIT 1) WHERE NOT list_contains(kept, line)""",
     "override_matches": f"""WITH {_PINS}, p AS (SELECT *, {_NORM.format('name')} AS norm FROM pins),
  o AS (SELECT pin AS ord, category, CASE pin % 9 WHEN 0 THEN 'Nowhere ' || pin WHEN 1 THEN 'Old ' || name || ' West' WHEN 2 THEN substr(name, 4, 9) ELSE upper(name) END AS query, CASE WHEN pin % 5 = 0 THEN lat END AS lat, CASE WHEN pin % 5 = 0 THEN lon END AS lon FROM pins),
  q AS (SELECT *, {_NORM.format('query')} AS q FROM o),

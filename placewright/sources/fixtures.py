@@ -138,13 +138,13 @@ SQL_POIS = f"""pois AS (SELECT p_partkey AS poi_id, ['park', 'museum', 'library'
   {sql_lat('p_partkey', 4409)} AS lat, {sql_lon('p_partkey', 6277)} AS lon FROM part)"""
 
 
-def line_vertices(spark: SparkSession, sf_dir: str, lines: int = 10) -> DataFrame:
-    """Polylines from suppliers: line, seq, lat, lon."""
+def line_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines of twenty suppliers each, so that their number grows with the table: line, seq, lat, lon."""
     k = F.col("s_suppkey")
-    return read(spark, sf_dir, "supplier").select((k % lines).alias("line"), k.alias("seq"), lat(k, 7127).alias("lat"), lon(k, 8243).alias("lon"))
+    return read(spark, sf_dir, "supplier").select(F.floor(k / 20).alias("line"), k.alias("seq"), lat(k, 7127).alias("lat"), lon(k, 8243).alias("lon"))
 
 
-SQL_VERTICES = f"vertices AS (SELECT s_suppkey % 10 AS line, s_suppkey AS seq, {sql_lat('s_suppkey', 7127)} AS lat, {sql_lon('s_suppkey', 8243)} AS lon FROM supplier)"
+SQL_VERTICES = f"vertices AS (SELECT s_suppkey // 20 AS line, s_suppkey AS seq, {sql_lat('s_suppkey', 7127)} AS lat, {sql_lon('s_suppkey', 8243)} AS lon FROM supplier)"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,4 @@ def test_within_finds_all_pairs_anywhere(spark):
         got = {(x["l_id"], x["r_id"]) for x in joins.within(df, df, meters).collect()}
         assert got == {(a[0], b[0]) for a in rows for b in rows if dist(a, b) <= meters}
         assert joins.within(df, df, meters).count() == len(got)
+        assert sorted((x["l_id"], x["r_id"]) for x in joins.within(df, df, meters, copy="right").collect()) == sorted(got)

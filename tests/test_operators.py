@@ -395,3 +395,28 @@ def test_resampled_lines(spark):
     got = sorted(map(tuple, L.resampled(spark.createDataFrame(v, "line long, seq long, lat double, lon double"), 100.0).collect()))
     assert [(g[0], g[1]) for g in got] == [(1, k) for k in range(4)]
     assert all(abs((lat - 37.7) * 110540 - 100 * k) < 1e-6 and lon == -122.0 for _, k, lat, lon in got)
+
+
+def test_lines_go_longest_first(spark):
+    """Equal to taking the lines of a group one by one: crowded lines, chains of lines that wait for one another, ties."""
+    r = random.Random(5)
+    rows = []
+    for line in range(60):
+        n, lat0 = r.randint(2, 40), 37.7 + r.choice([0, 1, 2, 3, 5, 6, 30]) * 0.0009 + r.random() * 0.0003
+        rows += [(line, line % 3, k, lat0, -122.0 + 0.001 * k) for k in range(n)]
+    got = {x["line"]: (x["hits"], x["samples"]) for x in L.covered_chains(spark.createDataFrame(rows, "line long, grp long, seq long, lat double, lon double")).collect()}
+    dist = lambda a, b: math.hypot((b[4] - a[4]) * 111320 * math.cos(math.radians(37.7)), (b[3] - a[3]) * 110540)
+    lines = {}
+    for x in rows:
+        lines.setdefault(x[0], []).append(x)
+    length = {k: sum(dist(a, b) for a, b in zip(v, v[1:])) for k, v in lines.items()}
+    kept, want = [], {}
+    for k in sorted(lines, key=lambda k: (-length[k], k)):
+        v = lines[k]
+        some = [x for i, x in enumerate(v) if len(v) <= 24 or i * 24 // len(v) != (i - 1) * 24 // len(v)]
+        hits = sum(any(dist(x, y) <= 140 for j in kept if j % 3 == k % 3 for y in lines[j]) for x in some)
+        if hits >= 0.6 * len(some):
+            want[k] = (hits, len(some))
+        else:
+            kept.append(k)
+    assert got == want and len(kept) > 10 and len(want) > 10
