@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from placewright.functions import geo
 from placewright.plans.graph import components
 from placewright.plans.tables import written
 
-from .joins import within
+from .joins import density, linked, within
 
 SPACING_M = 16.0
 
@@ -54,25 +56,53 @@ def snap_to_lines(points: DataFrame, vertices: DataFrame, tolerance: float = 40.
     """J7. points: key, system, lat, lon; vertices: line, system, seq, lat, lon. The nearest position on a line of the
     point's own system within `most`; the point moves there if it is over `tolerance` away: key, lat, lon, d, moved.
 
-    Long segments are cut so that no piece is longer than `most`; pieces then meet points by cells around their middles.
+    Segments are cut so that no piece is longer than a reach; pieces then meet points by cells around their middles. The reach
+    starts where pieces and pairs are about as many and grows fourfold up to `most`: a point with a line inside its reach is done.
     """
-    s = segments(vertices)
-    d = geo.planar_m(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    s = s.withColumn("_k", F.greatest(F.lit(1), F.ceil(d / most)).cast("int"))
-    s = s.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_k")
-    i, j = F.col("_i"), F.col("_i") + 1
-    pieces = s.select("line", "system", "seq", "_i", at("alat", "blat", i).alias("alat"), at("alon", "blon", i).alias("alon"), at("alat", "blat", j).alias("blat"), at("alon", "blon", j).alias("blon"))
-    pieces = pieces.withColumns({"lat": (F.col("alat") + F.col("blat")) / 2, "lon": (F.col("alon") + F.col("blon")) / 2})
-    near = within(points, pieces, 1.6 * most, by=["system"])
-    hit = geo.on_segment(F.col("l_lat"), F.col("l_lon"), F.col("r_alat"), F.col("r_alon"), F.col("r_blat"), F.col("r_blon"))
-    best = near.withColumn("h", hit).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min(F.struct(F.col("h.d").alias("d"), "r_line", "r_seq", "r__i", F.col("h.lat").alias("lat"), F.col("h.lon").alias("lon"))).alias("b"))
+    s = segments(vertices).withColumn("_d", geo.planar_m(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    reach, found, todo = _start_reach(s, points.count(), most), None, points
+    while True:
+        last = reach >= most
+        got = _nearest_pieces(todo, s, min(reach, most), key)
+        if last:
+            found = got if found is None else found.unionByName(got)
+            break
+        got = written(got.where(F.col("b.d") <= reach), "snapped")
+        found = got if found is None else found.unionByName(got)
+        todo = written(todo.join(got.select(key), key, "left_anti"), "farther")
+        if todo.isEmpty():
+            break
+        reach *= 4
+    best = found.groupBy(key).agg(F.min("b").alias("b"))
     df = points.join(best, key, "left")
     moved = F.coalesce((F.col("b.d") > tolerance) & (F.col("b.d") <= most), F.lit(False))
     pick = lambda c: F.when(moved, F.col(f"b.{c}")).otherwise(F.col(c))
     return df.select(key, pick("lat").alias("lat"), pick("lon").alias("lon"), F.when(F.col("b.d") <= most, F.col("b.d")).alias("d"), moved.alias("moved"))
 
 
+def _cut(segments: DataFrame, reach: float) -> DataFrame:
+    """Pieces of at most `reach` metres: the columns of their segment, and lat, lon of their middles."""
+    k = F.greatest(F.lit(1), F.ceil(F.col("_d") / reach)).cast("int")
+    s = segments.withColumn("_k", k).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("_i") + 0.5) / F.col("_k")
+    return s.select("line", "system", "seq", "alat", "alon", "blat", "blon", at("alat", "blat").alias("lat"), at("alon", "blon").alias("lon"))
+
+
+def _nearest_pieces(points: DataFrame, segments: DataFrame, reach: float, key: str) -> DataFrame:
+    """key, b: the nearest position on any segment with a piece whose middle is near enough, the first by line and seq on a tie."""
+    near = within(points, _cut(segments, reach), 1.6 * reach, by=["system"])
+    hit = geo.on_segment(F.col("l_lat"), F.col("l_lon"), F.col("r_alat"), F.col("r_alon"), F.col("r_blat"), F.col("r_blon"))
+    first = F.min(F.struct(F.col("h.d").alias("d"), "r_line", "r_seq", F.col("h.lat").alias("lat"), F.col("h.lon").alias("lon")))
+    return near.withColumn("h", hit).groupBy(F.col(f"l_{key}").alias(key)).agg(first.alias("b"))
+
+
+def _start_reach(segments: DataFrame, n: int, most: float) -> float:
+    """Shorter reaches make more pieces and fewer pairs: the reach at which n points have four pairs for each piece, `most` at most."""
+    pieces = _cut(segments, most)
+    usual, cut = density(pieces, ["system"], 1.6 * most), pieces.count()
+    return max(most / 1024, min(most, most / math.sqrt(9 * n * usual / (4 * cut)))) if usual and n else most
+
+
 def offset_coords(coords: Column, meters: Column) -> Column:
     """L1. A polyline moved by `meters` to the left of its direction, vertex by vertex."""
     n = F.size(coords)
@@ -107,8 +137,7 @@ def chains(ends: DataFrame, meters: float = 25.0) -> DataFrame:
     """L3. ends: way_id, grp (system and colour), alat, alon, blat, blon. Ways of a group whose ends are within `meters`
     are one chain: way_id, chain."""
     e = ends.select("way_id", "grp", F.explode(F.array(F.struct(F.col("alat").alias("lat"), F.col("alon").alias("lon")), F.struct(F.col("blat").alias("lat"), F.col("blon").alias("lon")))).alias("p")).select("way_id", "grp", "p.lat", "p.lon")
-    near = within(e, e, meters, geo.planar_m, by=["grp"]).select(F.col("l_way_id").alias("a"), F.col("r_way_id").alias("b"))
-    return components(near).withColumnsRenamed({"id": "way_id", "root": "chain"})
+    return components(linked(e, "way_id", meters, geo.planar_m, by=["grp"])).withColumnsRenamed({"id": "way_id", "root": "chain"})
 
 
 def covered_chains(vertices: DataFrame, meters: float = 140.0, samples: int = 24, share: float = 0.6, max_rounds: int = 60) -> DataFrame:

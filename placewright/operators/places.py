@@ -11,7 +11,7 @@ from placewright.functions import geo
 from placewright.functions import names as N
 from placewright.plans.graph import components
 
-from .joins import within
+from .joins import linked
 
 # Types that a category keeps, and the club rescue of golf courses.
 ALLOW = {
@@ -223,8 +223,7 @@ def cluster_stops(stops: DataFrame, meters: float = 150.0, rename: dict[str, str
     else the shortest without '&', the alphabetically first on a tie.
     """
     same = stops.groupBy("name").agg(F.min("stop_id").alias("least")).join(stops, "name").select(F.col("stop_id").alias("a"), F.col("least").alias("b"))
-    near = within(stops, stops, meters, strict=True).where("l_stop_id < r_stop_id").select(F.col("l_stop_id").alias("a"), F.col("r_stop_id").alias("b"))
-    roots = components(same.unionByName(near)).withColumnsRenamed({"id": "stop_id", "root": "cluster"})
+    roots = components(linked(stops, "stop_id", meters, strict=True, known=same)).withColumnsRenamed({"id": "stop_id", "root": "cluster"})
     plain = F.struct(F.col("name").contains("&").alias("amp"), F.length("name").alias("len"), "name")
     new = F.lit(None).cast("string")
     if rename:
