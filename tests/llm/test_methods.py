@@ -520,3 +520,14 @@ def test_spilled_and_merged_runs(spark, docs):
         counts.update((r["lang"], t) for t in terms)
         seen.update((r["lang"], t) for t in set(terms))
     assert {(x[0], x[1]): x[2] for x in want} == {k: n for k, n in counts.items() if seen[k] >= 3}
+
+
+def test_context_sums_are_one_row_a_range(spark, docs):
+    """A bucket's sums by context are packed: its rows don't grow with the contexts it saw."""
+    rows = docs.select(F.col("doc_id").cast("string"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    uni = katz.fit_unigrams(rows.select("text"))
+    parts = katz.bucket_results(katz.exchange_rows(rows, uni, 4), uni, 4).where("what = 1").cache()
+    ranges = -(-len(uni.counts) // katz.CONTEXTS)
+    assert len(uni.counts) > 100 and parts.count() <= 4 * ranges
+    sums = {r["ctx"]: np.frombuffer(r["sums"]).reshape(-1, katz.K + 3) for r in katz.context_sums(parts).collect()}
+    assert len(sums) == ranges and sum(x[:, 0].sum() for x in sums.values()) == uni.tokens
