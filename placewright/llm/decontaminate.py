@@ -14,7 +14,7 @@ match, and shared common words alone don't make one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql.types import IntegralType
 from .common import ROW, Lookup, by_group, mix, pack, plain, plain_bytes, row_key, steps, word_hashes
 
 RANK = 128
-#: Numbers of the latent space: above this the rank falls (to 16), which the index of words makes up for.
-SPACE_VALUES = 1 << 24
+#: Features of the latent space: words are dealt over them by their hash, so the space is bounded at one rank for every benchmark.
+FEATURES = 1 << 17
 #: Words of a unit; windows of two and of four units start at every unit.
 UNIT = 12
 WINDOWS = (2, 4)
@@ -48,21 +48,14 @@ _FEATURE_BLOCK = 4096
 
 @dataclass(frozen=True)
 class Space:
-    words: np.ndarray  # hashes of the features, sorted
-    idf: np.ndarray
-    idf_new: float  # of a word that is no feature
+    words: np.ndarray  # hashes of the benchmark's words, sorted
+    idf: np.ndarray  # of the words
+    idf_new: float  # of any other word
+    feature: np.ndarray  # of each word
+    weight: np.ndarray  # idf of the features: of its texts if no two of its words share one
     basis: np.ndarray  # features x rank, orthonormal
 
 
-def find(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of h in sorted_hashes, -1 where absent."""
-    if not len(sorted_hashes):
-        return np.full(len(h), -1)
-    at = np.searchsorted(sorted_hashes, h)
-    at[at == len(sorted_hashes)] = 0
-    return np.where(sorted_hashes[at] == h, at, -1)
-
-
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*plain_bytes(column))
 
@@ -81,10 +74,12 @@ def benchmark_words(items: DataFrame) -> np.ndarray:
 def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many distinct texts each word is, over all of them, and the number of distinct texts."""
 
+    find = Lookup(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             h, first = _words(part.column("text"))
-            at = find(words, h).astype(np.int32)
+            at = find(h)
             sets = [pack(np.unique(x[x >= 0])) for x in np.split(at, first[1:-1])]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.binary())], names=["key", "words"])
 
@@ -108,27 +103,29 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
     return out, n
 
 
-def _rows(column: pa.Array, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature of each place (-1: none), its weight, its part of the squared length, and where the texts start."""
+def _rows(column: pa.Array, space: Space, find: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, number (-1: no word of the benchmark) and feature (then one past the last) of each place, its part of the
+    squared length, and where the texts start."""
     h, first = _words(column)
-    at = find(space.words, h)
-    weight = np.where(at >= 0, space.idf[np.maximum(at, 0)], 0.0) if len(space.idf) else np.zeros(len(h))
-    length = np.where(at >= 0, weight, space.idf_new) ** 2
-    return at, weight, length, first
+    at = find(h)
+    feature = np.append(space.feature, len(space.weight))[at]
+    return h, at, feature, np.append(space.weight, space.idf_new)[feature] ** 2, first
 
 
 def gram_product(items: DataFrame, space: Space, z: np.ndarray) -> np.ndarray:
     """A'A z for the TF-IDF rows A (of unit length) of the items, added up by Spark in blocks of features."""
     n, width = z.shape
+    find = Lookup(space.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, width))
         for part in steps(batches):
-            at, weight, length, first = _rows(part.column("text"), space)
+            _, at, feature, length, first = _rows(part.column("text"), space, find)
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
             norm = np.sqrt(np.maximum(np.bincount(doc, weights=length, minlength=part.num_rows), 1e-12))
             m = at >= 0
-            at, doc, x = at[m], doc[m], weight[m] / norm[doc[m]]
+            at, doc = feature[m], doc[m]
+            x = space.weight[at] / norm[doc]
             y = np.zeros((part.num_rows, width))
             np.add.at(y, doc, z[at] * x[:, None])
             np.add.at(total, at, y[doc] * x[:, None])
@@ -152,17 +149,19 @@ def fit_space(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Space:
     words = benchmark_words(items)
     df, n = document_counts(docs, words)
     idf = np.log((n + 1) / (df + 1))  # next to nothing for a word of nearly all texts, at no point cut off
-    space = Space(words, idf, float(np.log(n + 1)), np.zeros((len(words), 0)))
-    if not len(space.words):
+    slots, feature = np.unique(words % np.uint64(FEATURES), return_inverse=True)
+    weight = np.log((n + 1) / (np.minimum(np.bincount(feature, weights=df, minlength=len(slots)), n) + 1))
+    space = Space(words, idf, float(np.log(n + 1)), feature, weight, np.zeros((len(slots), 0)))
+    if not len(words):
         return space
-    rank = min(rank, len(space.words), max(16, SPACE_VALUES // len(space.words)))
-    wide = min(len(space.words), rank + 16)
-    z = np.random.default_rng(10).standard_normal((len(space.words), wide))
+    rank = min(rank, len(slots))
+    wide = min(len(slots), rank + 16)
+    z = np.random.default_rng(10).standard_normal((len(slots), wide))
     for _ in range(2):
         z = np.linalg.qr(gram_product(items, space, z))[0]
     values, vectors = np.linalg.eigh(z.T @ gram_product(items, space, z))
     keep = np.argsort(-values)[:rank]
-    return Space(space.words, space.idf, space.idf_new, (z @ vectors[:, keep]).astype(np.float32))
+    return replace(space, basis=(z @ vectors[:, keep]).astype(np.float32))
 
 
 def lcs_length(item: np.ndarray, other: np.ndarray) -> int:
@@ -263,17 +262,17 @@ def matches_of(rows: DataFrame, items: list[tuple], space: Space, item_kind: str
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids = pa.array([i for i, _ in items], pa.string() if item_kind == "string" else pa.int64())
     column = pa.array([t for _, t in items], pa.string())
-    at, weight, length, first = _rows(column, space)
-    all_words = _words(column)[0]
+    find = Lookup(space.words)
+    all_words, at, feature, _, first = _rows(column, space, find)
     item_words = [all_words[s:e] for s, e in zip(first, first[1:])]
     item_telling = [np.unique(at[s:e][at[s:e] >= 0]) for s, e in zip(first, first[1:])]
     telling = [np.maximum(space.idf[x], 0.0) for x in item_telling]
     of_all = [x.sum() for x in telling]
     own = np.repeat(np.arange(len(items)), np.diff(first))
     latent = np.zeros((len(items), space.basis.shape[1]), np.float32)
-    np.add.at(latent, own[at >= 0], space.basis[at[at >= 0]] * weight[at >= 0, None].astype(np.float32))
+    scaled = np.append(space.basis * space.weight[:, None].astype(np.float32), np.zeros((1, space.basis.shape[1]), np.float32), axis=0)  # the last: no feature
+    np.add.at(latent, own, scaled[feature])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    scaled = np.append(space.basis * space.idf[:, None].astype(np.float32), np.zeros((1, space.basis.shape[1]), np.float32), axis=0)  # the last: no feature
     reach = np.array([len(w) for w in item_words])
     index = index_of(item_words)
     half = UNIT * max(WINDOWS) // 2
@@ -281,8 +280,7 @@ def matches_of(rows: DataFrame, items: list[tuple], space: Space, item_kind: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.zeros(len(space.words) + 1, bool)  # the last is for words that are no feature
         for part in steps(batches):
-            at, _, length, first = _rows(part.column("text"), space)
-            h = _words(part.column("text"))[0]
+            h, at, feature, length, first = _rows(part.column("text"), space, find)
             n_words = np.diff(first)
             n_units = -(-n_words // UNIT)
             start = np.concatenate([[0], np.cumsum(n_units)])
@@ -294,9 +292,10 @@ def matches_of(rows: DataFrame, items: list[tuple], space: Space, item_kind: str
             unit = np.zeros((len(doc), latent.shape[1]), np.float32)
             for k in range(UNIT):  # the k-th words of all units
                 place = unit_at + k
-                feature = np.where(place < first[doc + 1], at[np.minimum(place, len(at) - 1)], -1)
-                for c in range(0, len(doc), 8192):
-                    unit[c : c + 8192] += scaled[feature[c : c + 8192]]
+                on = np.flatnonzero(place < first[doc + 1])
+                on = on[at[place[on]] >= 0]
+                for c in range(0, len(on), 8192):
+                    unit[on[c : c + 8192]] += scaled[feature[place[on[c : c + 8192]]]]
             asked: dict[tuple[int, int, int], int] = {}
             best: dict[tuple[int, int], tuple] = {}
 
@@ -334,7 +333,7 @@ def matches_of(rows: DataFrame, items: list[tuple], space: Space, item_kind: str
                         look(int(doc[s + i]), int(j), w, w + units * UNIT, lambda _, c=cos[i, j]: c)
             for some in index_places(index, h, first):
                 for d, j, p in zip(*(x.tolist() for x in some)):
-                    look(d, j, p - half, p + half, lambda x, j=j: scaled[at[x][at[x] >= 0]].sum(axis=0) @ latent[j] / np.sqrt(max(length[x].sum(), 1e-9)))
+                    look(d, j, p - half, p + half, lambda x, j=j: scaled[feature[x]].sum(axis=0) @ latent[j] / np.sqrt(max(length[x].sum(), 1e-9)))
             if best:
                 d, j = np.array(list(best)).T
                 got = list(best.values())

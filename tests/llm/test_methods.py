@@ -531,3 +531,11 @@ def test_context_sums_are_one_row_a_range(spark, docs):
     assert len(uni.counts) > 100 and parts.count() <= 4 * ranges
     sums = {r["ctx"]: np.frombuffer(r["sums"]).reshape(-1, katz.K + 3) for r in katz.context_sums(parts).collect()}
     assert len(sums) == ranges and sum(x[:, 0].sum() for x in sums.values()) == uni.tokens
+
+
+def test_rank_of_a_large_benchmark_is_that_of_a_small_one(spark):
+    """More words than the space has features leave its rank and its bound."""
+    words = [" ".join(f"w{i * 100 + j}" for j in range(100)) for i in range(1400)]
+    items = spark.createDataFrame(list(enumerate(words)), "item_id long, text string")
+    space = decontaminate.fit_space(spark.createDataFrame([(1, words[0])], "doc_id long, text string"), items)
+    assert len(space.words) == 140_000 and space.basis.shape[1] == decontaminate.RANK and len(space.basis) <= decontaminate.FEATURES
