@@ -2,9 +2,9 @@
 
 Indexing in a single pass: a task reads its texts once and counts terms in memory, documents of a term by language and
 occurrences by language and source. Once the block has BLOCK postings it is spilled as a run: its terms are dealt by their
-checksum over hash shards, sorted, and written in chunks. Runs of a shard are then merged by a heap, which holds the next
-term of each open chunk and so at most a chunk of each run; where there are more than FAN_IN runs they are merged in
-rounds. The merged frequencies are rows (language, term, counts by source).
+checksum over hash shards, sorted, and written in chunks. Runs of a shard are then merged: the chunks come in order of
+their first terms, what lies before the next chunk is added up, and at most a chunk of each run stays; where there are
+more than FAN_IN runs they are merged in rounds. The merged frequencies are rows (language, term, counts by source).
 
 Sums over all terms of a language come from corrections. With every count at 0 a pair of sources has V times the same
 value; terms that one of the two has change it by an amount that depends on the count alone, so a histogram of counts
@@ -14,13 +14,14 @@ are whole: p, q, their quotients and sums.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ MIN_DOCS = 3
 BLOCK = 1_000_000
 #: Terms in one chunk of a run.
 CHUNK = 2_000
+#: Terms that a merge holds before it adds up those that are whole.
+MERGE_TERMS = 100_000
 #: Runs that are merged at once.
 FAN_IN = 256
 #: Ranks of a group's terms that are returned.
@@ -125,59 +128,89 @@ def runs_of(docs: DataFrame, shards: int, block: int) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, _RUN_DDL)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, bytes, int, dict[str, int]]]:
-    """run, shard, lang, term, documents, occurrences by source of the chunks, which come in order of run, shard, lang and
-    first term. The heap has the next term of each open chunk."""
-    heap: list = []
+@dataclass(frozen=True)
+class _Terms:
+    """Terms with their documents, and with their postings one after another: places of `names` and occurrences."""
+
+    terms: pa.Array
+    docs: np.ndarray
+    sizes: np.ndarray  # postings of each term
+    source: np.ndarray
+    count: np.ndarray
+
+    def where(self, mask: np.ndarray) -> _Terms:
+        posts = np.repeat(mask, self.sizes)
+        return _Terms(self.terms.filter(pa.array(mask)), self.docs[mask], self.sizes[mask], self.source[posts], self.count[posts])
+
+    def postings(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int32)
+
+
+def _sum_terms(held: list[_Terms], names: int, limit: bytes | None) -> tuple[_Terms, _Terms]:
+    """The terms before `limit`, in order and added up, and the others as they are."""
+    terms = pa.concat_arrays([x.terms for x in held])
+    docs, sizes, source, count = (np.concatenate([getattr(x, c) for x in held]) for c in ("docs", "sizes", "source", "count"))
+    code = terms.dictionary_encode()
+    distinct, code = code.dictionary, code.indices.to_numpy()
+    order = pc.sort_indices(distinct)
+    rank = np.empty(len(distinct), np.int64)
+    rank[order.to_numpy()] = np.arange(len(distinct))
+    code = rank[code]
+    n = len(distinct) if limit is None else pc.sum(pc.less(distinct, pa.scalar(limit, distinct.type))).as_py() or 0
+    done = code < n
+    left = _Terms(terms, docs, sizes, source, count).where(~done)
+    posts = np.repeat(done, sizes)
+    key = np.repeat(code, sizes)[posts] * names + source[posts]
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    total = np.zeros(n, np.int64)
+    np.add.at(total, code[done], docs[done])
+    count = np.add.reduceat(count[posts][by], first) if len(key) else np.empty(0, np.int64)
+    key = key[first]
+    return _Terms(distinct.take(order[:n]), total, np.bincount(key // names, minlength=n), key % names, count), left
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, str], list[str], _Terms]]:
+    """run, shard, lang, names of the sources and sums of their terms, which come in order, of chunks in order of run,
+    shard, lang and first term. What is before the first term of the next chunk is whole; what isn't is a chunk of each
+    run at most and stays."""
+    held: list[_Terms] = []
+    names: dict[str, int] = {}
     where: tuple | None = None
-    order = 0
-
-    def upto(limit: bytes | None) -> Iterator[tuple]:
-        while heap and (limit is None or heap[0][0] < limit):
-            term, docs, by = heap[0][0], 0, {}
-            while heap and heap[0][0] == term:
-                _, no, i, (terms, n_docs, sources, counts, names) = heap[0]
-                docs += n_docs[i]
-                for s, c in zip(sources[i], counts[i]):
-                    by[names[s]] = by.get(names[s], 0) + c
-                if i + 1 < len(terms):
-                    heapq.heapreplace(heap, (terms[i + 1], no, i + 1, heap[0][3]))
-                else:
-                    heapq.heappop(heap)
-            yield (*where, term, docs, by)
+    size, most = 0, MERGE_TERMS
 
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in ("run", "shard", "lang", "first")))
         lists = [batch.column(c) for c, _ in _LISTS]
         for k, (run, shard, lang, first) in enumerate(keys):
             if (run, shard, lang) != where:
-                yield from upto(None)
-                where = (run, shard, lang)
-            yield from upto(first)
-            chunk = tuple(x[k].as_py() for x in lists)
-            order += 1
-            heapq.heappush(heap, (first, order, 0, chunk))
-    yield from upto(None)
+                if held:
+                    yield where, list(names), _sum_terms(held, len(names), None)[0]
+                where, held, names, size, most = (run, shard, lang), [], {}, 0, MERGE_TERMS
+            elif size > most:
+                done, left = _sum_terms(held, len(names), first)
+                if len(done.terms):
+                    yield where, list(names), done
+                held, size = [left], len(left.terms)
+                most = max(MERGE_TERMS, 2 * size)
+            terms, docs, sources, counts, own = (x[k].values for x in lists)
+            place = np.array([names.setdefault(x, len(names)) for x in own.to_pylist()], np.int64)
+            held.append(_Terms(terms, docs.to_numpy(), sources.value_lengths().to_numpy().astype(np.int64), place[sources.flatten().to_numpy()], counts.flatten().to_numpy()))
+            size += len(terms)
+    if held:
+        yield where, list(names), _sum_terms(held, len(names), None)[0]
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merged runs, in chunks of their own."""
-    held: list[tuple] = []
-
-    def chunk() -> pa.RecordBatch:
-        names = sorted({s for x in held for s in x[5]})
-        at = {s: i for i, s in enumerate(names)}
-        run, shard, lang, first = held[0][:4]
-        row = {"run": run, "shard": shard, "lang": lang, "first": first, "terms": [x[3] for x in held], "docs": [x[4] for x in held], "sources": [[at[s] for s in x[5]] for x in held], "counts": [list(x[5].values()) for x in held], "names": names}
-        return pa.RecordBatch.from_pylist([row], schema=_RUN)
-
-    for x in _merged(batches):
-        if held and (x[:3] != held[0][:3] or len(held) == CHUNK):
-            yield chunk()
-            held = []
-        held.append(x)
-    if held:
-        yield chunk()
+    for (run, shard, lang), names, x in _merged(batches):
+        cuts = np.arange(0, len(x.terms), CHUNK)
+        n, bounds = len(cuts), pa.array(np.append(cuts, len(x.terms)).astype(np.int32))
+        posts = [pa.ListArray.from_arrays(pa.array(x.postings()), pa.array(c)) for c in (x.source.astype(np.int32), x.count)]
+        lists = [pa.ListArray.from_arrays(bounds, c) for c in (x.terms, pa.array(x.docs), *posts)]
+        flat = [pa.array([run] * n, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([lang] * n, pa.string()), x.terms.take(pa.array(cuts))]
+        yield pa.RecordBatch.from_arrays([*flat, *lists, pa.array([names] * n, pa.list_(pa.string()))], schema=_RUN)
 
 
 def frequencies(runs: DataFrame, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN) -> DataFrame:
@@ -192,25 +225,15 @@ def frequencies(runs: DataFrame, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN)
         runs = written(dealt(runs.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(n_runs)))).mapInArrow(_again, _RUN_DDL), "merged-runs")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        kind = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
-
-        def out() -> pa.RecordBatch:
-            offsets = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])]).astype(np.int32)
-            source = pa.array([s for x in held for s in x[5]], pa.string())
-            n = pa.array([c for x in held for c in x[5].values()], pa.int64())
-            posts = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([source, n], names=["source", "n"])).cast(kind)
-            cols = [pa.array([x[2] for x in held], pa.string()), pa.array([x[3].decode() for x in held]), pa.array([sum(x[5].values()) for x in held], pa.int64()), posts]
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "term", "total", "posts"])
-
-        for x in _merged(batches):
-            if x[4] >= min_docs:
-                held.append(x)
-                if len(held) == CHUNK:
-                    yield out()
-                    held = []
-        if held:
-            yield out()
+        for (_, _, lang), names, x in _merged(batches):
+            x = x.where(x.docs >= min_docs)
+            if not len(x.terms):
+                continue
+            bounds = x.postings()
+            sums = np.concatenate([[0], np.cumsum(x.count)])
+            posts = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(x.source)), pa.array(x.count)], names=["source", "n"])
+            cols = [pa.array([lang] * len(x.terms), pa.string()), x.terms.cast(pa.string()), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.ListArray.from_arrays(pa.array(bounds), posts)]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "term", "total", "posts"])
 
     one = dealt(runs.withColumn("run", F.lit(0).cast("long")))
     return one.mapInArrow(last, "lang string, term string, total long, posts array<struct<source:string,n:bigint>>")

@@ -539,3 +539,30 @@ def test_rank_of_a_large_benchmark_is_that_of_a_small_one(spark):
     items = spark.createDataFrame(list(enumerate(words)), "item_id long, text string")
     space = decontaminate.fit_space(spark.createDataFrame([(1, words[0])], "doc_id long, text string"), items)
     assert len(space.words) == 140_000 and space.basis.shape[1] == decontaminate.RANK and len(space.basis) <= decontaminate.FEATURES
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_merged_chunks_equal_a_counter(monkeypatch, most):
+    """However often a merge adds up what is whole, each term comes once and in order, with all its postings."""
+    monkeypatch.setattr(divergence, "MERGE_TERMS", most)
+    monkeypatch.setattr(divergence, "CHUNK", 3)
+    rng, runs, docs, counts = random.Random(13), [], Counter(), Counter()
+    for run in range(5):
+        block = divergence._Block()
+        for _ in range(6):
+            lang, source = rng.choice("xy"), rng.choice("abc")
+            terms = [rng.choice(["é", "à", "b", "zz", *map(str, range(20))]).encode() for _ in range(12)]
+            block.add(lang, source, terms)
+            docs.update((lang, t) for t in set(terms))
+            counts.update((lang, source, t) for t in terms)
+        runs += [b.slice(i, 1) for b in block.chunks(0, 2) for i in range(b.num_rows)]
+    runs.sort(key=lambda b: tuple(b.column(c)[0].as_py() for c in ("run", "shard", "lang", "first")))
+    got_docs, got, last = Counter(), Counter(), {}
+    for (_, shard, lang), names, x in divergence._merged(iter(runs)):
+        at = x.postings()
+        for i, t in enumerate(x.terms.to_pylist()):
+            assert last.get((shard, lang), b"") < t and (lang, t) not in got_docs
+            last[shard, lang] = t
+            got_docs[lang, t] = int(x.docs[i])
+            got.update({(lang, names[s], t): int(n) for s, n in zip(x.source[at[i] : at[i + 1]], x.count[at[i] : at[i + 1]])})
+    assert got_docs == docs and got == counts
