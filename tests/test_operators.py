@@ -472,3 +472,18 @@ def test_components_of_dense_places_need_few_edges(spark, monkeypatch):
         monkeypatch.setattr(module, "components", lambda edges, plain=plain, sizes=sizes: sizes.append(edges.count()) or plain(edges))
         assert sorted((r["chain"], r["count"]) for r in run().count().collect()) == [(0, 400), (400, 400)]
         assert sum(sizes) < 4 * 800
+
+
+def test_left_counts_equal_the_rows_and_shuffle_no_pairs(spark):
+    """Counts by words of bits are those of without_manual and endgame; signs, ends of words and empty games too."""
+    ids = [-65, -64, -1, 0, 1, 62, 63, 64, 127, 128, 5_000_000_000]
+    base = [(g, s) for g in range(6) for s in ids if g != 5 or s == 63]
+    manual = [(g, s) for g, s in base if (g == 1 and s < 63) or (g == 2 and s > 0) or g == 5] + [(0, 99)]
+    locked = [(3, 127), (4, 77), (2, 63), (9, 1)]
+    base, manual, locked = (spark.createDataFrame(x, "game_id long, station_id long") for x in (base, manual, locked))
+    left, gone = Q.without_manual(base, base, manual)
+    end = Q.endgame(base, left, locked).groupBy("game_id").agg(F.count("*").alias("remaining"), F.min("station_id").alias("least"))
+    want = end.join(gone.groupBy("game_id").agg(F.count("*").alias("eliminated")), "game_id", "left")
+    got = Q.left_counts(base, manual, locked)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+    assert dict(got.dtypes) == dict(want.dtypes)
