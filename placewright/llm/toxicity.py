@@ -44,6 +44,8 @@ SHINGLE, COPY_COORDS, BAND, AGREE = 3, 32, 4, 22
 #: Hash places of the filter by which clean texts' stems are thinned; a fixed size, whatever the corpus.
 FILTER_BITS = 24
 _PRIOR = 0.1
+#: Rows of a matrix of votes that are doubles at once, when models are fitted.
+BLOCK = 1_024
 _REPEATED = np.uint64(1 << 63)  # in a voter's key: the stem occurs twice or more in the text
 
 
@@ -133,7 +135,7 @@ def prepared(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 def stem_counts(rows: DataFrame, least: np.ndarray | None = None) -> DataFrame:
     """rows: text -> stem, n: in how many texts each stem is, one row more (stem 0) with the number of texts.
 
-    A task adds up its own repeats. least: a filter of FILTER_BITS; stems whose place in it is empty are left out.
+    A task adds up its own repeats. least: a filter of FILTER_BITS, packed; stems whose place in it is empty are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,8 @@ def stem_counts(rows: DataFrame, least: np.ndarray | None = None) -> DataFrame:
         for part in steps(batches, most=1_000_000):
             key, _, _ = spoken(*plain_bytes(part.column("text")))
             if least is not None:
-                key = key[least[_place(key)]]
+                at = _place(key)
+                key = key[(least[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
             u, n = np.unique(key, return_counts=True)
             both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
             keys, counts, texts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64), texts + part.num_rows
@@ -161,7 +164,7 @@ def _place(key: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(stems_: DataFrame) -> np.ndarray:
-    """The places of the stems in a filter of fixed size; each task sends the places that it has."""
+    """The places of the stems in a filter of fixed size, eight to a byte; each task sends the places that it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +176,7 @@ def _filter_of(stems_: DataFrame) -> np.ndarray:
     got = stems_.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     packed[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
-    return np.unpackbits(packed).astype(bool)
+    return packed
 
 
 def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
@@ -200,6 +203,17 @@ def choose_voters(labelled: DataFrame, most: int = VOTERS) -> np.ndarray:
     return np.unique(np.concatenate([own, top["stem"].to_numpy(np.int64).view(np.uint64)]))
 
 
+def _blocks(*parts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Matrices side by side, BLOCK rows of doubles at a time."""
+    for s in range(0, len(parts[0]), BLOCK):
+        yield slice(s, s + BLOCK), np.concatenate([x[s : s + BLOCK].astype(np.float64) for x in parts], axis=1)
+
+
+def _sums(votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """votes.T @ y, by blocks."""
+    return sum((v.T @ y[at] for at, v in _blocks(votes)), np.zeros(votes.shape[1]))
+
+
 def label_model(votes: np.ndarray, given: np.ndarray, prior: float, toxic: np.ndarray | None = None, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Posterior P(toxic) of each row of the 0/1 vote matrix, and for each voter the number of its company.
 
@@ -210,48 +224,60 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, toxic: np.nd
     """
     toxic = np.ones(votes.shape[1], bool) if toxic is None else toxic
     post = _posterior(votes, given, prior, toxic, np.ones(votes.shape[1]), 2)
-    rates = (votes.T @ post) / max(post.sum(), 1e-9), (votes.T @ (1 - post)) / max((1 - post).sum(), 1e-9)
-    residual = votes - np.outer(post, rates[0]) - np.outer(1 - post, rates[1])
-    scale = np.sqrt(np.maximum((residual**2).sum(axis=0), 1e-9))
-    near = (residual.T @ residual) / np.outer(scale, scale) > TOGETHER
+    rates = _sums(votes, post) / max(post.sum(), 1e-9), _sums(votes, 1 - post) / max((1 - post).sum(), 1e-9)
+    both = np.zeros((votes.shape[1], votes.shape[1]))
+    for at, v in _blocks(votes):
+        residual = v - np.outer(post[at], rates[0]) - np.outer(1 - post[at], rates[1])
+        both += residual.T @ residual
+    scale = np.sqrt(np.maximum(np.diag(both), 1e-9))
+    near = both / np.outer(scale, scale) > TOGETHER
     company = np.unique(least_labels(near & (toxic[:, None] == toxic)), return_inverse=True)[1]
     return _posterior(votes, given, prior, toxic, 1 / np.bincount(company)[company], rounds), company
 
 
 def _posterior(votes: np.ndarray, given: np.ndarray, prior: float, toxic: np.ndarray, part: np.ndarray, rounds: int) -> np.ndarray:
     """EM over the voters' rates, from those of the given labels; part: of a vote, of each voter."""
-    first1, first0 = (votes.T @ given + 0.5) / (given.sum() + 1), (votes.T @ (1 - given) + 0.05) / ((1 - given).sum() + 1)
+    first1, first0 = (_sums(votes, given) + 0.5) / (given.sum() + 1), (_sums(votes, 1 - given) + 0.05) / ((1 - given).sum() + 1)
     post = given
     for r in range(rounds):
         p1, p0 = first1, first0
         if r:
-            p1 = (votes.T @ post + ANCHOR * first1) / (post.sum() + ANCHOR)
-            p0 = (votes.T @ (1 - post) + ANCHOR * first0) / ((1 - post).sum() + ANCHOR)
+            p1 = (_sums(votes, post) + ANCHOR * first1) / (post.sum() + ANCHOR)
+            p0 = (_sums(votes, 1 - post) + ANCHOR * first0) / ((1 - post).sum() + ANCHOR)
         p1 = np.where(toxic, np.maximum(p1, p0 * 1.5), np.minimum(p1, p0 / 1.5))  # a voter speaks for its side alone
         p1, p0 = np.clip(p1, 1e-6, 0.999), np.clip(p0, 1e-6, 0.999)
         yes, no = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        logit = np.log(prior / (1 - prior)) + votes @ (part * (yes - no)) + (part * no).sum()
+        said = np.concatenate([v @ (part * (yes - no)) for _, v in _blocks(votes)]) if len(votes) else np.empty(0)
+        logit = np.log(prior / (1 - prior)) + said + (part * no).sum()
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge-penalised logistic regression on soft labels by damped Newton steps; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
+def fit_linear(x: np.ndarray | tuple[np.ndarray, ...], y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Ridge-penalised logistic regression on soft labels by damped Newton steps; the last weight is the bias. Several matrices
+    are taken side by side. Sums go over blocks of rows, so no second copy of the whole is made."""
+    parts = (*(x if isinstance(x, tuple) else (x,)), np.ones((len(y), 1), np.uint8))
+    n = sum(p.shape[1] for p in parts)
+    w = np.zeros(n)
     w[-1] = np.log(_PRIOR / (1 - _PRIOR))
-    penalty = np.full(x.shape[1], ridge)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-3
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+        own = 0.0
+        for at, b in _blocks(*parts):
+            z = b @ w
+            own += float((np.logaddexp(0, z) - y[at] * z).sum())
+        return own + float(0.5 * (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        h, g = np.diag(penalty), penalty * w
+        for at, b in _blocks(*parts):
+            p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
+            h += (b * (p * (1 - p))[:, None]).T @ b
+            g += b.T @ (p - y[at])
+        step = np.linalg.solve(h, g)
         size = 1.0
         while size > 1e-4 and (new := loss(w - size * step)) > now:
             size /= 2
@@ -281,16 +307,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     given = got["toxic"].to_numpy(np.float64)
     if not len(got) or given.min() == given.max():  # nothing to tell apart: the lexicon alone speaks
         return Model(keys, np.concatenate([np.full(len(keys), 4.0), np.zeros(len(PATTERNS) + 2)]), float(np.log(_PRIOR / (1 - _PRIOR))))
-    votes = np.zeros((len(got), m), np.float32)
+    votes = np.zeros((len(got), m), np.uint8)
     for i, v in enumerate(got["votes"]):
         votes[i, np.frombuffer(v, np.uint16)] = 1
     dense = np.stack([np.frombuffer(d) for d in got["dense"]])
     prior = float(np.clip(given.mean(), 0.01, 0.5))
+    del got
     post, _ = label_model(votes, given, prior, toxic)
-    x = np.concatenate([votes, dense], axis=1).astype(np.float64)
-    w = fit_linear(x, post)
+    w = fit_linear((votes, dense), post)
     # The given labels set the scale: one factor and one shift for all texts.
-    scale, shift = fit_linear((x @ w[:-1] + w[-1])[:, None], given, ridge=1e-3)
+    logit = np.concatenate([b @ w[:-1] + w[-1] for _, b in _blocks(votes, dense)])
+    scale, shift = fit_linear(logit[:, None], given, ridge=1e-3)
     if scale <= 0:
         scale, shift = 1.0, 0.0
     return Model(keys, w[:-1] * scale, float(w[-1] * scale + shift))

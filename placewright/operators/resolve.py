@@ -238,8 +238,8 @@ def containing(holders: DataFrame, parts: DataFrame) -> DataFrame:
     held = holders.select("category", "h", F.col("text").alias("_held"), F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("_run"))
     rare = held.groupBy("category", "_run").agg(F.count("*").alias("_n"))
     asked = parts.where("text <> ''").select("category", "p", "text", F.explode(F.array_distinct(runs(3))).alias("_run"))
-    key = asked.join(rare, ["category", "_run"]).groupBy("category", "p").agg(F.min(F.struct("_n", "_run", "text")).alias("_k"))
-    met = key.select("category", "p", F.col("_k._run").alias("_run"), F.col("_k.text").alias("text")).join(held, ["category", "_run"])
+    key = asked.join(rare.hint("merge"), ["category", "_run"]).groupBy("category", "p").agg(F.min(F.struct("_n", "_run", "text")).alias("_k"))
+    met = key.select("category", "p", F.col("_k._run").alias("_run"), F.col("_k.text").alias("text")).join(held.hint("merge"), ["category", "_run"])
     return met.where(F.contains("_held", "text")).select("h", "p")
 
 
@@ -249,20 +249,34 @@ def resolve_overrides(pins: DataFrame, overrides: DataFrame, meters: float = 200
     Names are compared normalised: exact matches win, else either name may contain the other. A pinned override takes the
     nearest match within `meters`, any other the most reviewed.
     """
-    p = pins.withColumn("norm", N.match_norm(F.col("name"))).select("pin", "category", "norm", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    o = overrides.withColumn("q", N.match_norm(F.col("query")))
+    p = pins.withColumn("norm", N.match_norm(F.col("name"))).select("pin", "category", "norm", F.coalesce("reviews", F.lit(0)).alias("reviews"), "lat", "lon")
+    o = overrides.select("ord", "category", N.match_norm(F.col("query")).alias("q"), "lat", "lon")
+    # Pins of one name are one row with the most reviewed of them, overrides of one query another, so names meet and not pins.
+    first = F.struct((-F.col("reviews")).alias("k"), "pin")
+    a = written(p.where("norm is not null").groupBy("category", F.col("norm").alias("text")).agg(F.min(first).alias("best")), "names")
+    b = written(o.where("q is not null").select("category", F.col("q").alias("text")).distinct(), "queries")
     # The four ways to match: equal, either contains the other, and a nameless pin, which every name contains.
-    a, b = p.select("category", "pin", F.col("norm").alias("text")), o.select("category", "ord", F.col("q").alias("text"))
-    same = a.join(b, ["category", "text"]).select("ord", "pin")
-    inside = containing(a.withColumnRenamed("pin", "h"), b.withColumnRenamed("ord", "p")).select(F.col("p").alias("ord"), F.col("h").alias("pin"))
-    around = containing(b.withColumnRenamed("ord", "h"), a.withColumnRenamed("pin", "p")).select(F.col("h").alias("ord"), F.col("p").alias("pin"))
-    nameless = a.where("text = ''").select("category", "pin").join(b.where("text <> ''"), "category").select("ord", "pin")
-    ids = same.unionByName(inside).unionByName(around).unionByName(nameless).distinct()
-    j = ids.join(o, "ord").join(p.drop("category"), "pin")
-    j = j.withColumns({"_exact": F.col("norm") == F.col("q"), "d": geo.haversine_m(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))})
-    best = Window.partitionBy("ord").orderBy(F.desc("_exact"), F.col("d").asc_nulls_last(), F.desc("reviews"), "pin")
-    got = j.withColumn("_n", F.row_number().over(best)).where((F.col("_n") == 1) & (F.col("lat").isNull() | (F.col("d") <= meters)))
-    return got.select("ord", "pin"), overrides.join(got.select("ord"), "ord", "left_anti").select("ord", "query")
+    both = F.struct("category", "text")
+    held, asked = a.select("category", "text", both.alias("h"), both.alias("p")), b.select("category", "text", both.alias("h"), both.alias("p"))
+    same = b.join(a.select("category", "text").hint("merge"), ["category", "text"]).select("category", F.col("text").alias("q"), "text")
+    inside = containing(held.drop("p"), asked.drop("h")).select("p.category", F.col("p.text").alias("q"), F.col("h.text").alias("text"))
+    around = containing(asked.drop("p"), held.drop("h")).select("h.category", F.col("h.text").alias("q"), F.col("p.text").alias("text"))
+    nameless = a.where("text = ''").select("category", "text").join(b.where("text <> ''").select("category", F.col("text").alias("q")), "category").select("category", "q", "text")
+    names = same.unionByName(inside).unionByName(around).unionByName(nameless).where(F.col("text").isNotNull())
+    most = F.min(F.struct((F.col("q") != F.col("text")).alias("other"), "best.k", "best.pin")).alias("b")
+    found = names.join(a.hint("merge"), ["category", "text"]).groupBy("category", "q").agg(most)
+    free = o.where("lat is null").join(found.hint("merge"), ["category", "q"]).select("ord", F.struct("b.other", F.lit(0.0).alias("d"), "b.k", "b.pin").alias("b"))
+    # A pinned one looks at the pins around it only; where its name is that of any pin, only such pins count.
+    known = a.select("category", F.col("text").alias("q"), F.lit(True).alias("known"))
+    pinned = o.where("lat is not null and q is not null").join(known.hint("merge"), ["category", "q"], "left")
+    from .joins import within
+
+    x, q, c = F.col("l_norm"), F.col("r_q"), F.col
+    near = within(p, pinned, meters, by=["category"], copy="right")
+    near = near.where(F.when(c("r_known"), x == q).otherwise((q != "") & F.contains(x, q) | F.contains(q, x)))
+    near = near.select(c("r_ord").alias("ord"), F.struct((x != q).alias("other"), "d", (-c("l_reviews")).alias("k"), c("l_pin").alias("pin")).alias("b"))
+    got = free.unionByName(near).groupBy("ord").agg(F.min("b").alias("b")).select("ord", "b.pin")
+    return got, overrides.join(got.select("ord").hint("merge"), "ord", "left_anti").select("ord", "query")
 
 
 def resolve_pois(pins: DataFrame, covering: DataFrame, manual: DataFrame, separate: DataFrame, drops: DataFrame, campus: tuple[str, ...] = CAMPUS) -> tuple[DataFrame, DataFrame, DataFrame]:
