@@ -222,13 +222,13 @@ def cluster_stops(stops: DataFrame, meters: float = 150.0, rename: dict[str, str
     arrival. `wide` marks clusters that span more than twice the radius. The shown name is a renamed one if there is one,
     else the shortest without '&', the alphabetically first on a tie.
     """
-    same = stops.groupBy("name").agg(F.min("stop_id").alias("least")).join(stops, "name").select(F.col("stop_id").alias("a"), F.col("least").alias("b"))
+    same = stops.groupBy("name").agg(F.min("stop_id").alias("least")).join(stops.hint("merge"), "name").select(F.col("stop_id").alias("a"), F.col("least").alias("b"))
     roots = components(linked(stops, "stop_id", meters, strict=True, known=same)).withColumnsRenamed({"id": "stop_id", "root": "cluster"})
     plain = F.struct(F.col("name").contains("&").alias("amp"), F.length("name").alias("len"), "name")
     new = F.lit(None).cast("string")
     if rename:
         new = F.create_map(*[F.lit(x) for kv in rename.items() for x in kv])[F.col("name")]
-    g = stops.join(roots, "stop_id").withColumn("_new", new).groupBy("cluster").agg(
+    g = stops.join(roots.hint("merge"), "stop_id").withColumn("_new", new).groupBy("cluster").agg(
         F.coalesce(F.min("_new"), F.min(plain)["name"]).alias("name"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
         F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("line")).alias("lines"), F.count("*").alias("members"),
         (F.max("lat") - F.min("lat")).alias("_h"), (F.max("lon") - F.min("lon")).alias("_w"),
@@ -243,7 +243,7 @@ def merge_at_anchors(stations: DataFrame, labels: DataFrame) -> DataFrame:
     At each anchor the first station in order of every (anchor, first system) is merged: mean place, union of systems and
     lines, service if any has it. Later stations of the same system, and those without an anchor, stay as they are.
     """
-    df = stations.join(labels, "id", "left")
+    df = stations.join(labels.hint("merge"), "id", "left")
     w = Window.partitionBy("label", F.col("systems")[0]).orderBy("ord", "id")
     df = df.withColumn("_first", F.col("label").isNotNull() & (F.row_number().over(w) == 1))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)

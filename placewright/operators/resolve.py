@@ -1,7 +1,8 @@
 """Resolving pins of one place to a representative: names, distances, footprints, manual overrides.
 
 pins: pin, category, name, lat, lon, reviews. Edges: category, child, parent, source. All pair work is blocked on
-(category, cell, shared word), so its size follows the real neighbours and not the square of a category.
+(category, cell, shared word), so its size follows the real neighbours and not the square of a category. Joins on pins are shuffled,
+never broadcast, as the driver would hold one side whole.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def near_sharing(left: DataFrame, right: DataFrame, left_words: str, right_words
     ka = geo.with_near_cells(a.select("l_pin", "l_lat", "l_lon", F.col("l_category").alias("_k"), f"l_{left_words}"), "l_lat", "l_lon", meters, "_c")
     kb = geo.with_cell(b.select("r_pin", "r_lat", "r_lon", F.col("r_category").alias("_k"), f"r_{right_words}"), "r_lat", "r_lon", meters, "_c")
     ka, kb = ka.select("l_pin", "_k", F.explode(f"l_{left_words}").alias("_w"), "_c"), kb.select("r_pin", "_k", F.explode(f"r_{right_words}").alias("_w"), "_c")
-    ids = ka.join(kb, ["_k", "_w", "_c"]).where("l_pin <> r_pin").select("l_pin", "r_pin").distinct()
-    out = ids.join(a, "l_pin").join(b, "r_pin").withColumn("d", geo.haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
+    ids = ka.join(kb.hint("merge"), ["_k", "_w", "_c"]).where("l_pin <> r_pin").select("l_pin", "r_pin").distinct()
+    out = ids.join(a.hint("merge"), "l_pin").join(b.hint("merge"), "r_pin").withColumn("d", geo.haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")))
     return out.where(F.col("d") <= meters)
 
 
@@ -82,12 +83,12 @@ def guarded_groups(pairs: DataFrame, pins: DataFrame, separate: DataFrame) -> Da
     """
     every = pairs.select(F.col("l_pin").alias("a"), F.col("r_pin").alias("b")).unionByName(pins.where(~F.col("sub")).select(F.col("pin").alias("a"), F.col("pin").alias("b")))
     comp = written(components(every).withColumnsRenamed({"id": "pin", "root": "grp"}), "groups")
-    of = lambda n: comp.select(F.col("pin").alias(n), F.col("grp").alias(f"g_{n}"))
+    of = lambda n: comp.select(F.col("pin").alias(n), F.col("grp").alias(f"g_{n}")).hint("merge")
     bad = written(separate.join(of("a"), "a").join(of("b"), "b").where("g_a = g_b").select(F.col("g_a").alias("grp"), "a", "b"), "separate")
-    touched = bad.select("grp").distinct()
+    touched = bad.select("grp").distinct().hint("merge")
     plain = comp.join(touched, "grp", "left_anti").select("pin", "grp")
     redo = comp.join(touched, "grp", "left_semi").select("pin")
-    inside = pairs.select(F.col("l_pin").alias("a"), F.col("r_pin").alias("b")).join(redo.withColumnRenamed("pin", "a"), "a", "left_semi")
+    inside = pairs.select(F.col("l_pin").alias("a"), F.col("r_pin").alias("b")).join(redo.withColumnRenamed("pin", "a").hint("merge"), "a", "left_semi")
     return plain.unionByName(merged_in_order(inside, redo, bad.select("a", "b")))
 
 
@@ -103,21 +104,21 @@ def merged_in_order(pairs: DataFrame, pins: DataFrame, separate: DataFrame, max_
     groups = written(pins.select("pin", F.col("pin").alias("grp")), "groups")
     live = written(pairs.select("a", "b").where("a <> b").distinct(), "open-pairs")
     for _ in range(max_rounds):
-        of = lambda n: groups.select(F.col("pin").alias(n), F.col("grp").alias(f"g{n}"))  # noqa: E731, B023
+        of = lambda n: groups.select(F.col("pin").alias(n), F.col("grp").alias(f"g{n}")).hint("merge")  # noqa: E731, B023
         ends = lambda df: df.join(of("a"), "a").join(of("b"), "b")  # noqa: E731, B023
         live = written(ends(live.select("a", "b")).where("ga <> gb"), "open-pairs")
         pair = F.struct("a", "b")
         least = live.select(F.col("ga").alias("grp"), pair.alias("p")).unionByName(live.select(F.col("gb").alias("grp"), pair.alias("p"))).groupBy("grp").agg(F.min("p").alias("p"))
-        first = lambda n: least.select(F.col("grp").alias(f"g{n}"), F.col("p").alias(f"p{n}"))  # noqa: E731, B023
+        first = lambda n: least.select(F.col("grp").alias(f"g{n}"), F.col("p").alias(f"p{n}")).hint("merge")  # noqa: E731, B023
         apart = ends(separate).select(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"), F.lit(True).alias("apart")).distinct()
         ready = live.join(first("a"), "ga").join(first("b"), "gb").where((F.col("pa") == pair) & (F.col("pb") == pair))
-        ready = ready.select("a", "b", F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).join(apart, ["x", "y"], "left")
+        ready = ready.select("a", "b", F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y")).join(apart.hint("merge"), ["x", "y"], "left")
         ready = written(ready, "decided")
         if ready.isEmpty():
             return groups
         joined = ready.where("apart is null").select(F.col("y").alias("grp"), F.col("x").alias("to"))
-        groups = written(groups.join(joined, "grp", "left").select("pin", F.coalesce("to", "grp").alias("grp")), "groups")
-        live = live.join(ready, ["a", "b"], "left_anti")
+        groups = written(groups.join(joined.hint("merge"), "grp", "left").select("pin", F.coalesce("to", "grp").alias("grp")), "groups")
+        live = live.join(ready.hint("merge"), ["a", "b"], "left_anti")
     raise RuntimeError("merging has not settled")
 
 
@@ -133,7 +134,7 @@ def score_order(preferred: Column) -> list[Column]:
 
 def representatives(groups: DataFrame, pins: DataFrame, preferred: DataFrame) -> DataFrame:
     """W3. pin, grp, rep for every grouped pin. preferred: pin."""
-    df = groups.join(pins, "pin").join(preferred.select("pin", F.lit(True).alias("_p")).distinct(), "pin", "left")
+    df = groups.join(pins.hint("merge"), "pin").join(preferred.select("pin", F.lit(True).alias("_p")).distinct().hint("merge"), "pin", "left")
     w = Window.partitionBy("grp").orderBy(*score_order(F.coalesce("_p", F.lit(False))))
     return df.withColumn("rep", F.first("pin").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select("pin", "grp", "rep")
 
@@ -144,13 +145,13 @@ def _edge(child: str, parent: str, source: str) -> list[Column]:
 
 def _not_apart(df: DataFrame, separate: DataFrame) -> DataFrame:
     both = separate.select(F.col("a").alias("l_pin"), F.col("b").alias("r_pin")).unionByName(separate.select(F.col("b").alias("l_pin"), F.col("a").alias("r_pin")))
-    return df.join(both.distinct(), ["l_pin", "r_pin"], "left_anti")
+    return df.join(both.distinct().hint("merge"), ["l_pin", "r_pin"], "left_anti")
 
 
 def satellites(reps: DataFrame, separate: DataFrame, preferred: DataFrame) -> DataFrame:
     """E6. Campus representatives with few reviews go to the nearest stronger one within 500 m that shares a word."""
     camp = reps.where("campus")
-    weak = camp.where(F.col("reviews") < SATELLITE_REVIEWS).join(preferred.select("pin").distinct(), "pin", "left_anti")
+    weak = camp.where(F.col("reviews") < SATELLITE_REVIEWS).join(preferred.select("pin").distinct().hint("merge"), "pin", "left_anti")
     p = _not_apart(near_sharing(weak, camp, "full", "full", SATELLITE_M).where("r_reviews > l_reviews"), separate)
     best = p.groupBy("l_pin", "l_category").agg(F.min(F.struct("d", "r_pin")).alias("b"))
     return best.select(F.col("l_category").alias("category"), F.col("l_pin").alias("child"), F.col("b.r_pin").alias("parent"), F.lit("name").alias("source"))
@@ -166,7 +167,7 @@ def sub_parts(pins: DataFrame, reps: DataFrame, separate: DataFrame) -> tuple[Da
     rank = F.when(named, F.struct((-F.col("r_reviews")).cast("double").alias("k"), "r_pin")).otherwise(F.struct(F.col("d").alias("k"), "r_pin"))
     best = ok.groupBy("l_pin", "l_category").agg(F.min(rank).alias("b"))
     edges = best.select(F.col("l_category").alias("category"), F.col("l_pin").alias("child"), F.col("b.r_pin").alias("parent"), F.lit("name").alias("source"))
-    return edges, subs.join(edges.select(F.col("child").alias("pin")), "pin", "left_anti")
+    return edges, subs.join(edges.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti")
 
 
 def footprint_edges(standing: DataFrame, covering: DataFrame, separate: DataFrame, preferred: DataFrame) -> DataFrame:
@@ -176,10 +177,10 @@ def footprint_edges(standing: DataFrame, covering: DataFrame, separate: DataFram
     footprint the reviewer's choice stays, else most shared words, most reviews. A pin that must stay apart from the one
     that stays isn't folded.
     """
-    c = covering.join(standing, "pin").withColumn("fdist", N.distinctive(F.col("fname"))).withColumn("overlap", N.shared(F.col("dist"), F.col("fdist")))
+    c = covering.join(standing.hint("merge"), "pin").withColumn("fdist", N.distinctive(F.col("fname"))).withColumn("overlap", N.shared(F.col("dist"), F.col("fdist")))
     own = Window.partitionBy("pin").orderBy(F.desc("overlap"), "area", "fid")
     c = c.withColumn("_n", F.row_number().over(own)).where("_n = 1")
-    c = c.join(preferred.select("pin", F.lit(True).alias("_p")).distinct(), "pin", "left")
+    c = c.join(preferred.select("pin", F.lit(True).alias("_p")).distinct().hint("merge"), "pin", "left")
     rank = Window.partitionBy("category", "fid").orderBy(F.coalesce("_p", F.lit(False)).desc(), F.desc("overlap"), F.desc("reviews"), "pin")
     c = c.withColumn("head", F.first("pin").over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     p = c.where("pin <> head").select(F.col("category").alias("l_category"), F.col("pin").alias("l_pin"), F.col("head").alias("r_pin"))
@@ -189,13 +190,13 @@ def footprint_edges(standing: DataFrame, covering: DataFrame, separate: DataFram
 def container_edges(standing: DataFrame, covering: DataFrame, separate: DataFrame, preferred: DataFrame) -> DataFrame:
     """E9. Park pins inside a large park's footprint go to its flagship: the pin in it that shares a telling word with
     its name and has most reviews. The smallest such footprint counts. covering: pin, fid, fname, m2."""
-    c = covering.where(F.col("m2").between(*CONTAINER_M2)).join(standing.where("category = 'park'"), "pin")
-    c = c.join(preferred.select("pin", F.lit(True).alias("_p")).distinct(), "pin", "left").withColumn("fdist", N.distinctive(F.col("fname")))
+    c = covering.where(F.col("m2").between(*CONTAINER_M2)).join(standing.where("category = 'park'").hint("merge"), "pin")
+    c = c.join(preferred.select("pin", F.lit(True).alias("_p")).distinct().hint("merge"), "pin", "left").withColumn("fdist", N.distinctive(F.col("fname")))
     flag = c.where(F.arrays_overlap("dist", "fdist")).groupBy("fid").agg(F.max_by("pin", F.struct(F.coalesce("_p", F.lit(False)), "reviews", -F.col("pin"))).alias("flag"))
-    held = c.join(flag, "fid")
+    held = c.join(flag.hint("merge"), "fid")
     # From the smallest footprint up: at its own flagship a pin stops; a flagship it must stay apart from is passed over.
     both = separate.select(F.col("a").alias("pin"), F.col("b").alias("flag")).unionByName(separate.select(F.col("b").alias("pin"), F.col("a").alias("flag"))).distinct()
-    held = held.join(both.withColumn("_apart", F.lit(True)), ["pin", "flag"], "left").where("_apart is null")
+    held = held.join(both.withColumn("_apart", F.lit(True)).hint("merge"), ["pin", "flag"], "left").where("_apart is null")
     w = Window.partitionBy("pin").orderBy("m2", "fid")
     held = held.withColumn("_n", F.row_number().over(w)).where("_n = 1 and pin <> flag")
     return held.select("category", F.col("pin").alias("child"), F.col("flag").alias("parent"), F.lit("bigpark").alias("source"))
@@ -205,7 +206,7 @@ def fold_edges(standing: DataFrame, covering: DataFrame, separate: DataFrame, pr
     """E10. A park pin named like an amenity goes to the nearest real park pin that shares a word other than a weak one,
     within the reach that the parent's footprint or name gives it."""
     m2 = covering.groupBy("pin").agg(F.min("m2").alias("m2"))
-    df = standing.where("category = 'park'").join(m2, "pin", "left").join(preferred.select("pin", F.lit(True).alias("_p")).distinct(), "pin", "left")
+    df = standing.where("category = 'park'").join(m2.hint("merge"), "pin", "left").join(preferred.select("pin", F.lit(True).alias("_p")).distinct().hint("merge"), "pin", "left")
     weak = F.array(*[F.lit(w) for w in N.FOLD_WEAK])
     df = df.withColumns({"strong": F.array_except("dist", weak), "_sub": F.col("name").rlike("(?iU)" + N.PARK_SUBFEATURE) & F.col("_p").isNull(), "m2": F.coalesce("m2", F.lit(0.0))})
     reach = (
@@ -225,9 +226,9 @@ def with_manual(edges: DataFrame, manual: DataFrame) -> DataFrame:
     rules found for the child. Of several entries for a child the last counts. An entry whose root is the child itself is
     left out."""
     root = roots(edges).withColumnsRenamed({"id": "parent"})
-    m = manual.join(root, "parent", "left").withColumn("root", F.coalesce("root", "parent")).where("root <> child")
+    m = manual.join(root.hint("merge"), "parent", "left").withColumn("root", F.coalesce("root", "parent")).where("root <> child")
     m = m.groupBy("category", "child").agg(F.max_by("root", "ord").alias("parent")).withColumn("source", F.lit("manual"))
-    return edges.join(m.select("child").distinct(), "child", "left_anti").select("category", "child", "parent", "source").unionByName(m.select("category", "child", "parent", "source"))
+    return edges.join(m.select("child").distinct().hint("merge"), "child", "left_anti").select("category", "child", "parent", "source").unionByName(m.select("category", "child", "parent", "source"))
 
 
 def containing(holders: DataFrame, parts: DataFrame) -> DataFrame:
@@ -287,28 +288,28 @@ def resolve_pois(pins: DataFrame, covering: DataFrame, manual: DataFrame, separa
     """
     bad = N.auto_dropped(F.col("category"), F.col("name")) | (F.coalesce("status", F.lit("")) == "CLOSED_PERMANENTLY")
     p = written(described(pins.where(~bad), campus), "pins")
-    named = manual.select(F.col("parent").alias("pin")).distinct().join(manual.select(F.col("child").alias("pin")), "pin", "left_anti")
+    named = manual.select(F.col("parent").alias("pin")).distinct().join(manual.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti")
     groups = guarded_groups(merge_pairs(p), p, separate)
     reps = written(representatives(groups, p, named), "reps")
     cats = p.select(F.col("pin").alias("child"), "category")
-    e1 = reps.where("pin <> rep").select(F.col("pin").alias("child"), F.col("rep").alias("parent"), F.lit("name").alias("source")).join(cats, "child").select("category", "child", "parent", "source")
-    heads = p.join(reps.where("pin = rep").select("pin"), "pin")
+    e1 = reps.where("pin <> rep").select(F.col("pin").alias("child"), F.col("rep").alias("parent"), F.lit("name").alias("source")).join(cats.hint("merge"), "child").select("category", "child", "parent", "source")
+    heads = p.join(reps.where("pin = rep").select("pin").hint("merge"), "pin")
     e2 = written(satellites(heads, separate, named), "satellites")
-    heads = heads.join(e2.select(F.col("child").alias("pin")), "pin", "left_anti")
+    heads = heads.join(e2.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti")
     e3, orphans = sub_parts(p, heads, separate)
     standing = written(heads.unionByName(orphans), "standing")
     e4 = written(footprint_edges(standing, covering, separate, named), "footprints")
-    left = standing.join(e4.select(F.col("child").alias("pin")), "pin", "left_anti")
+    left = standing.join(e4.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti")
     e5 = written(container_edges(left, covering, separate, named), "containers")
-    left = left.join(e5.select(F.col("child").alias("pin")), "pin", "left_anti")
+    left = left.join(e5.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti")
     e6 = fold_edges(left, covering, separate, named)
     auto = e1.unionByName(e2).unionByName(e3).unionByName(e4).unionByName(e5).unionByName(e6)
     gone = drops.select("pin").distinct()
     edges = with_manual(written(auto, "auto-edges"), manual)
     for end in ("child", "parent"):
-        edges = edges.join(gone.withColumnRenamed("pin", end), end, "left_anti")
+        edges = edges.join(gone.withColumnRenamed("pin", end).hint("merge"), end, "left_anti")
     edges = written(edges.select("category", "child", "parent", "source"), "edges-found")
-    kept = standing.join(edges.select(F.col("child").alias("pin")), "pin", "left_anti").join(gone, "pin", "left_anti")
+    kept = standing.join(edges.select(F.col("child").alias("pin")).hint("merge"), "pin", "left_anti").join(gone.hint("merge"), "pin", "left_anti")
     n = edges.groupBy("category").pivot("source", ["name", "osm", "bigpark", "manual"]).count().na.fill(0)
     funnel = p.groupBy("category").agg(F.count("*").alias("pins")).join(kept.groupBy("category").agg(F.count("*").alias("kept")), "category", "left").join(n, "category", "left").na.fill(0)
     return kept.select(*pins.columns), edges, funnel

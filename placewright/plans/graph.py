@@ -13,6 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
 
     Alternating large-star and small-star steps: each step joins edges with one minimum per node, which is
     pre-aggregated before its shuffle, so a hub with many neighbours isn't collected anywhere. Edges never multiply.
+    Joins are shuffled, never broadcast: ids pack so well in files that the planner would hold millions of them in the driver.
     Null ends are ignored; a self edge makes its node a component of its own. Raises if it doesn't settle.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
@@ -23,16 +24,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         if _stars(e):
             roots = e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             inside = e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
-            single = alone.select(F.col("u").alias("id")).join(inside, "id", "left_anti").withColumn("root", F.col("id"))
+            single = alone.select(F.col("u").alias("id")).join(inside.hint("merge"), "id", "left_anti").withColumn("root", F.col("id"))
             return inside.unionByName(single)
         if n_round == max_rounds:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("merge"), "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("x"))
             .select("x.u", F.col("x.m").alias("v"))
             .where("u <> v")
@@ -57,7 +58,7 @@ def roots(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     hop = written(hop.dropDuplicates(["id"]), "hops")
     for _ in range(max_rounds):
         far = hop.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        joined = hop.join(far, "root", "left")
+        joined = hop.join(far.hint("merge"), "root", "left")
         moved = written(joined.select("id", F.coalesce("far", "root").alias("root"), (F.col("far").isNotNull() & (F.col("far") != F.col("root"))).alias("moved")), "hops")
         hop = moved.select("id", "root")
         if not moved.where("moved and id <> root").limit(1).count():
