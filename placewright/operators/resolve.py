@@ -262,7 +262,7 @@ def resolve_overrides(pins: DataFrame, overrides: DataFrame, meters: float = 200
     same = b.join(a.select("category", "text").hint("merge"), ["category", "text"]).select("category", F.col("text").alias("q"), "text")
     inside = containing(held.drop("p"), asked.drop("h")).select("p.category", F.col("p.text").alias("q"), F.col("h.text").alias("text"))
     around = containing(asked.drop("p"), held.drop("h")).select("h.category", F.col("h.text").alias("q"), F.col("p.text").alias("text"))
-    nameless = a.where("text = ''").select("category", "text").join(b.where("text <> ''").select("category", F.col("text").alias("q")), "category").select("category", "q", "text")
+    nameless = a.where("text = ''").select("category", "text").join(b.where("text <> ''").select("category", F.col("text").alias("q")).hint("merge"), "category").select("category", "q", "text")
     names = same.unionByName(inside).unionByName(around).unionByName(nameless).where(F.col("text").isNotNull())
     most = F.min(F.struct((F.col("q") != F.col("text")).alias("other"), "best.k", "best.pin")).alias("b")
     found = names.join(a.hint("merge"), ["category", "text"]).groupBy("category", "q").agg(most)

@@ -566,3 +566,22 @@ def test_merged_chunks_equal_a_counter(monkeypatch, most):
             got_docs[lang, t] = int(x.docs[i])
             got.update({(lang, names[s], t): int(n) for s, n in zip(x.source[at[i] : at[i + 1]], x.count[at[i] : at[i + 1]])})
     assert got_docs == docs and got == counts
+
+
+def test_toxicity_fits_by_blocks(monkeypatch):
+    """Label model and classifier are the same by blocks of any size, and make no copy of the votes as doubles."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    y = (r.random(12_000) < 0.2).astype(float)
+    votes = (r.random((12_000, 200)) < 0.02 + 0.05 * y[:, None]).astype(np.uint8)
+    dense = votes.sum(axis=1, keepdims=True).astype(float)
+    tracemalloc.start()
+    post, _ = toxicity.label_model(votes, y, 0.2, rounds=3)
+    w = toxicity.fit_linear((votes, dense), post, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < votes.size * 8
+    monkeypatch.setattr(toxicity, "BLOCK", 100_000)
+    again, _ = toxicity.label_model(votes, y, 0.2, rounds=3)
+    assert np.allclose(post, again) and np.allclose(w, toxicity.fit_linear((votes, dense), again, rounds=3))

@@ -487,3 +487,34 @@ def test_left_counts_equal_the_rows_and_shuffle_no_pairs(spark):
     got = Q.left_counts(base, manual, locked)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
     assert dict(got.dtypes) == dict(want.dtypes)
+
+
+def test_drawn_words_equal_products():
+    """Circles and half planes by blocks of 64: the same bits as a test of every station, whatever the bounds say."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    s = np.concatenate([r.normal(size=(500, 3)), np.array([0.6, 0.0, 0.8]) + r.normal(size=(3000, 3)) * 1e-3])
+    s /= np.sqrt((s**2).sum(axis=1))[:, None]
+    n = len(s)
+    zero = pa.array(np.zeros(n))
+    bucket = B.Bucket(pa.table({"station_id": pa.array(range(n)), "sx": s[:, 0], "sy": s[:, 1], "sz": s[:, 2], "airport_m": zero, "elev": zero, "no_elev": pa.array([False] * n)}))
+    v = np.concatenate([s[r.integers(n, size=300)], r.normal(size=(100, 3)) * 1e-4, np.zeros((1, 3)), s[:2]])
+    c = np.concatenate([np.cos(10.0 ** r.uniform(-6, 0.3, 300)), np.full(101, 5e-324), [2.0, np.nan]])
+    want = s[:, 0] * v[:, 0, None] + s[:, 1] * v[:, 1, None] + s[:, 2] * v[:, 2, None] >= c[:, None]
+    got = np.array([bucket.unpacked(w)[:n] for w in bucket.drawn(v, c)])
+    assert (got == want).all() and want[:300].any() and not want[-3:].any()
+
+
+def test_components_and_overrides_are_shuffled(spark, capsys):
+    """No side of these joins goes whole through the driver."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 5)], "a long, b long")
+    pins = spark.createDataFrame([(i, "park", "Oak", i % 7, 37.0 + i / 1000, -122.0) for i in range(50)], "pin long, category string, name string, reviews int, lat double, lon double")
+    asks = spark.createDataFrame([(1, "park", "oak park", None, None), (2, "park", "OAK", 37.02, -122.0), (3, "park", "oak", 38.0, -122.0)], "ord long, category string, query string, lat double, lon double")
+    got, missing = E.resolve_overrides(pins, asks)
+    assert sorted(map(tuple, got.collect())) == [(1, 6), (2, 20)] and [r["ord"] for r in missing.collect()] == [3]
+    capsys.readouterr()
+    for df in (components(edges), got):
+        df.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
