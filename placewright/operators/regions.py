@@ -100,8 +100,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, boundary: str = "ev
 
     boundary: 'evenodd' as crossings fall, 'covers' with border points in, 'contains' with them out. Points meet the regions'
     quadtree by equality, once for each level in use. In a full cell that is the answer; only points in partial leaves meet
-    sides, those of that region in their row of leaves. Building the tree pays where there are many sides; up to FEW_SIDES, a
-    table that the planner may broadcast, points meet the sides in their row of a fixed grid. tree: True, False force either.
+    sides, those of that region in their row of leaves. Building the tree pays where there are many sides; up to FEW_SIDES
+    points meet the sides in their row of a fixed grid, shuffled, as the planner would hold the points in every task. tree: True, False force either.
     """
     if not (regions.select(F.sum(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))).alias("n")).first()["n"] or 0) > FEW_SIDES if tree is None else not tree:
         row = lambda y: F.floor(y / GRID).cast("long")
@@ -109,7 +109,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, boundary: str = "ev
         box = e.groupBy("region_id").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"))
         e = e.withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2"))))).join(box, "region_id")
         p = points.select(key, "lat", "lon").where("lat is not null and lon is not null").withColumn("_r", row(F.col("lat")))
-        return _inside(p.join(e, "_r").where(F.col("lon").between(F.col("w"), F.col("e"))), key, boundary)
+        return _inside(p.join(e.hint("merge"), "_r").where(F.col("lon").between(F.col("w"), F.col("e"))), key, boundary)
     cells, sides = hierarchy(regions)
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # 41 numbers at most
     if not levels:
@@ -266,7 +266,7 @@ def boxes_on_region(tiles: DataFrame, regions: DataFrame) -> DataFrame:
     row = lambda y: F.floor(y / GRID).cast("long")
     v = regions.select(F.explode(F.flatten("rings")).alias("p")).select(F.col("p.lon").alias("x"), F.col("p.lat").alias("y"), row(F.col("p.lat")).alias("_r"))
     t = tiles.withColumn("_r", F.explode(F.sequence(row(F.col("s")), row(F.col("n")))))
-    b = t.join(v, "_r").where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n"))).select("tile")
+    b = t.join(v.hint("merge"), "_r").where(F.col("x").between(F.col("w"), F.col("e")) & F.col("y").between(F.col("s"), F.col("n"))).select("tile")
     return tiles.join(a.unionByName(b).distinct(), "tile", "left_semi")
 
 
