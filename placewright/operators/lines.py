@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewright.functions import geo
 from placewright.plans.graph import components
+from placewright.plans.passing import passing
 from placewright.plans.tables import written
 
 from .joins import linked, within
@@ -50,29 +56,97 @@ def without_strays(vertices: DataFrame, least_m: float = 800.0) -> DataFrame:
     return vertices.join(lengths(vertices).where(F.col("length_m") >= least_m), "line", "left_semi")
 
 
+#: Distances of points and segments that are worked out at once.
+SNAPPED = 500_000
+
+
 def snap_to_lines(points: DataFrame, vertices: DataFrame, tolerance: float = 40.0, most: float = 400.0, key: str = "station_id") -> DataFrame:
     """J7. points: key, system, lat, lon; vertices: line, system, seq, lat, lon. The nearest position on a line of the
     point's own system within `most`; the point moves there if it is over `tolerance` away: key, lat, lon, d, moved.
 
-    Long segments are cut so that no piece is longer than `most`; pieces then meet points by cells around their middles.
+    A segment goes to the cells, twice `most` wide, that it comes within `most` of, so a point looks at those of its own cell only. They
+    are held there while its points pass by, and a row is made for a point and its nearest segment, not for each pair.
     """
-    s = segments(vertices)
-    d = geo.planar_m(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
-    s = s.withColumn("_k", F.greatest(F.lit(1), F.ceil(d / most)).cast("int"))
-    s = s.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_k")
-    i, j = F.col("_i"), F.col("_i") + 1
-    pieces = s.select("line", "system", "seq", "_i", at("alat", "blat", i).alias("alat"), at("alon", "blon", i).alias("alon"), at("alat", "blat", j).alias("blat"), at("alon", "blon", j).alias("blon"))
-    pieces = pieces.withColumns({"lat": (F.col("alat") + F.col("blat")) / 2, "lon": (F.col("alon") + F.col("blon")) / 2})
-    near = within(points, pieces, 1.6 * most, by=["system"])
-    hit = geo.on_segment(F.col("l_lat"), F.col("l_lon"), F.col("r_alat"), F.col("r_alon"), F.col("r_blat"), F.col("r_blon"))
-    best = near.withColumn("h", hit).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min(F.struct(F.col("h.d").alias("d"), "r_line", "r_seq", "r__i", F.col("h.lat").alias("lat"), F.col("h.lon").alias("lon"))).alias("b"))
-    df = points.join(best, key, "left")
+    known = lambda *names: F.abs(reduce(Column.__add__, [F.col(n).cast("double") for n in names])) < float("inf")
+    s = _in_cells(segments(vertices).where(known("alat", "alon", "blat", "blon") & F.col("system").isNotNull()), most)
+    p = points.where(known("lat", "lon") & F.col("system").isNotNull()).withColumn("_row", F.floor(F.col("lat") / _height(most)).cast("long"))
+    p = p.withColumn("_n", _columns(F.col("_row"), most)).withColumn("_column", _column(F.col("lon"), F.col("_n")))
+    cell = ["system", "_row", "_column"]
+    ends = ("alat", "alon", "blat", "blon")
+    names = (key, "lat", "lon", "line", "seq", *ends)
+
+    def run(rows: Iterator[tuple[bool, pa.RecordBatch]]) -> Iterator[pa.Table]:
+        held, table = [], None
+        for is_held, part in rows:
+            if is_held:
+                held.append(part)
+                continue
+            if not held:
+                return  # no segment is near
+            table = table or pa.Table.from_batches(held).sort_by([("line", "ascending"), ("seq", "ascending")])
+            e = [table.column(c).to_numpy() for c in ends]
+            lat, lon = (part.column(c).to_numpy() for c in ("lat", "lon"))
+            at = [_nearest_segment(lat[i : i + step], lon[i : i + step], *e) for step in [max(1, SNAPPED // len(table))] for i in range(0, len(lat), step)]
+            near = table.take(pa.array(np.concatenate(at)))
+            yield pa.table({c: part.column(c) if c in part.schema.names else near.column(c) for c in names})
+
+    kind = {c: df.schema[c].dataType.simpleString() for df, names in ((s, ("line", "seq")), (points, (key,))) for c in names}
+    schema = ", ".join(f"{c} {kind.get(c, 'double')}" for c in names)
+    near = passing(s.select(*cell, "line", "seq", *ends), p.select(*cell, key, "lat", "lon"), cell, [], None, run, schema)
+    hit = geo.on_segment(F.col("lat"), F.col("lon"), *[F.col(c) for c in ends])
+    best = near.withColumn("h", hit).groupBy(key).agg(F.min(F.struct(F.col("h.d").alias("d"), "line", "seq", F.col("h.lat").alias("lat"), F.col("h.lon").alias("lon"))).alias("b"))
+    df = points.join(best.hint("merge"), key, "left")
     moved = F.coalesce((F.col("b.d") > tolerance) & (F.col("b.d") <= most), F.lit(False))
     pick = lambda c: F.when(moved, F.col(f"b.{c}")).otherwise(F.col(c))
     return df.select(key, pick("lat").alias("lat"), pick("lon").alias("lon"), F.when(F.col("b.d") <= most, F.col("b.d")).alias("d"), moved.alias("moved"))
 
 
+def _nearest_segment(lat: np.ndarray, lon: np.ndarray, alat: np.ndarray, alon: np.ndarray, blat: np.ndarray, blon: np.ndarray) -> np.ndarray:
+    """The number of each point's nearest segment, by geo.on_segment."""
+    kx, ky = 111320.0 * np.cos(np.radians(lat))[:, None], 110540.0
+    ax, ay = (alon - lon[:, None]) * kx, (alat - lat[:, None]) * ky
+    dx, dy = (blon - alon) * kx, (blat - alat) * ky
+    l2 = dx * dx + dy * dy
+    t = np.clip(-(ax * dx + ay * dy) / np.where(l2 == 0, 1.0, l2), 0, 1)
+    ax += t * dx
+    ay += t * dy
+    return (ax * ax + ay * ay).argmin(axis=1)
+
+
+def _height(most: float) -> float:
+    """Degrees of latitude of a row of cells."""
+    return 2 * most / 110540.0
+
+
+def _columns(row: Column, most: float) -> Column:
+    """Columns of a row of cells around the globe, each at least twice `most` wide; one beside the poles."""
+    n = F.floor(360.0 * 111320.0 / (2 * most) * F.cos(F.radians(F.greatest(F.abs(row), F.abs(row + 1)) * _height(most))))
+    return F.greatest(F.lit(1), n).cast("long")
+
+
+def _column(lon: Column, n: Column) -> Column:
+    return F.when(n > 1, F.floor(lon / 360.0 * n).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _in_cells(s: DataFrame, most: float) -> DataFrame:
+    """Segments in each cell (_row, _column) of which a place may be within `most` of them, by geo.on_segment there. In a row
+    of cells it is the part of a segment between the latitudes that are in reach of it which counts."""
+    c, high, wide = F.col, _height(most), 1.0001
+    reach = wide * most / 110540.0
+    low, top = F.least("alat", "blat"), F.greatest("alat", "blat")
+    s = s.withColumn("_row", F.explode(F.sequence(F.floor((low - reach) / high).cast("long"), F.floor((top + reach) / high).cast("long"))))
+    s = s.withColumn("_n", _columns(c("_row"), most))
+    rise = c("blat") - c("alat")
+    at = lambda lat: F.when(rise == 0, None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - c("alat")) / rise)))
+    s = s.withColumns({"_t": at(c("_row") * high - reach), "_u": at((c("_row") + 1) * high + reach)})
+    lon = lambda t, other: F.coalesce(c("alon") + (c("blon") - c("alon")) * t, c(other))
+    s = s.withColumns({"_x": lon(c("_t"), "alon"), "_y": lon(c("_u"), "blon")})
+    # Where a row has more than one column these are as wide as `reach` twice, at its latitude furthest from the equator.
+    side = F.lit(wide * 180.0) / c("_n")
+    ends = [_column(F.least("_x", "_y") - side, c("_n")), _column(F.greatest("_x", "_y") + side, c("_n"))]
+    return s.withColumn("_column", F.explode(F.sequence(*ends))).drop("_n", "_t", "_u", "_x", "_y")
+
+
 def offset_coords(coords: Column, meters: Column) -> Column:
     """L1. A polyline moved by `meters` to the left of its direction, vertex by vertex."""
     n = F.size(coords)
